@@ -22,10 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import arrow_map
+from gossamer.llm.common import Memo, arrow_map
 
-#: Entries that a worker keeps of each memo before it starts afresh (about 200 bytes each).
-MEMO_ENTRIES = 1_000_000
 #: Longer results are not kept.
 MEMO_BYTES = 128
 #: Fragments above this many symbols are merged with a heap.
@@ -49,20 +47,11 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class _Memo(dict):
-    """A dict that fills itself and starts afresh when full."""
+class _Short(Memo):
+    """A memo of byte strings that keeps short ones only."""
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(value) <= MEMO_BYTES:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[key] = value
-        return value
+    def keep(self, value: bytes) -> bool:
+        return len(value) <= MEMO_BYTES
 
 
 class Bpe:
@@ -83,8 +72,8 @@ class Bpe:
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.letters = byte_letters()
         self.joined = self._joined_pairs()
-        self.fragments = _Memo(self._encode_fragment)
-        self.chunks = _Memo(self._encode_chunk)
+        self.fragments = _Short(self._encode_fragment)
+        self.chunks = _Short(self._encode_chunk)
         alternatives = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.special_split = regex.compile(f"({alternatives})") if self.special else None
 

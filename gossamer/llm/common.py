@@ -56,6 +56,29 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[list], Iterator[dict]]
     return df.mapInArrow(run, schema)
 
 
+#: Entries that a worker keeps of each memo before it starts afresh (about 200 bytes each).
+MEMO_ENTRIES = 1_000_000
+
+
+class Memo(dict):
+    """A dict that fills itself and starts afresh when full."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if self.keep(value):
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
+
+    def keep(self, value) -> bool:
+        return True
+
+
 def crc_fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo `modulus`; a null id counts as fold -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))

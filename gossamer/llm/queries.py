@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from gossamer.llm import decontaminate
 from gossamer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE}
 
 
 def query(f):
@@ -23,3 +23,43 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gossamer.llm.bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.toxicity import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.tokenfile import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.jaccard import report
+
+    return report(table(spark, sf_dir, "documents"))
