@@ -1,17 +1,66 @@
-"""The corpus pipeline: five stages, each one operator of gossamer.llm."""
+"""The corpus pipeline: five stages over `documents`, each one operator of gossamer.llm.
+
+Every stage works on all rows that its predecessor kept; between stages the rows are written as Parquet to
+the shared folder and read again.  The first four return the columns of `documents` (n_chars is that of the
+text as it then is); the last returns each kept document with its token ids and the text decoded from them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gossamer.llm import bpe, decontaminate, jaccard, lines, toxicity
+from gossamer.llm.common import stage, table
+
+
+def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """`docs` in the columns of `like`, with n_chars measured anew where there is such a column."""
+    if "n_chars" in like.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
+    return docs.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores at its threshold or above go."""
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return _measured(scored.where(F.col("score") < toxicity.THRESHOLD), docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated line chunks go; a document of which nothing else is left goes with them."""
+    left = lines.remove(docs)
+    return _measured(left.where((F.col("lines_removed") == 0) | (F.trim("text") != "")), docs)
 
 
-def run(spark, sf_dir):
-    from gossamer.llm.common import stage
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least doc_id."""
+    return _measured(jaccard.keep_first(docs), docs)
+
+
+def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of benchmark items go; a document that is mostly such spans goes as a whole."""
+    return _measured(decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark")), docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every kept document and what they decode to."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("benchmark decontamination", decontaminate_texts),
+    ("BPE encoding and decoding", tokenize),
+]
+#: A trained classifier, content-defined chunks and BPE are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

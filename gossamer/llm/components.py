@@ -9,6 +9,8 @@ from gossamer.llm.common import stage
 
 #: Rounds after which the loop is given up as faulty; lengths of paths at least halve in a round.
 MOST_ROUNDS = 60
+#: Parts into which the children of one parent are dealt.
+SALTS = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
         hooked = pairs.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = hooked.unionByName(least.select("u", F.col("m").alias("v")))
-        above = least.select(F.col("u").alias("v"), F.col("m"))
-        now = stage(now.join(above, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # many nodes may share a parent v: its own parent is looked up once, and comes back in SALTS copies
+        above = least.select(F.col("u").alias("v"), F.col("m")).join(now.select("v").distinct(), "v")
+        above = above.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        salted = now.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        now = stage(salted.join(above, ["v", "salt"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         branching = now.groupBy("u").count().where("count > 1").limit(1).count()
-        if not branching and not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+        if not branching and not now.select("v").distinct().join(now.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         pairs = now

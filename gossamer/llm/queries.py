@@ -63,3 +63,24 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gossamer.llm.jaccard import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.lines import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.neighbours import report
+
+    return report(table(spark, sf_dir, "embeddings"))
