@@ -44,7 +44,6 @@ SLOT_KEYS = 1_000_000
 BATCH = 1000
 CONTEXTS, BINS = 40, 160
 _END = b"\n"  # no token has white space
-_TAIL, _START = HEAD, HEAD + 1
 
 
 class Unigrams(NamedTuple):
@@ -55,6 +54,8 @@ class Unigrams(NamedTuple):
     tokens: int
     types: int
     documents: int
+    #: How many tokens may be head tokens; this number itself stands for all others, the next for beginnings.
+    head: int
 
     @property
     def tail(self) -> int:
@@ -66,13 +67,13 @@ class Unigrams(NamedTuple):
 
     def contexts(self) -> np.ndarray:
         """Counts of the head tokens, of all others, and of text beginnings, as contexts."""
-        return np.concatenate([self.counts, np.zeros(HEAD - len(self.counts), np.int64), [self.tail, self.documents]])
+        return np.concatenate([self.counts, np.zeros(self.head - len(self.counts), np.int64), [self.tail, self.documents]])
 
     def first(self) -> np.ndarray:
         """P1 of each head token and of the class of all others."""
         total = self.tokens + DELTA * (self.types + 1)
         rest = self.tail + DELTA * (self.types + 1 - len(self.counts))
-        return np.concatenate([(self.counts + DELTA) / total, np.ones(HEAD - len(self.counts)), [rest / total, 1.0]])
+        return np.concatenate([(self.counts + DELTA) / total, np.ones(self.head - len(self.counts)), [rest / total, 1.0]])
 
 
 _HASHES = Memo(xxhash.xxh64_intdigest)
@@ -109,20 +110,20 @@ def _counted(counts: dict[bytes, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["h", "c"])
 
 
-def unigrams(docs: DataFrame, counts: DataFrame) -> Unigrams:
+def unigrams(docs: DataFrame, counts: DataFrame, most: int = HEAD) -> Unigrams:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
+    head = counts.orderBy(F.desc("c"), "h").limit(most).toArrow()
     hashes, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(hashes)
-    return Unigrams(hashes[order], c[order].astype(np.int64), total["n"], total["v"], docs.where("NOT held_out").count())
+    return Unigrams(hashes[order], c[order].astype(np.int64), total["n"], total["v"], docs.where("NOT held_out").count(), most)
 
 
 class _Ids:
-    """token -> its place among the head tokens, or _TAIL."""
+    """token -> its place among the head tokens, or the number of all others."""
 
     def __init__(self, model: Unigrams):
         self.known = dict(zip(model.hashes.tolist(), range(len(model.hashes)), strict=True))
-        self.ids = Memo(lambda w: self.known.get(xxhash.xxh64_intdigest(w), _TAIL))
+        self.ids = Memo(lambda w: self.known.get(xxhash.xxh64_intdigest(w), model.head))
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -144,9 +145,9 @@ def _unscrambled(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(pow(0x9E3779B97F4A7C15, -1, bits))) & mask
 
 
-def _bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bigrams(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct scrambled bigrams of one text and how often each occurs."""
-    before = np.concatenate([[_START], ids[:-1]])
+    before = np.concatenate([[start], ids[:-1]])
     return np.unique(_scrambled((before << _BITS) | ids), return_counts=True)
 
 
@@ -215,13 +216,13 @@ def deleted_counts(docs: DataFrame, shared, slots: int) -> np.ndarray:
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                keys = [_bigrams(ids.of(tokens(t))) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
+                keys = [_bigrams(ids.of(tokens(t)), model.head + 1) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
                 if keys:
                     every, at = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
                     counts = np.bincount(at, weights=np.concatenate([c for _, c in keys])).astype(np.int64)
                     yield _keyed_rows([(s, 0, blob) for s, blob in _dealt(every, counts, np.zeros(len(every), np.int64), slots, np.ones(1), "<u4")])
 
-    def count(key, rows: pa.Table) -> pa.Table:
+    def count(key, rows):
         model = shared.value
         parts = [_unpack(b) for b in rows.column("blob").to_pylist()]
         keys, at = np.unique(np.concatenate([p.keys for p in parts]), return_inverse=True)
@@ -255,12 +256,12 @@ def mixture(histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.where(total > 0, weights, 1e-6)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
     docs = _prepared(docs)
     spark = docs.sparkSession
     counts = count_tokens(docs)
-    model = unigrams(docs, counts)
+    model = unigrams(docs, counts, head)
     shared = spark.sparkContext.broadcast(model)
     slots = max(16, math.ceil(model.tokens / SLOT_KEYS))  # 16 leave quotients of 32 bits
     tail_slots = max(1, math.ceil(max(model.tail, model.types) / SLOT_KEYS))
@@ -271,7 +272,8 @@ def score(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         unigram, ids = shared.value, _Ids(shared.value)
-        base = np.log10(np.concatenate([unigram.counts + DELTA, np.ones(HEAD - len(unigram.counts)), [1.0]]))
+        tail, start = unigram.head, unigram.head + 1
+        base = np.log10(np.concatenate([unigram.counts + DELTA, np.ones(tail - len(unigram.counts)), [1.0]]))
         keep = np.log10(1 - final.value)[context_bucket(unigram.contexts())]
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -284,10 +286,10 @@ def score(docs: DataFrame) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     words = tokens(text)
                     at = ids.of(words)
-                    pairs.append(_bigrams(at))
-                    other = np.flatnonzero(at == _TAIL).tolist()
+                    pairs.append(_bigrams(at, start))
+                    other = np.flatnonzero(at == tail).tolist()
                     rest.append(np.unique(np.fromiter((_HASHES[words[i]] for i in other), np.uint64, len(other)), return_counts=True))
-                    head.append((len(words), len(words) - len(other), float(base[at].sum()), float(keep[np.concatenate([[_START], at[:-1]])].sum())))
+                    head.append((len(words), len(words) - len(other), float(base[at].sum()), float(keep[np.concatenate([[start], at[:-1]])].sum())))
                 rows = [(-1 - name, name, _header(part.column(0).to_pylist(), train, head))]
                 for found, n, first, width in ((pairs, slots, 0, "<u4"), (rest, tail_slots, 1 << 40, "<u8")):
                     owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
@@ -306,7 +308,7 @@ def score(docs: DataFrame) -> DataFrame:
                     rows.append(((1 << 40) + int(slot[at[0]]), -1, b"".join([(h[at] // np.uint64(tail_slots)).astype("<u8").tobytes(), c[at].astype("<i8").tobytes()])))
             yield _keyed_rows(rows)
 
-    def weigh(key, rows: pa.Table) -> pa.Table:
+    def weigh(key, rows):
         slot, batches, blobs = key[0].as_py(), rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
         if slot < 0:
             return pa.table({"batch": pa.array(batches, pa.int64()), "kind": pa.array([0] * len(batches), pa.int32()), "blob": pa.array(blobs, pa.binary())})
@@ -331,7 +333,7 @@ def score(docs: DataFrame) -> DataFrame:
             at += len(p.keys)
         return pa.table({"batch": pa.array([b for b, _ in own], pa.int64()), "kind": pa.array([2 if tail else 1] * len(own), pa.int32()), "blob": pa.array(out, pa.binary())})
 
-    def gather(_, rows: pa.Table) -> pa.Table:
+    def gather(_, rows):
         unigram = shared.value
         parts = list(zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True))
         doc_ids, train, head = _read_header(next(b for k, b in parts if k == 0))

@@ -268,7 +268,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, target: float =
                 names=["cell", "vec_id", "v", "leaf", "leaves"],
             )
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(table):
         is_query = table.column("leaves").is_valid().to_numpy()
         x_rows, q_rows = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
         out: dict[str, list] = {"query_id": [], "ids": [], "scores": []}

@@ -161,7 +161,7 @@ def test_chunks_do_not_shift():
     assert len(whole - moved) <= 4 and len(whole) > 30
 
 
-def test_language_model_counts_and_sums(docs, monkeypatch):
+def test_language_model_counts_and_sums(docs):
     rows = corpus()
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]
     held = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
@@ -173,10 +173,7 @@ def test_language_model_counts_and_sums(docs, monkeypatch):
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         want[d, h, len(ws), sum(counts[w] > 0 for w in ws), n, round(base, 4)] += 1
     for head in (1 << 17, 40):
-        monkeypatch.setattr(language_model, "HEAD", head)
-        monkeypatch.setattr(language_model, "_TAIL", head)
-        monkeypatch.setattr(language_model, "_START", head + 1)
-        got = language_model.score(docs).collect()
+        got = language_model.score(docs, head).collect()
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
         assert all(math.isfinite(r.score) for r in got)
 
