@@ -1,10 +1,5 @@
 """Every registered query with its DuckDB counterpart."""
 
-from __future__ import annotations
+from gossamer.plans.queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
