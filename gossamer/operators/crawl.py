@@ -67,7 +67,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, ma
     while True:
         if analyze:
             analyze(frontier)
-        reached = frontier.join(step, frontier["url"] == step["src"]).select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
+        reached = frontier.withColumnRenamed("url", "src").join(step, "src").select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = cut(reached.join(discovered, "url", "left_anti"))
         if frontier.isEmpty():
             break

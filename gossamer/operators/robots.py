@@ -100,10 +100,10 @@ def group_for_agent(asked: DataFrame, group_table: DataFrame) -> DataFrame:
     Presence of the group counts, not of rules: an agent with an empty group does not fall back.
     """
     known = groups(group_table)
-    own = known.select("site", F.col("agent").alias("group"))
+    own = known.select("site", F.col("agent").alias("_key"), F.col("agent").alias("group"))
     star = known.where("agent = '*'").select("site", F.col("agent").alias("star"))
-    joined = asked.join(own, (asked["site"] == own["site"]) & (F.lower(asked["agent"]) == own["group"]), "left").drop(own["site"])
-    return joined.join(star, "site", "left").withColumn("group", F.coalesce("group", "star")).drop("star")
+    joined = asked.withColumn("_key", F.lower("agent")).join(own, ["site", "_key"], "left").join(star, "site", "left")
+    return joined.select(*asked.columns, F.coalesce("group", "star").alias("group"))
 
 
 def delay_for_agent(asked: DataFrame, group_table: DataFrame) -> DataFrame:

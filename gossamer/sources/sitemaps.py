@@ -64,15 +64,17 @@ def text(sitemaps: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_B
     return rows.unionByName(sitemaps.where(too_large).select("site", F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("loc"), F.lit("sitemap is too large").alias("error")))
 
 
-def expand(start: DataFrame, files: DataFrame, since: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df, most: int = 50) -> DataFrame:
+def expand(start: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame], since: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df, most: int = 50) -> DataFrame:
     """(site, loc) of all items reachable from `start` (site, loc) through `files` (loc, content_type, body).
 
+    `files` is a table, or a function that gives the rows of the locations it is asked for.
+
     Indexes are followed level by level; a location is opened once for a site, so cycles end.  `cut` bounds
     the lineage of a level (for example a checkpoint).
     """
     todo, seen, found = start.select("site", "loc").distinct(), None, None
     for _ in range(most):
-        opened = todo.join(files, "loc").select("site", "content_type", F.col("body").alias("xml"), F.col("body").alias("txt"))
+        opened = cut(todo.join(files(todo) if callable(files) else files, "loc")).select("site", "content_type", F.col("body").alias("xml"), F.col("body").alias("txt"))
         plain = text(opened.where("content_type = 'text/plain'").select("site", "txt")).where("error IS NULL").select("site", "loc")
         xml = opened.where("content_type <> 'text/plain'")
         items = plain.unionByName(urlset(xml.select("site", "xml"), since).select("site", "loc"))
