@@ -57,7 +57,7 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[list], Iterator[dict]]
 
 
 #: Entries that a worker keeps of each memo before it starts afresh (about 200 bytes each).
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 
 
 class Memo(dict):

@@ -34,7 +34,7 @@ MIN_Z = 4.0
 THRESHOLD = 0.3
 EPOCHS = 12
 #: Words that a worker keeps with their features, about 150 bytes each.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
