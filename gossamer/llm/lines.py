@@ -6,7 +6,7 @@ but its neighbours.  A line of at least LONG_WORDS words is a chunk of its own,
 Chunks of two lines or more, and such long lines, are compared across the corpus: by hash at first, then
 byte by byte with the first occurrence (least doc_id, then position).  A chunk that is equal is removed,
 together with the up to CONTEXT lines before and after it that equal those of the first occurrence, as far
-as the next repeated chunk, which is judged by itself.
+as the next chunk that goes for its own sake.
 
 Defined results: null and empty texts stay as they are; rows equal in doc_id and text are one document and
 are treated alike; a chunk repeated inside one document stays at its first place; a document may lose all
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 WINDOW = 2
 MODULUS = 2
 LONG_WORDS = 50
-CONTEXT = 4
+CONTEXT = 8
 _NO_ID = -(1 << 63)
 _MASK = (1 << 64) - 1
 
@@ -96,12 +96,15 @@ def _bodies(docs: DataFrame) -> DataFrame:
                 for text, i, th, parts in zip(*[c.slice(lo, 64).to_pylist() for c in columns], strict=True):
                     lines = text.split("\n")
                     parts.sort(key=lambda p: p["at"])
-                    ends = [0, *(p["at"] + p["n"] for p in parts)]
-                    starts = [*(p["at"] for p in parts[1:]), len(lines)]
-                    for p, low, high in zip(parts, ends, starts, strict=False):
+                    going = [(p["at"], p["at"] + p["n"]) for p in parts if not p["first"]]
+                    after = [lo for lo, _ in going] + [len(lines)]
+                    k = 0  # how many of those that go begin before this one ends
+                    for p in parts:
                         a, b = p["at"], p["at"] + p["n"]
-                        # a first place shows all its neighbours, another place those that no chunk covers
-                        low, high = (0, len(lines)) if p["first"] else (low, high)
+                        if p["first"]:
+                            low, high = 0, len(lines)
+                        else:
+                            low, high, k = going[k - 1][1] if k else 0, after[k + 1], k + 1
                         rows.append((p["h"], p["first"], i, th, a, p["n"], "\n".join(lines[a:b]), lines[max(low, a - CONTEXT) : a][::-1], lines[b : min(high, b + CONTEXT)]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 

@@ -134,7 +134,8 @@ def brute_lines(rows):
                 continue  # a repeated row is the same document
             lo, hi = at, at + n
             x, y = texts[k], texts[k0]
-            free = lambda i: not any(a <= i < a + m for a, m, t in lines.chunks("\n".join(x)) if len(places["\n".join(x[a : a + m]), m]) > 1)
+            goes = [(a, m) for a, m, _ in lines.chunks("\n".join(x)) if (f := min(places["\n".join(x[a : a + m]), m]))[2] != a or rows[f[1]] != rows[k]]
+            free = lambda i: not any(a <= i < a + m for a, m in goes)
             before = next((j for j in range(lines.CONTEXT) if at - j - 1 < 0 or a0 - j - 1 < 0 or not free(at - j - 1) or x[at - j - 1] != y[a0 - j - 1]), lines.CONTEXT)
             after = next((j for j in range(lines.CONTEXT) if hi + j >= len(x) or a0 + n + j >= len(y) or not free(hi + j) or x[hi + j] != y[a0 + n + j]), lines.CONTEXT)
             gone[k] |= set(range(lo - before, hi + after))

@@ -110,7 +110,7 @@ def test_decontamination_against_brute_force(spark, most):
     for i, t in enumerate(texts):
         words, hits, own = brute_hits(t, items)
         assert (found[i]._words, len(found[i]._hits), found[i]._items) == (words, hits, own)
-    clean = {r.doc_id: r.text for r in decontaminate.remove_spans(frame(spark, texts), bench, most=0.9).collect()}
+    clean = {r.doc_id: r.text for r in decontaminate.remove_spans(frame(spark, texts), bench, most=0.9, max_rows=most).collect()}
     assert 2 not in clean and clean[3] == "x  y " and clean[4] == texts[4] and clean[0] is None
     assert decontaminate.report(frame(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
