@@ -313,3 +313,18 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = keyed(docs).join(kept, ["_id", "_th"])
     once = rows.where("_again IS NULL").unionByName(rows.where("_again").dropDuplicates(["_id", "_th"]))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: All pairs by shared shingles; what the join finds with probability RECALL a pair, SQL finds always.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS g FROM d),
+c AS (SELECT g, min(doc_id) AS rep, count(*) AS n_copies, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT rep, n, unnest(g) AS t FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+m AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT s.doc_id, coalesce(m.class_id, s.doc_id) AS class_id, coalesce(l.n, 0)::BIGINT AS n_links, coalesce(c.n_copies, 1)::BIGINT AS n_copies
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.a = c.rep LEFT JOIN l ON l.a = c.rep
+"""

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.llm import decontaminate
+from gossamer.llm import decontaminate, jaccard
 from gossamer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_jaccard": jaccard.ORACLE}
 
 
 def query(f):
@@ -60,9 +60,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gossamer.llm.jaccard import report
-
-    return report(table(spark, sf_dir, "documents"))
+    return jaccard.report(table(spark, sf_dir, "documents"))
 
 
 @query
