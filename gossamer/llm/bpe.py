@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import Memo, arrow_map
+from gossamer.llm.common import Memo, arrow_map, claim
 
 #: Longer results are not kept.
 MEMO_BYTES = 128
@@ -180,6 +180,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     def run(batches):
         import pyarrow as pa
 
+        claim("bpe")
         bpe = load(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -202,6 +203,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
 
     def rows(columns):
+        claim("bpe")
         bpe = load(path)
         ids, texts = columns
         coded = [bpe.encode(t) for t in texts]

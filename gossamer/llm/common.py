@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -60,12 +61,25 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[list], Iterator[dict]]
 MEMO_ENTRIES = 300_000
 
 
+_MEMOS: list[weakref.ref] = []
+_OWNER = [""]
+
+
+def claim(operator: str) -> None:
+    """Empties all memos of this worker when another operator's tasks begin in it."""
+    if _OWNER[0] != operator:
+        _OWNER[0] = operator
+        for memo in [m for ref in _MEMOS if (m := ref()) is not None]:
+            memo.clear()
+
+
 class Memo(dict):
     """A dict that fills itself and starts afresh when full."""
 
     def __init__(self, make: Callable):
         super().__init__()
         self.make = make
+        _MEMOS.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.make(key)

@@ -84,8 +84,8 @@ class _Index:
         return found
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_rows: int = MAX_ROWS) -> DataFrame:
-    """`docs` with the positions of hit words (_hits), the hitting items (_items) and the word count (_words)."""
+def _passes(docs: DataFrame, benchmark: DataFrame, n: int, max_rows: int, finish=None) -> DataFrame:
+    """One narrow pass per block; the last one applies `finish` to its batches, so that one block is one pass."""
     spark = docs.sparkSession
     table = windows(benchmark, n).withColumn("slot", F.hash("words", "item"))
     blocks = max(1, math.ceil(table.count() / max_rows))
@@ -97,8 +97,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_rows: int =
     for block in range(blocks):
         rows = table.where(F.pmod("slot", F.lit(blocks)) == block).select("words", "item").collect()
         shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
+        last = finish if block + 1 == blocks else None
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             index = _Index(shared.value)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
@@ -108,12 +109,18 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_rows: int =
                     before = zip(part.column(len(fields)).to_pylist(), part.column(len(fields) + 1).to_pylist(), strict=True)
                     merged = [(sorted({*h, *hits}), sorted({*i, *items})) for (h, i), (hits, items) in zip(before, found, strict=True)]
                     added = [pa.array([m[0] for m in merged], pa.list_(pa.int32())), pa.array([m[1] for m in merged], pa.list_(pa.string())), pa.array([len(t) for t in texts], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], *added], names=names)
+                    done = pa.RecordBatch.from_arrays([*part.columns[: len(fields)], *added], names=names)
+                    yield last(done) if last else done
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, T.StructType(fields) if last else schema)
     return out
 
 
+def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_rows: int = MAX_ROWS) -> DataFrame:
+    """`docs` with the positions of hit words (_hits), the hitting items (_items) and the word count (_words)."""
+    return _passes(docs, benchmark, n, max_rows)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of `docs`."""
     found = find(docs.select("doc_id", "text"), benchmark)
@@ -127,7 +134,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, most: float = 0.5) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """`docs` without the hit spans; a document of which more than `most` of the words are hit goes as a whole.
 
     A span runs from the first to the last character of a run of hit words; all other characters stay.
@@ -135,27 +142,25 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, most: float = 0.5) -> Da
     import re
 
     word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-    schema = docs.schema
-    at = schema.names.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for k, hits in enumerate(batch.column(len(schema)).to_pylist()):
-                if hits:
-                    raw, hit, out, end = texts[k].encode("utf-8", "surrogatepass"), set(hits), [], 0
-                    spans = [m.span() for m in word.finditer(raw)]
-                    for p in sorted(hit):
-                        if p - 1 not in hit:
-                            out.append(raw[end : spans[p][0]])
-                        end = spans[p][1]
-                    texts[k] = b"".join([*out, raw[end:]]).decode("utf-8", "replace")
-            columns = list(batch.columns[: len(schema)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    found = find(docs, benchmark).where(F.size(HITS) <= F.lit(most) * F.col(WORDS))
-    return found.drop(ITEMS, WORDS).mapInArrow(run, schema)
+
+    def without(text: str, hit: set[int]) -> str:
+        raw, out, end = text.encode("utf-8", "surrogatepass"), [], 0
+        spans = [m.span() for m in word.finditer(raw)]
+        for p in sorted(hit):
+            if p - 1 not in hit:
+                out.append(raw[end : spans[p][0]])
+            end = spans[p][1]
+        return b"".join([*out, raw[end:]]).decode("utf-8", "replace")
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hits, words, texts = (batch.column(c).to_pylist() for c in (HITS, WORDS, "text"))
+        kept = [k for k in range(len(hits)) if len(hits[k]) <= most * words[k]]
+        texts = [without(texts[k], set(hits[k])) if hits[k] else texts[k] for k in kept]
+        rest = batch.take(pa.array(kept, pa.int64()))
+        names = [c for c in batch.schema.names if c not in (HITS, ITEMS, WORDS)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest.column(c) for c in names], names=names)
+
+    return _passes(docs, benchmark, WINDOW, max_rows, finish)
 
 
 _SPLIT = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import Memo, normal_words, stage
+from gossamer.llm.common import Memo, claim, normal_words, stage
 from gossamer.llm.components import components
 
 SHINGLE = 5
@@ -81,6 +81,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """_id, _th, cls (hash of the shingle set, null without words), size, sig of every row of `docs`."""
 
     def run(batches):
+        claim("jaccard")
         odd, add = _functions()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -278,6 +279,7 @@ def groups(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD
     texts = keyed(docs).select("_id", "_th", "text").join(members, ["_id", "_th"]).select("cls", "comp", "k", "block", "text")
 
     def cut(batches):
+        claim("jaccard")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.llm.bpe import SEPARATORS, _Short, _SPACE, default_tokenizer
-from gossamer.llm.common import partitions, shared_dir, stage
+from gossamer.llm.common import claim, partitions, shared_dir, stage
 
 END_ID = 2
 #: A frame is closed once it holds so many ids.
@@ -143,6 +143,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        claim("tokenfile")
         encoder, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)

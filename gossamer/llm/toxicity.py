@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm.common import arrow_map, crc_fold
+from gossamer.llm.common import arrow_map, claim, crc_fold
 
 BUCKETS = 1 << 18
 FEATURES = 2048
@@ -152,6 +152,7 @@ def score(docs: DataFrame, model: tuple[Machine, list[int]]) -> DataFrame:
     at = [f.name for f in fields].index("text")
 
     def run(batches):
+        claim("toxicity")
         machine, kept = shared.value
         features = _Features(kept)
         for batch in batches:
