@@ -76,6 +76,8 @@ def claim(operator: str) -> None:
 class Memo(dict):
     """A dict that fills itself and starts afresh when full."""
 
+    most = MEMO_ENTRIES
+
     def __init__(self, make: Callable):
         super().__init__()
         self.make = make
@@ -84,7 +86,7 @@ class Memo(dict):
     def __missing__(self, key):
         value = self.make(key)
         if self.keep(value):
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value

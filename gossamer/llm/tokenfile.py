@@ -15,6 +15,7 @@ are ordered by the hash of their text; a null doc_id sorts first.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -40,8 +41,25 @@ _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _SPAN = np.dtype([("first", "<i8"), ("last", "<i8"), ("documents", "<u8"), ("ids", "<u8")])
 
 
+#: Letters that have one lower-case letter and one spelling, then signs that are tokens of their own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Pieces(_Short):
+    """Pieces with their ids: about 160 bytes each, of which a worker sees one or two million."""
+
+    most = 1_500_000
+
+    def __missing__(self, piece: str) -> bytes:
+        # capitals and trailing signs do not make a new word for the library
+        if (m := _PLAIN.fullmatch(piece)) and (word := m[1].lower()) != piece:
+            self[piece] = found = self[word] + (self[m[2]] if m[2] else b"")
+            return found
+        return super().__missing__(piece)
+
+
 class Encoder:
-    """The tokenizers library, asked once per worker for each piece between white space."""
+    """The tokenizers library, asked once per worker for each word between white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,7 +67,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = _Short(lambda piece: np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        self.pieces = _Pieces(lambda piece: np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
     def encode(self, text: str | None) -> bytes:
         if not text:
