@@ -156,6 +156,30 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_finds_short_passages_wherever_they_are(spark):
+    """Planted passages of 2 to 6 lines and over 50 words, between lines that no other text has."""
+    rng, rows, planted = random.Random(8), [], {}
+    for k in range(60):
+        n = 2 + k % 5
+        sizes = [52 // n + 1 + rng.randrange(2) for _ in range(n)]
+        passage = [" ".join(f"p{k}x{j}x{i}" for i in range(size)) for j, size in enumerate(sizes)]
+        for copy in range(3):
+            own = [" ".join(f"o{k}x{copy}x{j}x{i}" for i in range(5 + rng.randrange(12))) for j in range(10)]
+            at = rng.randrange(1, 9)
+            planted[3 * k + copy] = (passage, own)
+            rows.append((3 * k + copy, "\n".join([*own[:at], *passage, *own[at:]])))
+    got = {r.doc_id: r.text for r in lines.remove(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(len(" ".join(p).split()) > 50 for p, _ in planted.values())
+    assert {d: t for d, t in got.items() if d % 3 == 0} == {d: t for d, t in rows if d % 3 == 0}
+    assert all(got[d] == "\n".join(own) for d, (_, own) in planted.items() if d % 3)
+
+
+def test_line_dedup_keeps_one_whole_place_of_overlapping_repeats(spark):
+    line = " ".join(f"again{i}" for i in range(15))
+    found = {r.doc_id: r.text for r in lines.remove(spark.createDataFrame([(1, "\n".join([line] * 9))], DOCS)).collect()}
+    assert found[1].split("\n")[:2] == [line] * 2
+
+
 def test_chunks_do_not_shift():
     body = [" ".join(words_of(6, k)) for k in range(200)]
     whole = {h for _, _, h in lines.chunks("\n".join(body))}
