@@ -2,9 +2,11 @@
 
 Every block is a line with its characters and tags.  The text-to-tag ratio per line is smoothed with a
 Gaussian and split into two clusters at a threshold; the lines above it vote for the region that holds the
-content: an article or main element where one has their majority, else the innermost element that still
-has MOST of them.  All blocks of that region are the text, without those inside menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments.
+content: an article or main element where one has their majority (one inside it only if that has MOST of
+it), else the innermost element that still has MOST of them.  All blocks of that region are the text, without
+those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+An element that only its class or id names so is text all the same where it holds more than half of what is
+above the threshold, unless the whole name is that of adverts or comments.
 
 Defined results: a null, empty or textless page has the empty string; truncated pages end where they end,
 with their open elements closed; white space, also no-break spaces, becomes one space.
@@ -35,32 +37,39 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|skip)(?=$|[\s_-]|\d)",
     re.IGNORECASE,
 )
+#: Names that tell of something else on the page, not of the element itself.
+_ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|hides|show|shows)[_-]", re.IGNORECASE)
+#: Whole names that the density of text does not overrule.
+_CERTAIN = re.compile(r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|comments?|comment-list|disqus|replies)\d*", re.IGNORECASE)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped")
+    __slots__ = ("tag", "path", "dropped", "named")
 
-    def __init__(self, tag: str, path: tuple[int, ...], dropped: bool):
-        self.tag, self.path, self.dropped = tag, path, dropped
+    def __init__(self, tag: str, path: tuple[int, ...], dropped: bool, named: tuple[int, ...]):
+        self.tag, self.path, self.dropped, self.named = tag, path, dropped, named
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, path of open regions) from parser events as they come."""
+    """Collects lines (text, tags, path of open regions, elements named as noise) from parser events as they come."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [_Element("", (), False)]
+        self.open = [_Element("", (), False, ())]
         self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.text: list[str] = []
+        self.above: list[tuple[int, ...]] = []
+        self.names = 0
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.text: dict[tuple[int, ...], list[str]] = {}
         self.tags = 0
 
     def _flush(self) -> None:
         if self.text:
-            if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.open[-1].path))
-                self.tags = 0
-            self.text = []
+            for named, parts in self.text.items():
+                if text := " ".join("".join(parts).split()):
+                    self.lines.append((text, self.tags, self.open[-1].path, named))
+                    self.tags = 0
+            self.text = {}
 
     def _pop(self, tags: set[str], until: set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -75,7 +84,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.text.append(" ")
+                self.text.setdefault(self.open[-1].named, []).append(" ")
             elif tag not in INLINE:
                 self._flush()
             return
@@ -85,23 +94,32 @@ class Lines(HTMLParser):
             self._pop({"p"}, {"div", "article", "section", "td", "li", "body"})
         over = self.open[-1]
         if tag in INLINE:
-            if not over.dropped and attrs and self._noise(tag, attrs):
-                self.open.append(_Element(tag, over.path, True))
-            elif over.dropped or tag == "label":
-                self.open.append(_Element(tag, over.path, over.dropped))
+            dropped, named = self._state(over, attrs, False, True)
+            if (dropped, named) != (False, ()) or tag == "label":
+                self.open.append(_Element(tag, over.path, dropped, named))
             return
         self._flush()
-        dropped = over.dropped or tag in DROPPED or (tag not in ("html", "body", "article", "main") or _is_comment(attrs)) and self._noise(tag, attrs)
+        dropped, named = self._state(over, attrs, tag in DROPPED, tag not in ("html", "body", "article", "main") or _is_comment(attrs))
         path = over.path
         if tag not in ("p", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
             self.kinds.append("article" if tag in ("article", "main") or ("role", "main") in attrs else tag)
+            self.above.append(path)
             path = (*path, len(self.kinds) - 1)
-        self.open.append(_Element(tag, path, dropped))
+        self.open.append(_Element(tag, path, dropped, named))
+
+    def _state(self, over: _Element, attrs: list[tuple[str, str | None]], dropped: bool, look: bool) -> tuple[bool, tuple[int, ...]]:
+        """Whether an element inside `over` is dropped for certain, and the elements around it that are named as noise."""
+        if over.dropped or dropped or attrs and look and self._noise(attrs):
+            return True, over.named
+        if attrs and look and any(name in ("class", "id") and value and any(map(_is_noise, value.split())) for name, value in attrs):
+            self.names += 1
+            return False, (*over.named, self.names)
+        return False, over.named
 
     @staticmethod
-    def _noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _noise(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
-            if name in ("class", "id") and value and _NOISE.search(value):
+            if name in ("class", "id") and value and any(map(_CERTAIN.fullmatch, value.split())):
                 return True
             if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -119,13 +137,17 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1].dropped:
-            self.text.append(data)
+            self.text.setdefault(self.open[-1].named, []).append(data)
 
     def finish(self) -> None:
         self.close()
         self._flush()
 
 
+def _is_noise(name: str) -> bool:
+    return bool(_NOISE.search(name)) and not _ABOUT.match(name)
+
+
 def _is_comment(attrs) -> bool:
     return any(name in ("class", "id") and value and re.search(r"comment|repl(y|ies)", value, re.IGNORECASE) for name, value in attrs)
 
@@ -161,27 +183,50 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.finish()
-    lines = parser.lines
+    lines, smooth, cut = _without(parser.lines, None)
     if not lines:
         return ""
-    smooth = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
-    cut = threshold(smooth)
+    if any(named for *_, named in lines):
+        held: dict[int, int] = {}
+        dense = [(len(text), named) for (text, _, _, named), value in zip(lines, smooth, strict=True) if value >= cut]
+        for size, named in dense:
+            for k in named:
+                held[k] = held.get(k, 0) + size
+        total = sum(size for size, _ in dense)
+        lines, smooth, cut = _without(lines, {k for k in held if held[k] * 2 > total})
+        if not lines:
+            return ""
     mass: dict[int, int] = {}
     total = 0
-    for (text, _, path), value in zip(lines, smooth, strict=True):
+    for (text, _, path, _), value in zip(lines, smooth, strict=True):
         if value >= cut:
             total += len(text)
             for region in path:
                 mass[region] = mass.get(region, 0) + len(text)
     articles = [r for r in mass if parser.kinds[r] == "article"]
-    outer = [r for r in articles if mass[r] * 2 >= total]
+    outer = {r for r in articles if mass[r] * 2 >= total}
     if outer:
-        chosen = {max(outer)}  # the innermost one with the majority
+        # of each outermost one with the majority the innermost that has MOST of it
+        tops = [r for r in outer if not outer & {*parser.above[r]}]
+        chosen = {max(r for r in outer if t in (r, *parser.above[r]) and mass[r] >= MOST * mass[t]) for t in tops}
     elif articles and sum(mass[r] for r in articles) * 2 >= total:
         chosen = set(articles)
     else:
         chosen = {max((r for r in mass if mass[r] >= MOST * total), default=-1)}
-    return "\n".join(t for t, _, path in lines if chosen & {*path, -1})
+    return "\n".join(t for t, _, path, _ in lines if chosen & {*path, -1})
+
+
+def _without(lines: list[tuple], kept: set[int] | None) -> tuple[list[tuple], list[float], float]:
+    """`lines` without those in named elements other than `kept` (all without it), their smoothed ratios and threshold."""
+    out, more = [], 0
+    for text, tags, path, named in lines:
+        if kept is None or kept.issuperset(named):
+            out.append((text, tags + more, path, named))
+            more = 0
+        else:
+            more += tags
+    smooth = smoothed([len(t) / max(1, tags) for t, tags, *_ in out])
+    return out, smooth, threshold(smooth) if smooth else 0.0
 
 
 def extract(pages: DataFrame) -> DataFrame:

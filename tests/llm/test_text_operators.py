@@ -165,6 +165,20 @@ def test_page_text_without_article_takes_the_dense_region():
     assert html_text.threshold([1.0, 1.1, 9.0, 9.1]) == pytest.approx(5.05)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "with-sidebar", "no-sidebar", "post-header", "page_header"])
+def test_page_text_inside_a_wrapper_that_is_named_like_noise(name):
+    body = [f"{'content words go on and on ' * 6}{i}" for i in range(6)]
+    menu = "".join(f'<li><a href="/{i}">m{i}</a></li>' for i in range(5))
+    page = f"<body><div class='main-menu'><ul>{menu}</ul></div><div class='{name}'>{''.join(f'<p>{b}</p>' for b in body)}<div class='share'>Share</div></div><div class='ad'>{'buy ' * 600}</div></body>"
+    assert html_text.main_text(page) == "\n".join(body)
+
+
+def test_page_text_of_main_with_a_smaller_article():
+    own, rest = ["".join(f"<p>{f'{w} goes on and on ' * 8}{i}</p>" for i in range(n)) for w, n in (("inner", 6), ("outer", 4))]
+    text = html_text.main_text(f"<body><main><article>{own}</article><section>{rest}</section></main></body>")
+    assert text.count("\n") == 9 and "outer" in text
+
+
 def test_toxicity_learns_pairs(spark):
     # neither word alone is toxic, both together are
     rng = np.random.default_rng(0)
