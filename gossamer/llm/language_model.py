@@ -4,8 +4,10 @@ Bigram and unigram maximum-likelihood estimates are mixed per bucket of context
 
     P(w | v) = a(b) P2(w | v) + (1 - a(b)) P1(w),   b = the power of two below the count of context v.
 
-P1 is the additive unigram model over all training tokens.  P2 covers the HEAD most frequent tokens as
-themselves and all others as one class, inside which mass is dealt out as by P1, so that P sums to one.
+P1 is the additive unigram model over all training tokens.  P2 covers all bigrams of training tokens.  The
+HEAD most frequent tokens have numbers, and bigrams of two of them short keys; a bigram with a rarer token is
+keyed by hashes and meets the counts of its rare tokens in the slots of those.  A context that no training
+row has leaves all to P1.
 The mixture weights a(b) come from expectation-maximisation on held-out counts: each training bigram is
 deleted in turn from its own count and its context's (leave one out), over all training documents.
 
@@ -35,7 +37,7 @@ from gossamer.llm.common import Memo, crc_fold, stage
 
 DELTA = 0.1
 FOLDS = 10
-#: Tokens that bigrams know as themselves.
+#: Tokens with numbers, whose counts are broadcast.
 HEAD = 1 << 17
 _BITS = 18
 #: Keys in a slot, of which a task holds a few arrays.
@@ -44,6 +46,11 @@ SLOT_KEYS = 1_000_000
 BATCH = 1000
 CONTEXTS, BINS = 40, 160
 _END = b"\n"  # no token has white space
+#: A bigram with a rare token g: o is the rare other one (0 in its lowest two bits, c its count), or the number
+#: of the head token that follows g (times 4, plus 1) or precedes it (plus 2).
+_RARE = np.dtype([("g", "<u8"), ("o", "<u8"), ("c", "<u4")])
+#: Slots of unigrams of rare tokens begin here, those of bigrams with rare tokens there.
+_TAIL_SLOT, _RARE_SLOT = 1 << 40, 1 << 41
 
 
 class Unigrams(NamedTuple):
@@ -145,10 +152,47 @@ def _unscrambled(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(pow(0x9E3779B97F4A7C15, -1, bits))) & mask
 
 
-def _bigrams(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct scrambled bigrams of one text and how often each occurs."""
-    before = np.concatenate([[start], ids[:-1]])
-    return np.unique(_scrambled((before << _BITS) | ids), return_counts=True)
+def _bigrams(ids: np.ndarray, words: list[bytes], tail: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct bigrams of one text and how often each occurs: scrambled ones of head tokens, those of a
+    head and a rare token, and those of two rare ones (by the first one, without the count of the second).
+    """
+    before = np.concatenate([[tail + 1], ids[:-1]])
+    rare = ids == tail
+    places = np.flatnonzero(rare)
+    if not len(places):
+        return [np.unique(_scrambled((before << _BITS) | ids), return_counts=True), _NO_BIGRAMS, _NO_BIGRAMS]
+    hashes = np.zeros(len(ids), np.uint64)
+    hashes[places] = np.fromiter((_HASHES[words[i]] for i in places.tolist()), np.uint64, len(places))
+    last = np.concatenate([[False], rare[:-1]])
+    of_last = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])
+    after, first, both = last & ~rare, rare & ~last, rare & last
+    g = np.concatenate([of_last[after], hashes[first]])
+    o = np.concatenate([ids[after] * 4 + 1, before[first] * 4 + 2]).astype(np.uint64)
+    head = ~(rare | last)
+    return [np.unique(_scrambled((before[head] << _BITS) | ids[head]), return_counts=True), _distinct(g, o), _distinct(of_last[both], hashes[both] & ~np.uint64(3))]
+
+
+def _pair_hash(g: np.ndarray, o: np.ndarray) -> np.ndarray:
+    key = (g ^ (o * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def _distinct(g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, at, counts = np.unique(_pair_hash(g, o), return_index=True, return_counts=True)
+    keys = np.zeros(len(at), _RARE)
+    keys["g"], keys["o"] = g[at], o[at]
+    return keys, counts
+
+
+def _rare_pairs(ids: np.ndarray, words: list[bytes], tail: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of two rare tokens in one text, by the second one with all of the first one's hash, and their counts."""
+    at = np.flatnonzero((ids[1:] == tail) & (ids[:-1] == tail)).tolist()
+    if not at:
+        return _NO_BIGRAMS
+    return _distinct(*[np.fromiter((_HASHES[words[i + k]] for i in at), np.uint64, len(at)) for k in (1, 0)])
+
+
+_NO_BIGRAMS = (np.zeros(0, _RARE), np.zeros(0, np.int64))
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray, owner: np.ndarray, train: np.ndarray) -> bytes:
@@ -166,20 +210,27 @@ class Packed(NamedTuple):
     train: np.ndarray
 
 
-def _unpack(blob: bytes) -> Packed:
+def _unpack(blob: bytes, kind: np.dtype | None = None) -> Packed:
     n, m, width = np.frombuffer(blob, "<u4", 3).tolist()
     at = 12 + 9 * n
     return Packed(
-        np.frombuffer(blob, f"<u{width}", m, at), np.frombuffer(blob, "<u4", m, at + width * m), np.frombuffer(blob, "<u4", n, 12), np.frombuffer(blob, "<u4", n, 12 + 4 * n), np.frombuffer(blob, "u1", n, 12 + 8 * n)
+        np.frombuffer(blob, kind or f"<u{width}", m, at), np.frombuffer(blob, "<u4", m, at + width * m), np.frombuffer(blob, "<u4", n, 12), np.frombuffer(blob, "<u4", n, 12 + 4 * n), np.frombuffer(blob, "u1", n, 12 + 8 * n)
     )
 
 
 def _dealt(keys, counts, owner, slots: int, train: np.ndarray, width: str) -> Iterator[tuple[int, bytes]]:
     """(slot, packed) for keys dealt by their remainder; what is kept of a key is its quotient."""
-    slot = (keys % np.uint64(slots)).astype(np.int64)
+    return _sliced((keys % np.uint64(slots)).astype(np.int64), (keys // np.uint64(slots)).astype(width), counts, owner, train)
+
+
+def _dealt_rare(keys, counts, owner, slots: int, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(slot, packed) for bigrams with rare tokens, dealt by the token g."""
+    return _sliced((keys["g"] % np.uint64(slots)).astype(np.int64), keys, counts, owner, train)
+
+
+def _sliced(slot, quotient, counts, owner, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(slot, kind="stable")
     ends = np.flatnonzero(np.diff(slot[order])) + 1
-    quotient = (keys // np.uint64(slots)).astype(width)
     for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(order)], strict=True):
         if hi > lo:
             at = order[lo:hi]
@@ -193,6 +244,103 @@ def _keyed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["slot", "batch", "blob"])
 
 
+def _dealt_counts(counts: DataFrame, slots: int, first: int) -> DataFrame:
+    """The counts (h, c) of tokens as rows of their slots, as batch -1."""
+
+    def run(batches):
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            slot = (h % np.uint64(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            rows = []
+            for at in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
+                if len(at):
+                    rows.append((first + int(slot[at[0]]), -1, b"".join([(h[at] // np.uint64(slots)).astype("<u8").tobytes(), c[at].astype("<i8").tobytes()])))
+            yield _keyed_rows(rows)
+
+    return counts.mapInArrow(run, _KEYED)
+
+
+def _counts_of(keys: np.ndarray, counted: list[bytes]) -> np.ndarray:
+    """The count of each token of `keys` (quotients in a slot), 0 where it has none."""
+    half = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<i8", len(b) // 16, len(b) // 2)) for b in counted]
+    h = np.concatenate([x for x, _ in half]) if half else np.zeros(0, np.uint64)
+    c = np.concatenate([x for _, x in half]) if half else np.zeros(0, np.int64)
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    at = np.minimum(np.searchsorted(h, keys), max(len(h) - 1, 0))
+    return np.where(h[at] == keys, c[at], 0) if len(h) else np.zeros(len(keys), np.int64)
+
+
+def rare_pairs(docs: DataFrame, counts: DataFrame, shared, slots: int) -> DataFrame:
+    """The bigrams of two rare tokens in training rows, with the count of the second one, as rows of slots of the first one."""
+
+    def deal(batches):
+        model = shared.value
+        ids = _Ids(model)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                texts = [tokens(t) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
+                found = [_rare_pairs(ids.of(words), words, model.head) for words in texts]
+                if any(len(k) for k, _ in found):
+                    keys, n = _summed(found)
+                    yield _keyed_rows([(s, 0, blob) for s, blob in _dealt_rare(keys, n, np.zeros(len(keys), np.int64), slots, np.ones(1))])
+
+    def run(key, rows):
+        batches, blobs = rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
+        counted = [x for b, x in zip(batches, blobs, strict=True) if b < 0]
+        own = [(b, _unpack(x, _RARE)) for b, x in zip(batches, blobs, strict=True) if b >= 0]
+        out = []
+        if own:
+            every = np.concatenate([p.keys for _, p in own])
+            turned = np.zeros(len(every), _RARE)
+            turned["g"], turned["o"] = every["o"], every["g"] & ~np.uint64(3)
+            turned["c"] = _counts_of(every["g"] // np.uint64(slots), counted)
+            at = 0
+            for b, p in own:
+                train = np.zeros(int(p.documents.max()) + 1, "u1")
+                train[p.documents] = p.train
+                mine = turned[at : at + len(p.keys)]
+                out += [(_RARE_SLOT + s, b, blob) for s, blob in _dealt_rare(mine, p.counts, np.repeat(p.documents, p.sizes), slots, train)]
+                at += len(p.keys)
+        return pa.Table.from_batches([_keyed_rows(out)])
+
+    rows = docs.select("text", "held_out").mapInArrow(deal, _KEYED).unionByName(_dealt_counts(counts, slots, 0))
+    return stage(rows.groupBy("slot").applyInArrow(run, _KEYED))
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bigrams with rare tokens of several texts and how often each occurs."""
+    keys = np.concatenate([k for k, _ in found])
+    _, one, at = np.unique(_pair_hash(keys["g"], keys["o"]), return_index=True, return_inverse=True)
+    return keys[one], np.bincount(at, weights=np.concatenate([c for _, c in found])).astype(np.int64)
+
+
+def _with_counts(keys: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+    """`keys` with the counts c of those of `pairs`; the others occur in no training row."""
+    if not pairs:
+        return keys
+    known = np.concatenate(pairs)
+    hashes, at = np.unique(_pair_hash(known["g"], known["o"]), return_index=True)
+    own = _pair_hash(keys["g"], keys["o"])
+    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    keys = keys.copy()
+    keys["c"] = np.where(hashes[place] == own, known["c"][at[place]], 0)
+    return keys
+
+
+def _rare_estimates(keys: np.ndarray, counted: list[bytes], slots: int, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
+    """The count of the context and P1 of the word of each bigram with a rare token."""
+    own = _counts_of(keys["g"] // np.uint64(slots), counted)
+    kind, number = keys["o"] & np.uint64(3), (keys["o"] >> np.uint64(2)).astype(np.int64)
+    number = np.where(kind == 0, 0, number)
+    total = model.tokens + DELTA * (model.types + 1)
+    c1 = np.where(kind == 2, model.contexts()[number], own)
+    p1 = np.where(kind == 1, model.first()[number], (np.where(kind == 2, own, keys["c"]) + DELTA) / total)
+    return c1, p1
+
+
 def bin_of(ratio: np.ndarray) -> np.ndarray:
     """The histogram bin of a likelihood ratio P2 / P1: eight to a power of two, the first for 0."""
     with np.errstate(divide="ignore"):
@@ -207,7 +355,7 @@ def context_bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), CONTEXTS - 1)
 
 
-def deleted_counts(docs: DataFrame, shared, slots: int) -> np.ndarray:
+def deleted_counts(docs: DataFrame, counts: DataFrame, pairs: DataFrame, shared, slots: int, rare_slots: int) -> np.ndarray:
     """Held-out counts: a histogram of likelihood ratios (bin) per context bucket, each bigram left out once."""
 
     def deal(batches):
@@ -216,27 +364,41 @@ def deleted_counts(docs: DataFrame, shared, slots: int) -> np.ndarray:
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                keys = [_bigrams(ids.of(tokens(t)), model.head + 1) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
-                if keys:
-                    every, at = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
-                    counts = np.bincount(at, weights=np.concatenate([c for _, c in keys])).astype(np.int64)
-                    yield _keyed_rows([(s, 0, blob) for s, blob in _dealt(every, counts, np.zeros(len(every), np.int64), slots, np.ones(1), "<u4")])
+                texts = [tokens(t) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
+                if not texts:
+                    continue
+                head, mixed, _ = zip(*[_bigrams(ids.of(words), words, model.head) for words in texts], strict=True)
+                every, at = np.unique(np.concatenate([k for k, _ in head]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([c for _, c in head])).astype(np.int64)
+                rows = [(s, 0, blob) for s, blob in _dealt(every, n, np.zeros(len(every), np.int64), slots, np.ones(1), "<u4")]
+                keys, n = _summed(mixed)
+                rows += [(_RARE_SLOT + s, 0, blob) for s, blob in _dealt_rare(keys, n, np.zeros(len(keys), np.int64), rare_slots, np.ones(1))]
+                yield _keyed_rows(rows)
 
     def count(key, rows):
-        model = shared.value
-        parts = [_unpack(b) for b in rows.column("blob").to_pylist()]
-        keys, at = np.unique(np.concatenate([p.keys for p in parts]), return_inverse=True)
+        model, slot = shared.value, key[0].as_py()
+        batches, blobs = rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
+        rare = slot >= _RARE_SLOT
+        parts = [_unpack(x, _RARE if rare else None) for b, x in zip(batches, blobs, strict=True) if b >= 0]
+        if not parts:
+            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        keys = np.concatenate([p.keys for p in parts])
+        _, one, at = np.unique(_pair_hash(keys["g"], keys["o"]) if rare else keys, return_index=True, return_inverse=True)
+        keys = keys[one]
         c12 = np.bincount(at, weights=np.concatenate([p.counts for p in parts])).astype(np.int64)
-        pair = _unscrambled(keys.astype(np.uint64) * np.uint64(slots) + np.uint64(key[0].as_py())).astype(np.int64)
-        before, word = pair >> _BITS, pair & ((1 << _BITS) - 1)
-        c1 = model.contexts()[before]
-        ratio = np.where(c1 > 1, (c12 - 1) / np.maximum(c1 - 1, 1), 0.0) / model.first()[word]
+        if rare:
+            c1, p1 = _rare_estimates(keys, [x for b, x in zip(batches, blobs, strict=True) if b < 0], rare_slots, model)
+        else:
+            pair = _unscrambled(keys.astype(np.uint64) * np.uint64(slots) + np.uint64(slot)).astype(np.int64)
+            c1, p1 = model.contexts()[pair >> _BITS], model.first()[pair & ((1 << _BITS) - 1)]
+        ratio = np.where(c1 > 1, (c12 - 1) / np.maximum(c1 - 1, 1), 0.0) / p1
         cell = context_bucket(c1) * BINS + bin_of(ratio)
         n = np.bincount(cell, weights=c12, minlength=CONTEXTS * BINS)
         cells = np.flatnonzero(n)
         return pa.table({"cell": pa.array(cells), "n": pa.array(n[cells].astype(np.int64))})
 
-    found = docs.select("text", "held_out").mapInArrow(deal, _KEYED).groupBy("slot").applyInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    keyed = docs.select("text", "held_out").mapInArrow(deal, _KEYED).unionByName(pairs).unionByName(_dealt_counts(counts, rare_slots, _RARE_SLOT))
+    found = keyed.groupBy("slot").applyInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     histogram = np.zeros(CONTEXTS * BINS)
     for cell, n in found:
         histogram[cell] = n
@@ -265,7 +427,9 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     slots = max(16, math.ceil(model.tokens / SLOT_KEYS))  # 16 leave quotients of 32 bits
     tail_slots = max(1, math.ceil(max(model.tail, model.types) / SLOT_KEYS))
-    weights = mixture(deleted_counts(docs, shared, slots))
+    rare_slots = max(1, math.ceil(max(2 * model.tail, model.types) / SLOT_KEYS))
+    known_pairs = rare_pairs(docs, counts, shared, rare_slots)
+    weights = mixture(deleted_counts(docs, counts, known_pairs, shared, slots, rare_slots))
     final = spark.sparkContext.broadcast(weights)
 
     def deal(batches):
@@ -275,6 +439,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
         tail, start = unigram.head, unigram.head + 1
         base = np.log10(np.concatenate([unigram.counts + DELTA, np.ones(tail - len(unigram.counts)), [1.0]]))
         keep = np.log10(1 - final.value)[context_bucket(unigram.contexts())]
+        keep[tail] = 0.0  # rare contexts are weighed in their slots
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
@@ -282,53 +447,56 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
                 name = (task << 32) + number
                 number += 1
                 train = ~np.array(part.column(2).to_pylist(), bool)
-                pairs, rest, head = [], [], []
+                pairs, mixed, rare, rest, head = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = tokens(text)
                     at = ids.of(words)
-                    pairs.append(_bigrams(at, start))
+                    for kind, found in zip((pairs, mixed, rare), _bigrams(at, words, tail), strict=True):
+                        kind.append(found)
                     other = np.flatnonzero(at == tail).tolist()
                     rest.append(np.unique(np.fromiter((_HASHES[words[i]] for i in other), np.uint64, len(other)), return_counts=True))
                     head.append((len(words), len(words) - len(other), float(base[at].sum()), float(keep[np.concatenate([[start], at[:-1]])].sum())))
                 rows = [(-1 - name, name, _header(part.column(0).to_pylist(), train, head))]
-                for found, n, first, width in ((pairs, slots, 0, "<u4"), (rest, tail_slots, 1 << 40, "<u8")):
+                for found, n, first, width in ((pairs, slots, 0, "<u4"), (rest, tail_slots, _TAIL_SLOT, "<u8")):
                     owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
                     dealt = _dealt(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), owner, n, train, width)
                     rows += [(first + s, name, blob) for s, blob in dealt]
+                for found in (mixed, rare):
+                    owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+                    dealt = _dealt_rare(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), owner, rare_slots, train)
+                    rows += [(_RARE_SLOT + s, name, blob) for s, blob in dealt]
                 yield _keyed_rows(rows)
 
-    def deal_counts(batches):
-        for batch in batches:
-            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            slot = (h % np.uint64(tail_slots)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            rows = []
-            for at in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
-                if len(at):
-                    rows.append(((1 << 40) + int(slot[at[0]]), -1, b"".join([(h[at] // np.uint64(tail_slots)).astype("<u8").tobytes(), c[at].astype("<i8").tobytes()])))
-            yield _keyed_rows(rows)
-
     def weigh(key, rows):
         slot, batches, blobs = key[0].as_py(), rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
         if slot < 0:
             return pa.table({"batch": pa.array(batches, pa.int64()), "kind": pa.array([0] * len(batches), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-        tail = slot >= 1 << 40
-        own = [(b, _unpack(x)) for b, x in zip(batches, blobs, strict=True) if b >= 0]
+        rare = slot >= _RARE_SLOT
+        tail = slot >= _TAIL_SLOT and not rare
+        counted = [x for b, x in zip(batches, blobs, strict=True) if b == -1]
+        own = [(b, _unpack(x, _RARE if rare else None)) for b, x in zip(batches, blobs, strict=True) if b >= 0]
         if not own:
             return pa.table({"batch": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         keys = np.concatenate([p.keys for _, p in own])
         times = np.concatenate([p.counts for _, p in own]).astype(np.int64)
-        known = np.zeros(0)
         if tail:
-            gain, known = _tail_gain(keys, times, [x for b, x in zip(batches, blobs, strict=True) if b < 0])
+            sums_of = _tail_gain(keys, times, counted, final.value, slot - _TAIL_SLOT, tail_slots)
         else:
             train = np.concatenate([np.repeat(p.train, p.sizes) for _, p in own])
-            gain = _bigram_gain(keys, times, train, slot, slots, shared.value, final.value)
+            if rare:
+                _, one, at = np.unique(_pair_hash(keys["g"], keys["o"]), return_index=True, return_inverse=True)
+                every = _with_counts(keys[one], [_unpack(x, _RARE).keys for b, x in zip(batches, blobs, strict=True) if b == -2])
+                c1, p1 = _rare_estimates(every, counted, rare_slots, shared.value)
+            else:
+                every, at = np.unique(keys, return_inverse=True)
+                pair = _unscrambled(every.astype(np.uint64) * np.uint64(slots) + np.uint64(slot)).astype(np.int64)
+                c1, p1 = shared.value.contexts()[pair >> _BITS], shared.value.first()[pair & ((1 << _BITS) - 1)]
+            sums_of = (_bigram_gain(at, times, train, c1, p1, final.value),)
         out, at = [], 0
         for _, p in own:
             starts = np.concatenate([[0], np.cumsum(p.sizes)[:-1]]).astype(np.int64)
             mine = slice(at, at + len(p.keys))
-            sums = [np.add.reduceat(v[mine], starts).astype("<f8").tobytes() for v in ((gain, known) if tail else (gain,))]
+            sums = [np.add.reduceat(v[mine], starts).astype("<f8").tobytes() for v in sums_of]
             out.append(b"".join([p.documents.tobytes(), *sums]))
             at += len(p.keys)
         return pa.table({"batch": pa.array([b for b, _ in own], pa.int64()), "kind": pa.array([2 if tail else 1] * len(own), pa.int32()), "blob": pa.array(out, pa.binary())})
@@ -341,17 +509,19 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
         base, known, gained = head[2].copy(), head[1].copy(), head[3].copy()
         for kind, blob in parts:
             if kind:
-                m = len(blob) // (4 + 8 * kind)
+                m = len(blob) // (4 + (8 if kind == 1 else 24))
                 at = np.frombuffer(blob, "<u4", m)  # each document once
                 (gained if kind == 1 else base)[at] += np.frombuffer(blob, "<f8", m, 4 * m)
                 if kind == 2:
                     known[at] += np.frombuffer(blob, "<f8", m, 12 * m)
+                    gained[at] += np.frombuffer(blob, "<f8", m, 20 * m)
         base = base - head[0] * unigram.log_total
         return pa.table(
             {"doc_id": doc_ids, "held_out": pa.array(~train), "n_tokens": pa.array(head[0].astype(np.int64)), "n_known": pa.array(np.rint(known).astype(np.int64)), "train_tokens": pa.array(np.full(n, unigram.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(base + gained)}
         )
 
-    keyed = docs.select("doc_id", "text", "held_out").mapInArrow(deal, _KEYED).unionByName(counts.mapInArrow(deal_counts, _KEYED))
+    keyed = docs.select("doc_id", "text", "held_out").mapInArrow(deal, _KEYED).unionByName(_dealt_counts(counts, tail_slots, _TAIL_SLOT))
+    keyed = keyed.unionByName(known_pairs.withColumn("batch", F.lit(-2).cast("long"))).unionByName(_dealt_counts(counts, rare_slots, _RARE_SLOT))
     weighed = keyed.groupBy("slot").applyInArrow(weigh, "batch long, kind int, blob binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return weighed.groupBy("batch").applyInArrow(gather, schema)
@@ -370,24 +540,17 @@ def _read_header(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(ids, pa.int64(), mask=null), train, np.frombuffer(blob, "<f8", 4 * n, 4 + 10 * n).reshape(4, n)
 
 
-def _tail_gain(keys: np.ndarray, times: np.ndarray, counted: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For rare tokens: times log10(c + DELTA), and times where the token is known."""
-    half = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<i8", len(b) // 16, len(b) // 2)) for b in counted]
-    h = np.concatenate([x for x, _ in half]) if half else np.zeros(0, np.uint64)
-    c = np.concatenate([x for _, x in half]) if half else np.zeros(0, np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    at = np.minimum(np.searchsorted(h, keys), max(len(h) - 1, 0))
-    count = np.where(h[at] == keys, c[at], 0) if len(h) else np.zeros(len(keys), np.int64)
-    return times * np.log10(count + DELTA), times * (count > 0)
+def _tail_gain(keys: np.ndarray, times: np.ndarray, counted: list[bytes], weights: np.ndarray, slot: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rare tokens: times log10(c + DELTA), times where the token is known, and times log10(1 - a) of it as a context."""
+    count = _counts_of(keys, counted)
+    end = xxhash.xxh64_intdigest(_END)
+    context = (count > 0) & ((keys != np.uint64(end // slots)) | (slot != end % slots))  # nothing follows an end
+    return times * np.log10(count + DELTA), times * (count > 0), times * np.where(context, np.log10(1 - weights)[context_bucket(count)], 0.0)
 
 
-def _bigram_gain(keys, times, train, slot: int, slots: int, model: Unigrams, weights: np.ndarray) -> np.ndarray:
-    """times log10(1 + a / (1 - a) P2 / P1) of every bigram that occurs in training rows, else 0."""
-    every, at = np.unique(keys, return_inverse=True)
-    c12 = np.bincount(at, weights=times * train, minlength=len(every))
-    pair = _unscrambled(every.astype(np.uint64) * np.uint64(slots) + np.uint64(slot)).astype(np.int64)
-    c1 = model.contexts()[pair >> _BITS]
+def _bigram_gain(at: np.ndarray, times: np.ndarray, train: np.ndarray, c1: np.ndarray, p1: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """times log10(1 + a / (1 - a) P2 / P1) of every bigram (`at` in c1 and p1) that occurs in training rows, else 0."""
+    c12 = np.bincount(at, weights=times * train, minlength=len(c1))
     a = weights[context_bucket(c1)]
-    ratio = c12 / np.maximum(c1, 1) / model.first()[pair & ((1 << _BITS) - 1)]
+    ratio = c12 / np.maximum(c1, 1) / p1
     return times * np.log10(1 + a / (1 - a) * ratio)[at]

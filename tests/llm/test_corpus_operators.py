@@ -219,6 +219,22 @@ def test_language_model_gains_from_contexts(spark):
     assert language_model.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_model_counts_bigrams_of_rare_tokens(spark):
+    """However few tokens are head tokens (none but a few, or all), all bigrams count."""
+    rng = random.Random(5)
+    rows = []
+    for d in range(200):
+        k = [rng.randrange(60) for _ in range(20)]
+        rows.append((d, " ".join(f"a{i} b{i} {'the' if i % 2 else 'of'}" for i in k)))
+    rows += [(900, "never seen words"), (None, ""), (901, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = {r.doc_id: r for r in language_model.score(docs).collect()}
+    for head in (0, 3, 40):
+        got = {r.doc_id: r for r in language_model.score(docs, head).collect()}
+        assert got.keys() == whole.keys()
+        assert all(abs(r.score - whole[d].score) < 1e-6 * (1 + abs(r.score)) and abs(r.base_score - whole[d].base_score) < 1e-6 * (1 + abs(r.score)) for d, r in got.items())
+
+
 def test_mixture_sums_to_one():
     assert np.isclose(language_model._unscrambled(language_model._scrambled(np.arange(1000))).astype(int), np.arange(1000)).all()
     histogram = np.zeros((language_model.CONTEXTS, language_model.BINS))
