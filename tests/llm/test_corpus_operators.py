@@ -269,6 +269,43 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.report(frame.limit(0)).count() == 0
 
 
+def recall_of(frame, x, ids, got):
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[q]).sum(1)
+        true = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:20]
+        hits += len({int(ids[i]) for i in true} & got[int(ids[q])])
+        total += len(true)
+    return hits / total
+
+
+def test_neighbours_recall_on_the_given_embeddings(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = defaultdict(set)
+    for r in neighbours.report(frame).collect():
+        got[r.query_id].add(r.vec_id)
+    rows = frame.toPandas()
+    assert recall_of(frame, np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy(), got) >= 0.9
+
+
+def test_neighbours_with_subtrees_and_copied_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (20, 12))[rng.integers(20, size=4000)] + rng.normal(0, 0.4, (4000, 12))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    tree, n = neighbours.fit(frame.where("vec_id < 200"))
+    more = neighbours.refined(frame, tree, most=100, sub_sample=100)
+    assert more.leaves > 2 * tree.leaves and n == 200
+    leaves = more.leaf_of(x)
+    assert leaves.max() < more.leaves and (more.number[[0]] > 0).all() and len(np.unique(leaves)) > tree.leaves
+    assert sorted(more.listed().best_bins(more.promise(x[:1]).tolist()[0], more.leaves)) == list(range(more.leaves))
+    monkeypatch.setattr(neighbours, "SAMPLE", 200)
+    monkeypatch.setattr(neighbours, "QUERIES", 30)
+    got = defaultdict(set)
+    for r in neighbours.search(frame, frame.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert recall_of(frame, x, np.arange(4000), got) >= 0.9 and all(len(g) == 20 for g in got.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = [(d, t, "en", "s", 0, "own") for d, t in corpus() if d is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
