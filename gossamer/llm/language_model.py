@@ -1,556 +1,324 @@
 """Language-model scores by deleted interpolation.
 
-Bigram and unigram maximum-likelihood estimates are mixed per bucket of context frequency:
+Maximum-likelihood estimates of one to three tokens are mixed per bucket of context frequency:
 
-    P(w | v) = a(b) P2(w | v) + (1 - a(b)) P1(w),   b = the power of two below the count of context v.
+    P(w | u v) = l3(b) P3(w | u v) + l2(b) P2(w | v) + l1(b) P1(w),   l1 + l2 + l3 = 1,
 
-P1 is the additive unigram model over all training tokens.  P2 covers all bigrams of training tokens.  The
-HEAD most frequent tokens have numbers, and bigrams of two of them short keys; a bigram with a rarer token is
-keyed by hashes and meets the counts of its rare tokens in the slots of those.  A context that no training
-row has leaves all to P1.
-The mixture weights a(b) come from expectation-maximisation on held-out counts: each training bigram is
-deleted in turn from its own count and its context's (leave one out), over all training documents.
+where b tells how often the contexts u v and v occur in training rows and P1 is the additive unigram model.
+The weights of each bucket come from expectation-maximisation on held-out counts: every training token is
+deleted in turn from the counts of its own n-gram and context (leave one out), over all training documents.
+A context that no training row has leaves its share to the shorter ones.
 
-Counts never meet on one machine.  Tokens and bigrams are dealt to slots by hash, packed as arrays per
-batch of documents; a slot holds its keys of all documents, counts them over the training rows, and gives
-back one number per document.  Only the HEAD tokens (about 2 MB) and a table of histogram bins are
-broadcast, whatever the input.
+Counts never meet on one machine, and every n-gram of every training row counts, however rare.  Documents are
+taken in batches of about BATCH_BYTES of text.  A batch sends each of its distinct n-grams once, as a hash with
+its count, to the slot of that hash; a slot adds up what all batches sent and answers each batch.  Slots are
+even whatever is frequent, since a batch sends an n-gram once.  The texts meet the answers by batch, where
+everything else is worked out.  Hashes of single tokens have 64 bits, those of longer n-grams at least 54.
 
-Tokens are lower-cased (A-Z) runs between ASCII white space, then one end token a text.  Defined results:
-a null or empty text is its end token; repeated rows are scored row by row; a null doc_id counts as
-training text; without training rows all tokens are unknown and scores are those of no evidence.
+A batch is named by its contents.  If a task that is run again finds other rows, texts and answers do not match
+and the job fails rather than mixing documents.  The driver sees totals and a histogram of at most 2^19 cells.
+
+Tokens are lower-cased (A-Z) runs between ASCII white space, then one end token a text.  Ratios to P1 are kept
+in single precision.  Defined results: a null or empty text is its end token; repeated rows are scored row by
+row; a null doc_id counts as training text; without training rows all tokens are unknown and scores are those
+of no evidence; an empty table has no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import Memo, crc_fold, stage
+from gossamer.llm.common import crc_fold, stage
 
 DELTA = 0.1
 FOLDS = 10
-#: Tokens with numbers, whose counts are broadcast.
-HEAD = 1 << 17
-_BITS = 18
-#: Keys in a slot, of which a task holds a few arrays.
-SLOT_KEYS = 1_000_000
-#: Documents in a batch; a batch has one row in a slot.
-BATCH = 1000
-CONTEXTS, BINS = 40, 160
+ORDER = 3
+#: Text of a batch, and of all batches together for one slot of each order.
+BATCH_BYTES, SLOT_BYTES = 8 << 20, 4 << 20
+#: Slots that there are at least.
+SLOTS = 64
+#: Bytes of an n-gram's hash that are sent, besides what its slot tells.
+WIDTH = (8, 6, 6)
+#: Buckets of the counts of contexts of one and two tokens; bins of a likelihood ratio, one to a power of two.
+BUCKETS, BINS, LEAST = (16, 10), 52, -44
 _END = b"\n"  # no token has white space
-#: A bigram with a rare token g: o is the rare other one (0 in its lowest two bits, c its count), or the number
-#: of the head token that follows g (times 4, plus 1) or precedes it (plus 2).
-_RARE = np.dtype([("g", "<u8"), ("o", "<u8"), ("c", "<u4")])
-#: Slots of unigrams of rare tokens begin here, those of bigrams with rare tokens there.
-_TAIL_SLOT, _RARE_SLOT = 1 << 40, 1 << 41
-
-
-class Unigrams(NamedTuple):
-    """The broadcast part of the model: head tokens by hash, their counts, and totals."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    types: int
-    documents: int
-    #: How many tokens may be head tokens; this number itself stands for all others, the next for beginnings.
-    head: int
-
-    @property
-    def tail(self) -> int:
-        return self.tokens - int(self.counts.sum())
-
-    @property
-    def log_total(self) -> float:
-        return math.log10(self.tokens + DELTA * (self.types + 1))
-
-    def contexts(self) -> np.ndarray:
-        """Counts of the head tokens, of all others, and of text beginnings, as contexts."""
-        return np.concatenate([self.counts, np.zeros(self.head - len(self.counts), np.int64), [self.tail, self.documents]])
-
-    def first(self) -> np.ndarray:
-        """P1 of each head token and of the class of all others."""
-        total = self.tokens + DELTA * (self.types + 1)
-        rest = self.tail + DELTA * (self.types + 1 - len(self.counts))
-        return np.concatenate([(self.counts + DELTA) / total, np.ones(self.head - len(self.counts)), [rest / total, 1.0]])
-
-
-_HASHES = Memo(xxhash.xxh64_intdigest)
+_BEGIN = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
 
 def tokens(text: str | None) -> list[bytes]:
     return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else ()), _END]
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"))
-
-
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(h, c): how often each token, by hash, occurs in the training rows."""
-
-    def run(batches):
-        counts: dict[bytes, int] = {}
-        for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not held:
-                    for t in tokens(text):
-                        counts[t] = counts.get(t, 0) + 1
-            if len(counts) > 500_000:
-                yield _counted(counts)
-                counts = {}
-        yield _counted(counts)
-
-    return stage(docs.select("text", "held_out").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-
-
-def _counted(counts: dict[bytes, int]) -> pa.RecordBatch:
-    h = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["h", "c"])
-
-
-def unigrams(docs: DataFrame, counts: DataFrame, most: int = HEAD) -> Unigrams:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "h").limit(most).toArrow()
-    hashes, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
-    order = np.argsort(hashes)
-    return Unigrams(hashes[order], c[order].astype(np.int64), total["n"], total["v"], docs.where("NOT held_out").count(), most)
-
-
-class _Ids:
-    """token -> its place among the head tokens, or the number of all others."""
-
-    def __init__(self, model: Unigrams):
-        self.known = dict(zip(model.hashes.tolist(), range(len(model.hashes)), strict=True))
-        self.ids = Memo(lambda w: self.known.get(xxhash.xxh64_intdigest(w), model.head))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-
-
-def _scrambled(keys: np.ndarray) -> np.ndarray:
-    """A bijection of the 36-bit bigram keys, so that slots are even and hold small remainders."""
-    mask = np.uint64((1 << (2 * _BITS)) - 1)
-    keys = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & mask
-    keys ^= keys >> np.uint64(_BITS)
-    return (keys * np.uint64(0xBF58476D1CE4E5B9)) & mask
-
-
-def _unscrambled(keys: np.ndarray) -> np.ndarray:
-    bits = 1 << (2 * _BITS)
-    mask = np.uint64(bits - 1)
-    keys = (keys * np.uint64(pow(0xBF58476D1CE4E5B9, -1, bits))) & mask
-    keys ^= keys >> np.uint64(_BITS)
-    return (keys * np.uint64(pow(0x9E3779B97F4A7C15, -1, bits))) & mask
-
-
-def _bigrams(ids: np.ndarray, words: list[bytes], tail: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct bigrams of one text and how often each occurs: scrambled ones of head tokens, those of a
-    head and a rare token, and those of two rare ones (by the first one, without the count of the second).
-    """
-    before = np.concatenate([[tail + 1], ids[:-1]])
-    rare = ids == tail
-    places = np.flatnonzero(rare)
-    if not len(places):
-        return [np.unique(_scrambled((before << _BITS) | ids), return_counts=True), _NO_BIGRAMS, _NO_BIGRAMS]
-    hashes = np.zeros(len(ids), np.uint64)
-    hashes[places] = np.fromiter((_HASHES[words[i]] for i in places.tolist()), np.uint64, len(places))
-    last = np.concatenate([[False], rare[:-1]])
-    of_last = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])
-    after, first, both = last & ~rare, rare & ~last, rare & last
-    g = np.concatenate([of_last[after], hashes[first]])
-    o = np.concatenate([ids[after] * 4 + 1, before[first] * 4 + 2]).astype(np.uint64)
-    head = ~(rare | last)
-    return [np.unique(_scrambled((before[head] << _BITS) | ids[head]), return_counts=True), _distinct(g, o), _distinct(of_last[both], hashes[both] & ~np.uint64(3))]
-
-
-def _pair_hash(g: np.ndarray, o: np.ndarray) -> np.ndarray:
-    key = (g ^ (o * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-
-
-def _distinct(g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, at, counts = np.unique(_pair_hash(g, o), return_index=True, return_counts=True)
-    keys = np.zeros(len(at), _RARE)
-    keys["g"], keys["o"] = g[at], o[at]
-    return keys, counts
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a = (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
+    a = (a ^ (a >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return a ^ (a >> np.uint64(29))
 
 
-def _rare_pairs(ids: np.ndarray, words: list[bytes], tail: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of two rare tokens in one text, by the second one with all of the first one's hash, and their counts."""
-    at = np.flatnonzero((ids[1:] == tail) & (ids[:-1] == tail)).tolist()
-    if not at:
-        return _NO_BIGRAMS
-    return _distinct(*[np.fromiter((_HASHES[words[i + k]] for i in at), np.uint64, len(at)) for k in (1, 0)])
+class Grams(NamedTuple):
+    """The n-grams of some texts: per order the distinct hashes, how often each is in training texts, and per token its n-gram."""
 
-
-_NO_BIGRAMS = (np.zeros(0, _RARE), np.zeros(0, np.int64))
-
-
-def _pack(keys: np.ndarray, counts: np.ndarray, owner: np.ndarray, train: np.ndarray) -> bytes:
-    """Keys of several documents, document after document, with their counts; only documents that have keys."""
-    documents, sizes = np.unique(owner, return_counts=True)
-    head = np.array([len(documents), len(keys), keys.itemsize], "<u4").tobytes()
-    return b"".join([head, documents.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), train[documents].astype("u1").tobytes(), keys.tobytes(), counts.astype("<u4").tobytes()])
-
-
-class Packed(NamedTuple):
-    keys: np.ndarray
-    counts: np.ndarray
-    documents: np.ndarray
     sizes: np.ndarray
-    train: np.ndarray
-
-
-def _unpack(blob: bytes, kind: np.dtype | None = None) -> Packed:
-    n, m, width = np.frombuffer(blob, "<u4", 3).tolist()
-    at = 12 + 9 * n
-    return Packed(
-        np.frombuffer(blob, kind or f"<u{width}", m, at), np.frombuffer(blob, "<u4", m, at + width * m), np.frombuffer(blob, "<u4", n, 12), np.frombuffer(blob, "<u4", n, 12 + 4 * n), np.frombuffer(blob, "u1", n, 12 + 8 * n)
-    )
-
-
-def _dealt(keys, counts, owner, slots: int, train: np.ndarray, width: str) -> Iterator[tuple[int, bytes]]:
-    """(slot, packed) for keys dealt by their remainder; what is kept of a key is its quotient."""
-    return _sliced((keys % np.uint64(slots)).astype(np.int64), (keys // np.uint64(slots)).astype(width), counts, owner, train)
-
-
-def _dealt_rare(keys, counts, owner, slots: int, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(slot, packed) for bigrams with rare tokens, dealt by the token g."""
-    return _sliced((keys["g"] % np.uint64(slots)).astype(np.int64), keys, counts, owner, train)
-
-
-def _sliced(slot, quotient, counts, owner, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    end: int
+    hashes: list[np.ndarray]
+    counts: list[np.ndarray]
+    at: list[np.ndarray]
+
+
+def grams(texts: list[str | None], train: np.ndarray) -> Grams:
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    codes, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = tokens(text)
+        sizes[i] = len(words)
+        codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+    words, at = len(numbers), [np.concatenate(codes)]
+    hashes = [np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, words)]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for _ in range(1, ORDER):
+        # the n-gram of a token is that of the token before, one shorter, and the token; texts begin with one of their own
+        before = np.roll(at[-1], 1)
+        before[starts] = len(hashes[-1])
+        number, distinct = pd.factorize(before * words + at[0])
+        longer = np.append(hashes[-1], _BEGIN[len(at) - 1])
+        hashes.append(_mixed(longer[distinct // words], hashes[0][distinct % words]))
+        at.append(number)
+    weight = np.repeat(train, sizes)
+    counts = [np.bincount(a[weight], minlength=len(h)) for a, h in zip(at, hashes, strict=True)]
+    return Grams(sizes, numbers[_END], hashes, counts, at)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; those of 255 and more follow in eight."""
+    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _counts(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, "u1", n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return out
+
+
+def _split(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by slot, and where each slot's begin (and the last ends)."""
+    slot = (hashes % np.uint64(slots)).astype(np.uint16 if slots <= 1 << 16 else np.int64)
     order = np.argsort(slot, kind="stable")
-    ends = np.flatnonzero(np.diff(slot[order])) + 1
-    for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(order)], strict=True):
-        if hi > lo:
-            at = order[lo:hi]
-            yield int(slot[at[0]]), _pack(quotient[at], counts[at], owner[at], train)
-
-
-_KEYED = "slot long, batch long, blob binary"
-
-
-def _keyed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["slot", "batch", "blob"])
+    return order, np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))])
+
+
+def _sent(found: Grams, slots: int) -> Iterator[tuple[int, bytes]]:
+    """(slot, what the batch sends to it): the number of keys, their quotients, their counts."""
+    for k, (hashes, counts) in enumerate(zip(found.hashes, found.counts, strict=True)):
+        order, ends = _split(hashes, slots)
+        keys = (hashes[order] // np.uint64(slots)).astype("<u8").view("u1").reshape(-1, 8)[:, : WIDTH[k]]
+        counts = counts[order]
+        for s in range(slots):
+            if (lo := ends[s]) < (hi := ends[s + 1]):
+                yield k * slots + s, b"".join([int(hi - lo).to_bytes(8, "little"), keys[lo:hi].tobytes(), _small(counts[lo:hi])])
+
+
+def _received(blobs: list[bytes], width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """What a slot got: how many keys from each, all keys, all counts."""
+    sizes, keys, counts = [], [], []
+    for b in blobs:
+        n = int.from_bytes(b[:8], "little")
+        key = np.zeros((n, 8), "u1")
+        key[:, :width] = np.frombuffer(b, "u1", n * width, 8).reshape(n, width)
+        sizes.append(n)
+        keys.append(key.view("<u8")[:, 0])
+        counts.append(_counts(b[8 + n * width :], n))
+    return sizes, np.concatenate(keys), np.concatenate(counts)
+
+
+def _batches(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(name, rows) for batches of about BATCH_BYTES of text; the same rows have the same name."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if hi > lo:
+                part, name = batch.slice(lo, hi - lo), xxhash.xxh64()
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    name.update(f"\n{i} {text is None} ".encode())
+                    name.update((text or "").encode("utf-8", "surrogatepass"))
+                yield name.intdigest() >> 1, part
+
+
+def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, types, strict=True)], names=names.split())
+
+
+def _answers(docs: DataFrame, slots: int) -> DataFrame:
+    """batch, slot, blob: what each slot answers each batch; as batch -1 its tokens and distinct tokens in training rows."""
 
-
-def _dealt_counts(counts: DataFrame, slots: int, first: int) -> DataFrame:
-    """The counts (h, c) of tokens as rows of their slots, as batch -1."""
+    def deal(batches):
+        for name, part in _batches(batches):
+            found = grams(part.column(1).to_pylist(), ~part.column(2).to_numpy(zero_copy_only=False))
+            rows = [(slot, name, blob) for slot, blob in _sent(found, slots)]
+            for lo in range(0, len(rows), 4096):
+                yield _rows(rows[lo : lo + 4096], "slot batch blob")
+
+    def count(key, table):
+        slot, names = key[0].as_py(), table.column("batch").to_pylist()
+        sizes, keys, counts = _received(table.column("blob").to_pylist(), WIDTH[slot // slots])
+        number, distinct = pd.factorize(keys)
+        every = np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.int64)
+        rows, at = [], 0
+        for name, n in zip(names, sizes, strict=True):
+            rows.append((name, slot, _small(every[number[at : at + n]])))
+            at += n
+        if slot < slots:
+            rows.append((-1, slot, np.array([every.sum(), np.count_nonzero(every)], "<i8").tobytes()))
+        return pa.Table.from_batches([_rows(rows, "batch slot blob")])
+
+    return docs.mapInArrow(deal, "slot long, batch long, blob binary").groupBy("slot").applyInArrow(count, "batch long, slot long, blob binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """batch, slot -1, blob: the rows of each batch."""
 
     def run(batches):
-        for batch in batches:
-            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            slot = (h % np.uint64(slots)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            rows = []
-            for at in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
-                if len(at):
-                    rows.append((first + int(slot[at[0]]), -1, b"".join([(h[at] // np.uint64(slots)).astype("<u8").tobytes(), c[at].astype("<i8").tobytes()])))
-            yield _keyed_rows(rows)
-
-    return counts.mapInArrow(run, _KEYED)
+        for name, part in _batches(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            yield _rows([(name, -1, sink.getvalue().to_pybytes())], "batch slot blob")
 
+    return docs.mapInArrow(run, "batch long, slot long, blob binary")
 
-def _counts_of(keys: np.ndarray, counted: list[bytes]) -> np.ndarray:
-    """The count of each token of `keys` (quotients in a slot), 0 where it has none."""
-    half = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<i8", len(b) // 16, len(b) // 2)) for b in counted]
-    h = np.concatenate([x for x, _ in half]) if half else np.zeros(0, np.uint64)
-    c = np.concatenate([x for _, x in half]) if half else np.zeros(0, np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    at = np.minimum(np.searchsorted(h, keys), max(len(h) - 1, 0))
-    return np.where(h[at] == keys, c[at], 0) if len(h) else np.zeros(len(keys), np.int64)
 
-
-def rare_pairs(docs: DataFrame, counts: DataFrame, shared, slots: int) -> DataFrame:
-    """The bigrams of two rare tokens in training rows, with the count of the second one, as rows of slots of the first one."""
-
-    def deal(batches):
-        model = shared.value
-        ids = _Ids(model)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                part = batch.slice(lo, BATCH)
-                texts = [tokens(t) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
-                found = [_rare_pairs(ids.of(words), words, model.head) for words in texts]
-                if any(len(k) for k, _ in found):
-                    keys, n = _summed(found)
-                    yield _keyed_rows([(s, 0, blob) for s, blob in _dealt_rare(keys, n, np.zeros(len(keys), np.int64), slots, np.ones(1))])
-
-    def run(key, rows):
-        batches, blobs = rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
-        counted = [x for b, x in zip(batches, blobs, strict=True) if b < 0]
-        own = [(b, _unpack(x, _RARE)) for b, x in zip(batches, blobs, strict=True) if b >= 0]
-        out = []
-        if own:
-            every = np.concatenate([p.keys for _, p in own])
-            turned = np.zeros(len(every), _RARE)
-            turned["g"], turned["o"] = every["o"], every["g"] & ~np.uint64(3)
-            turned["c"] = _counts_of(every["g"] // np.uint64(slots), counted)
-            at = 0
-            for b, p in own:
-                train = np.zeros(int(p.documents.max()) + 1, "u1")
-                train[p.documents] = p.train
-                mine = turned[at : at + len(p.keys)]
-                out += [(_RARE_SLOT + s, b, blob) for s, blob in _dealt_rare(mine, p.counts, np.repeat(p.documents, p.sizes), slots, train)]
-                at += len(p.keys)
-        return pa.Table.from_batches([_keyed_rows(out)])
-
-    rows = docs.select("text", "held_out").mapInArrow(deal, _KEYED).unionByName(_dealt_counts(counts, slots, 0))
-    return stage(rows.groupBy("slot").applyInArrow(run, _KEYED))
-
-
-def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct bigrams with rare tokens of several texts and how often each occurs."""
-    keys = np.concatenate([k for k, _ in found])
-    _, one, at = np.unique(_pair_hash(keys["g"], keys["o"]), return_index=True, return_inverse=True)
-    return keys[one], np.bincount(at, weights=np.concatenate([c for _, c in found])).astype(np.int64)
-
-
-def _with_counts(keys: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
-    """`keys` with the counts c of those of `pairs`; the others occur in no training row."""
-    if not pairs:
-        return keys
-    known = np.concatenate(pairs)
-    hashes, at = np.unique(_pair_hash(known["g"], known["o"]), return_index=True)
-    own = _pair_hash(keys["g"], keys["o"])
-    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    keys = keys.copy()
-    keys["c"] = np.where(hashes[place] == own, known["c"][at[place]], 0)
-    return keys
-
-
-def _rare_estimates(keys: np.ndarray, counted: list[bytes], slots: int, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """The count of the context and P1 of the word of each bigram with a rare token."""
-    own = _counts_of(keys["g"] // np.uint64(slots), counted)
-    kind, number = keys["o"] & np.uint64(3), (keys["o"] >> np.uint64(2)).astype(np.int64)
-    number = np.where(kind == 0, 0, number)
-    total = model.tokens + DELTA * (model.types + 1)
-    c1 = np.where(kind == 2, model.contexts()[number], own)
-    p1 = np.where(kind == 1, model.first()[number], (np.where(kind == 2, own, keys["c"]) + DELTA) / total)
-    return c1, p1
+def bucket(counts: np.ndarray, order: int) -> np.ndarray:
+    """The bucket of contexts of `order` tokens that occur so often: 0 to 3 themselves, then powers of two."""
+    small = np.log2(np.maximum(counts, 1)).astype(np.int64) + 2
+    return np.minimum(np.where(counts < 4, counts, small), BUCKETS[order - 1] - 1)
 
 
 def bin_of(ratio: np.ndarray) -> np.ndarray:
-    """The histogram bin of a likelihood ratio P2 / P1: eight to a power of two, the first for 0."""
+    """The histogram bin of a ratio, the first for 0."""
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.clip(np.floor(8 * np.log2(ratio) / 1.5) + 40, 1, BINS - 1), 0).astype(np.int64)
+        return np.where(ratio > 0, np.clip(np.floor(np.log2(ratio)) - LEAST, 1, BINS - 1), 0).astype(np.int64)
 
 
 def ratio_of(bins: np.ndarray) -> np.ndarray:
-    return np.where(bins > 0, 2.0 ** ((bins - 40 + 0.5) * 1.5 / 8), 0.0)
+    return np.where(bins > 0, 2.0 ** (bins + LEAST + 0.5), 0.0)
 
 
-def context_bucket(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), CONTEXTS - 1)
+_GATHERED = (
+    "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, "
+    "bucket binary, two binary, three binary, cell array<int>, times array<long>, tokens long, types long"
+)
 
 
-def deleted_counts(docs: DataFrame, counts: DataFrame, pairs: DataFrame, shared, slots: int, rare_slots: int) -> np.ndarray:
-    """Held-out counts: a histogram of likelihood ratios (bin) per context bucket, each bigram left out once."""
+def _gathered(docs: DataFrame, slots: int) -> DataFrame:
+    """Per batch: its documents, P1-relative estimates of each token (without the total), and held-out counts per cell."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def deal(batches):
-        model = shared.value
-        ids = _Ids(model)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                part = batch.slice(lo, BATCH)
-                texts = [tokens(t) for t, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held]
-                if not texts:
-                    continue
-                head, mixed, _ = zip(*[_bigrams(ids.of(words), words, model.head) for words in texts], strict=True)
-                every, at = np.unique(np.concatenate([k for k, _ in head]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([c for _, c in head])).astype(np.int64)
-                rows = [(s, 0, blob) for s, blob in _dealt(every, n, np.zeros(len(every), np.int64), slots, np.ones(1), "<u4")]
-                keys, n = _summed(mixed)
-                rows += [(_RARE_SLOT + s, 0, blob) for s, blob in _dealt_rare(keys, n, np.zeros(len(keys), np.int64), rare_slots, np.ones(1))]
-                yield _keyed_rows(rows)
-
-    def count(key, rows):
-        model, slot = shared.value, key[0].as_py()
-        batches, blobs = rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
-        rare = slot >= _RARE_SLOT
-        parts = [_unpack(x, _RARE if rare else None) for b, x in zip(batches, blobs, strict=True) if b >= 0]
-        if not parts:
-            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        keys = np.concatenate([p.keys for p in parts])
-        _, one, at = np.unique(_pair_hash(keys["g"], keys["o"]) if rare else keys, return_index=True, return_inverse=True)
-        keys = keys[one]
-        c12 = np.bincount(at, weights=np.concatenate([p.counts for p in parts])).astype(np.int64)
-        if rare:
-            c1, p1 = _rare_estimates(keys, [x for b, x in zip(batches, blobs, strict=True) if b < 0], rare_slots, model)
+    target = to_arrow_schema(docs.sparkSession.createDataFrame([], _GATHERED).schema)
+
+    def gather(key, table):
+        slot, blobs = table.column("slot").to_pylist(), table.column("blob").to_pylist()
+        row, times = dict.fromkeys(target.names), 1
+        row["batch"] = key[0].as_py()
+        if row["batch"] < 0:
+            total = np.stack([np.frombuffer(b, "<i8") for b in blobs]).sum(0)
+            row["tokens"], row["types"] = total.tolist()
         else:
-            pair = _unscrambled(keys.astype(np.uint64) * np.uint64(slots) + np.uint64(slot)).astype(np.int64)
-            c1, p1 = model.contexts()[pair >> _BITS], model.first()[pair & ((1 << _BITS) - 1)]
-        ratio = np.where(c1 > 1, (c12 - 1) / np.maximum(c1 - 1, 1), 0.0) / p1
-        cell = context_bucket(c1) * BINS + bin_of(ratio)
-        n = np.bincount(cell, weights=c12, minlength=CONTEXTS * BINS)
-        cells = np.flatnonzero(n)
-        return pa.table({"cell": pa.array(cells), "n": pa.array(n[cells].astype(np.int64))})
-
-    keyed = docs.select("text", "held_out").mapInArrow(deal, _KEYED).unionByName(pairs).unionByName(_dealt_counts(counts, rare_slots, _RARE_SLOT))
-    found = keyed.groupBy("slot").applyInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    histogram = np.zeros(CONTEXTS * BINS)
-    for cell, n in found:
-        histogram[cell] = n
-    return histogram.reshape(CONTEXTS, BINS)
-
-
-def mixture(histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """The weight of the bigram estimate per context bucket, by expectation-maximisation."""
-    ratio = ratio_of(np.arange(BINS))
-    weights = np.full(len(histogram), 0.3)
-    total = histogram.sum(1)
+            row |= _estimates(dict(zip(slot, blobs, strict=True)), slots)
+            times = slot.count(-1)  # batches with the same rows have one name and the same answers
+        return pa.Table.from_pylist([row] * times, schema=target)
+
+    return _answers(docs, slots).unionByName(_texts(docs)).groupBy("batch").applyInArrow(gather, _GATHERED)
+
+
+def _estimates(got: dict[int, bytes], slots: int) -> dict:
+    """The columns of one batch from its rows (slot -1) and the answers of the slots."""
+    if -1 not in got or len(got) == 1:
+        raise RuntimeError("texts and answers of a batch do not match: its rows were not the same when they were read again")
+    part = pa.ipc.open_stream(got.pop(-1)).read_all()
+    held = part.column(2).to_numpy()
+    found = grams(part.column(1).to_pylist(), ~held)
+    counts = []
+    for k, hashes in enumerate(found.hashes):
+        order, ends = _split(hashes, slots)
+        sorted_counts = [_counts(got[k * slots + s], int(ends[s + 1] - ends[s])) for s in range(slots) if ends[s + 1] > ends[s]]
+        own = np.zeros(len(hashes), np.int64)
+        own[order] = np.concatenate(sorted_counts)
+        counts.append(own)
+    starts = np.concatenate([[0], np.cumsum(found.sizes)[:-1]])
+    word = counts[0][found.at[0]] + DELTA
+    is_train = np.repeat(~held, found.sizes)
+    buckets, ratios, left = np.zeros(len(word), np.int64), [], []
+    for k in range(1, ORDER):
+        context = np.roll(counts[k - 1][found.at[k - 1]], 1)
+        context[starts] = counts[0][found.end]  # as many texts begin as end
+        own = counts[k][found.at[k]]
+        ratios.append((own / np.maximum(context, 1) / word).astype("<f4"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left.append(np.where(context > 1, (own - 1) / np.maximum(context - 1, 1), 0.0)[is_train] / word[is_train])
+        buckets = buckets + bucket(context, k) * math.prod(BUCKETS[: k - 1])
+    cells, times = np.unique((buckets[is_train] * BINS + bin_of(left[1])) * BINS + bin_of(left[0]), return_counts=True)
+    return {
+        "doc_id": part.column(0).to_pylist(), "held_out": held.tolist(), "n_tokens": found.sizes.tolist(),
+        "n_known": np.add.reduceat(counts[0][found.at[0]] > 0, starts, dtype=np.int64).tolist(), "base": np.add.reduceat(np.log10(word), starts).tolist(),
+        "bucket": buckets.astype("u1").tobytes(), "two": ratios[0].tobytes(), "three": ratios[1].tobytes(), "cell": cells.tolist(), "times": times.tolist(),
+    }
+
+
+def weights(cells: np.ndarray, times: np.ndarray, total: float, rounds: int = 60) -> np.ndarray:
+    """(l1, l2, l3) per bucket, by expectation-maximisation on held-out counts per cell (bucket, bin of three, bin of two)."""
+    n = math.prod(BUCKETS)
+    own = cells // (BINS * BINS)
+    ratio = np.stack([np.ones(len(cells)), ratio_of(cells % BINS) * total, ratio_of(cells // BINS % BINS) * total], 1)
+    mix = np.full((n, 3), 1 / 3)
     for _ in range(rounds):
-        share = weights[:, None] * ratio
-        share = share / (share + 1 - weights[:, None])
-        weights = (histogram * share).sum(1) / np.maximum(total, 1)
-        weights = np.clip(weights, 1e-6, 1 - 1e-3)
-    return np.where(total > 0, weights, 1e-6)
-
-
-def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
+        share = mix[own] * ratio
+        share *= (times / share.sum(1))[:, None]
+        sums = np.stack([np.bincount(own, weights=s, minlength=n) for s in share.T], 1).astype(float)
+        sums[:, 0] += 1.0  # a bucket without evidence has the shortest estimate
+        mix = sums / sums.sum(1)[:, None]
+    mix = mix.reshape(BUCKETS[1], BUCKETS[0], 3)
+    # a context of two tokens that is unseen is like one that is unseen once its only place is deleted
+    mix[0] = mix[1]
+    mix[0, :, 1], mix[0, :, 2] = mix[0, :, 1] + mix[0, :, 2], 0.0
+    mix[:, 0] = [1.0, 0.0, 0.0]
+    return mix.reshape(n, 3)
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
-    docs = _prepared(docs)
-    spark = docs.sparkSession
-    counts = count_tokens(docs)
-    model = unigrams(docs, counts, head)
-    shared = spark.sparkContext.broadcast(model)
-    slots = max(16, math.ceil(model.tokens / SLOT_KEYS))  # 16 leave quotients of 32 bits
-    tail_slots = max(1, math.ceil(max(model.tail, model.types) / SLOT_KEYS))
-    rare_slots = max(1, math.ceil(max(2 * model.tail, model.types) / SLOT_KEYS))
-    known_pairs = rare_pairs(docs, counts, shared, rare_slots)
-    weights = mixture(deleted_counts(docs, counts, known_pairs, shared, slots, rare_slots))
-    final = spark.sparkContext.broadcast(weights)
-
-    def deal(batches):
-        from pyspark import TaskContext
-
-        unigram, ids = shared.value, _Ids(shared.value)
-        tail, start = unigram.head, unigram.head + 1
-        base = np.log10(np.concatenate([unigram.counts + DELTA, np.ones(tail - len(unigram.counts)), [1.0]]))
-        keep = np.log10(1 - final.value)[context_bucket(unigram.contexts())]
-        keep[tail] = 0.0  # rare contexts are weighed in their slots
-        task, number = TaskContext.get().partitionId(), 0
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    found = stage(_gathered(docs, max(SLOTS, math.ceil(size / SLOT_BYTES))), compression="zstd")
+    totals = found.where("batch < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    total = totals["n"] + DELTA * (totals["v"] + 1)
+    histogram = found.where("batch >= 0").select(F.explode(F.arrays_zip("cell", "times")).alias("x")).groupBy("x.cell").agg(F.sum("x.times").alias("n")).toPandas()
+    learned = weights(histogram["cell"].to_numpy(np.int64), histogram["n"].to_numpy(np.float64), total)
+    shared, n = docs.sparkSession.sparkContext.broadcast(learned), totals["n"]
+
+    def finish(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                part = batch.slice(lo, BATCH)
-                name = (task << 32) + number
-                number += 1
-                train = ~np.array(part.column(2).to_pylist(), bool)
-                pairs, mixed, rare, rest, head = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    words = tokens(text)
-                    at = ids.of(words)
-                    for kind, found in zip((pairs, mixed, rare), _bigrams(at, words, tail), strict=True):
-                        kind.append(found)
-                    other = np.flatnonzero(at == tail).tolist()
-                    rest.append(np.unique(np.fromiter((_HASHES[words[i]] for i in other), np.uint64, len(other)), return_counts=True))
-                    head.append((len(words), len(words) - len(other), float(base[at].sum()), float(keep[np.concatenate([[start], at[:-1]])].sum())))
-                rows = [(-1 - name, name, _header(part.column(0).to_pylist(), train, head))]
-                for found, n, first, width in ((pairs, slots, 0, "<u4"), (rest, tail_slots, _TAIL_SLOT, "<u8")):
-                    owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-                    dealt = _dealt(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), owner, n, train, width)
-                    rows += [(first + s, name, blob) for s, blob in dealt]
-                for found in (mixed, rare):
-                    owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-                    dealt = _dealt_rare(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), owner, rare_slots, train)
-                    rows += [(_RARE_SLOT + s, name, blob) for s, blob in dealt]
-                yield _keyed_rows(rows)
-
-    def weigh(key, rows):
-        slot, batches, blobs = key[0].as_py(), rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
-        if slot < 0:
-            return pa.table({"batch": pa.array(batches, pa.int64()), "kind": pa.array([0] * len(batches), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-        rare = slot >= _RARE_SLOT
-        tail = slot >= _TAIL_SLOT and not rare
-        counted = [x for b, x in zip(batches, blobs, strict=True) if b == -1]
-        own = [(b, _unpack(x, _RARE if rare else None)) for b, x in zip(batches, blobs, strict=True) if b >= 0]
-        if not own:
-            return pa.table({"batch": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        keys = np.concatenate([p.keys for _, p in own])
-        times = np.concatenate([p.counts for _, p in own]).astype(np.int64)
-        if tail:
-            sums_of = _tail_gain(keys, times, counted, final.value, slot - _TAIL_SLOT, tail_slots)
-        else:
-            train = np.concatenate([np.repeat(p.train, p.sizes) for _, p in own])
-            if rare:
-                _, one, at = np.unique(_pair_hash(keys["g"], keys["o"]), return_index=True, return_inverse=True)
-                every = _with_counts(keys[one], [_unpack(x, _RARE).keys for b, x in zip(batches, blobs, strict=True) if b == -2])
-                c1, p1 = _rare_estimates(every, counted, rare_slots, shared.value)
-            else:
-                every, at = np.unique(keys, return_inverse=True)
-                pair = _unscrambled(every.astype(np.uint64) * np.uint64(slots) + np.uint64(slot)).astype(np.int64)
-                c1, p1 = shared.value.contexts()[pair >> _BITS], shared.value.first()[pair & ((1 << _BITS) - 1)]
-            sums_of = (_bigram_gain(at, times, train, c1, p1, final.value),)
-        out, at = [], 0
-        for _, p in own:
-            starts = np.concatenate([[0], np.cumsum(p.sizes)[:-1]]).astype(np.int64)
-            mine = slice(at, at + len(p.keys))
-            sums = [np.add.reduceat(v[mine], starts).astype("<f8").tobytes() for v in sums_of]
-            out.append(b"".join([p.documents.tobytes(), *sums]))
-            at += len(p.keys)
-        return pa.table({"batch": pa.array([b for b, _ in own], pa.int64()), "kind": pa.array([2 if tail else 1] * len(own), pa.int32()), "blob": pa.array(out, pa.binary())})
-
-    def gather(_, rows):
-        unigram = shared.value
-        parts = list(zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True))
-        doc_ids, train, head = _read_header(next(b for k, b in parts if k == 0))
-        n = len(train)
-        base, known, gained = head[2].copy(), head[1].copy(), head[3].copy()
-        for kind, blob in parts:
-            if kind:
-                m = len(blob) // (4 + (8 if kind == 1 else 24))
-                at = np.frombuffer(blob, "<u4", m)  # each document once
-                (gained if kind == 1 else base)[at] += np.frombuffer(blob, "<f8", m, 4 * m)
-                if kind == 2:
-                    known[at] += np.frombuffer(blob, "<f8", m, 12 * m)
-                    gained[at] += np.frombuffer(blob, "<f8", m, 20 * m)
-        base = base - head[0] * unigram.log_total
-        return pa.table(
-            {"doc_id": doc_ids, "held_out": pa.array(~train), "n_tokens": pa.array(head[0].astype(np.int64)), "n_known": pa.array(np.rint(known).astype(np.int64)), "train_tokens": pa.array(np.full(n, unigram.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(base + gained)}
-        )
-
-    keyed = docs.select("doc_id", "text", "held_out").mapInArrow(deal, _KEYED).unionByName(_dealt_counts(counts, tail_slots, _TAIL_SLOT))
-    keyed = keyed.unionByName(known_pairs.withColumn("batch", F.lit(-2).cast("long"))).unionByName(_dealt_counts(counts, rare_slots, _RARE_SLOT))
-    weighed = keyed.groupBy("slot").applyInArrow(weigh, "batch long, kind int, blob binary")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return weighed.groupBy("batch").applyInArrow(gather, schema)
-
-
-def _header(doc_ids: list[int | None], train: np.ndarray, head: list[tuple]) -> bytes:
-    ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    null = np.array([d is None for d in doc_ids], "u1")
-    return b"".join([np.array([len(ids)], "<u4").tobytes(), ids.tobytes(), null.tobytes(), train.astype("u1").tobytes(), np.array(head, "<f8").T.tobytes()])
-
-
-def _read_header(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<u4", 1)[0])
-    ids, null = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "u1", n, 4 + 8 * n).astype(bool)
-    train = np.frombuffer(blob, "u1", n, 4 + 9 * n).astype(bool)
-    return pa.array(ids, pa.int64(), mask=null), train, np.frombuffer(blob, "<f8", 4 * n, 4 + 10 * n).reshape(4, n)
-
-
-def _tail_gain(keys: np.ndarray, times: np.ndarray, counted: list[bytes], weights: np.ndarray, slot: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rare tokens: times log10(c + DELTA), times where the token is known, and times log10(1 - a) of it as a context."""
-    count = _counts_of(keys, counted)
-    end = xxhash.xxh64_intdigest(_END)
-    context = (count > 0) & ((keys != np.uint64(end // slots)) | (slot != end % slots))  # nothing follows an end
-    return times * np.log10(count + DELTA), times * (count > 0), times * np.where(context, np.log10(1 - weights)[context_bucket(count)], 0.0)
-
-
-def _bigram_gain(at: np.ndarray, times: np.ndarray, train: np.ndarray, c1: np.ndarray, p1: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """times log10(1 + a / (1 - a) P2 / P1) of every bigram (`at` in c1 and p1) that occurs in training rows, else 0."""
-    c12 = np.bincount(at, weights=times * train, minlength=len(c1))
-    a = weights[context_bucket(c1)]
-    ratio = c12 / np.maximum(c1, 1) / p1
-    return times * np.log10(1 + a / (1 - a) * ratio)[at]
+            for row in batch.to_pylist():
+                mix, sizes = shared.value[np.frombuffer(row["bucket"], "u1")], np.array(row["n_tokens"])
+                gain = np.log10(mix[:, 0] + total * (mix[:, 1] * np.frombuffer(row["two"], "<f4") + mix[:, 2] * np.frombuffer(row["three"], "<f4")))
+                base = np.array(row["base"]) - sizes * math.log10(total)
+                gained = np.add.reduceat(gain, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"]), pa.array(sizes), pa.array(row["n_known"], pa.int64()), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(base + gained)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    rows = found.where("batch >= 0").select("doc_id", "held_out", "n_tokens", "n_known", "base", "bucket", "two", "three")
+    return rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

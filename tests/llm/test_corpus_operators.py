@@ -187,21 +187,59 @@ def test_chunks_do_not_shift():
     assert len(whole - moved) <= 4 and len(whole) > 30
 
 
-def test_language_model_counts_and_sums(docs):
-    rows = corpus()
+def scored_by_hand(rows):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row, counted with dictionaries."""
+    lm = language_model
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]
+    texts = [split(t) for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
-    counts = Counter(w for (_, t), h in zip(rows, held) if not h for w in split(t))
-    n, v = sum(counts.values()), len(counts)
-    want = Counter()
-    for (d, t), h in zip(rows, held):
-        ws = split(t)
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        want[d, h, len(ws), sum(counts[w] > 0 for w in ws), n, round(base, 4)] += 1
-    for head in (1 << 17, 40):
-        got = language_model.score(docs, head).collect()
-        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-        assert all(math.isfinite(r.score) for r in got)
+    grams = Counter()
+    for ws, h in zip(texts, held):
+        for n in range(1, 4):
+            padded = ["<b>"] * (n - 1) + ws
+            grams.update(() if h else (tuple(padded[i : i + n]) for i in range(len(ws))))
+    starts = len(held) - sum(held)
+    grams["<b>",] = grams["<b>", "<b>"] = starts
+    n = sum(c for g, c in grams.items() if len(g) == 1) - starts
+    total = n + 0.1 * (sum(len(g) == 1 for g in grams if grams[g]) - (starts > 0) + 1)
+
+    def places(ws):
+        padded = ["<b>", "<b>", *ws]
+        for i in range(len(ws)):
+            u, v, w = padded[i : i + 3]
+            c = [grams[x] for x in ((w,), (v,), (v, w), (u, v), (u, v, w))]
+            yield c, int(lm.bucket(np.array(c[1]), 1) + lm.BUCKETS[0] * lm.bucket(np.array(c[3]), 2))
+
+    cells = Counter()
+    for ws, h in zip(texts, held):
+        for c, b in () if h else places(ws):
+            two, three = ((c[k + 1] - 1) / (c[k] - 1) / (c[0] + 0.1) if c[k] > 1 else 0.0 for k in (1, 3))
+            cells[(b * lm.BINS + int(lm.bin_of(np.array(three)))) * lm.BINS + int(lm.bin_of(np.array(two)))] += 1
+    mix = lm.weights(np.array(list(cells), np.int64), np.array(list(cells.values()), float), total)
+    for (d, _), ws, h in zip(rows, texts, held):
+        base = score = 0.0
+        for c, b in places(ws):
+            p1 = (c[0] + 0.1) / total
+            base += math.log10(p1)
+            score += math.log10(mix[b, 0] * p1 + mix[b, 1] * c[2] / max(c[1], 1) + mix[b, 2] * c[4] / max(c[3], 1))
+        yield d, h, len(ws), sum(grams[w,] > 0 for w in ws), n, base, score
+
+
+def same_scores(docs, rows):
+    got = sorted((tuple(r) for r in language_model.score(docs).collect()), key=str)
+    want = sorted(scored_by_hand(rows), key=lambda r: str(r[:5]))
+    assert Counter(r[:5] for r in got) == Counter(r[:5] for r in want)
+    near = lambda rs: sorted((str(r[:5]), round(r[5], 3), r[6]) for r in rs)
+    for a, b in zip(near(got), near(want), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 0.01 and abs(a[2] - b[2]) < 1e-4 * (1 + abs(b[2]))
+
+
+def test_language_model_equals_counting_by_hand(docs, monkeypatch):
+    same_scores(docs, corpus())
+    # many small batches and slots
+    monkeypatch.setattr(language_model, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(language_model, "SLOT_BYTES", 500)
+    same_scores(docs.repartition(7), corpus())
 
 
 def test_language_model_gains_from_contexts(spark):
@@ -217,30 +255,18 @@ def test_language_model_gains_from_contexts(spark):
     got = [r for r in language_model.score(spark.createDataFrame(rows, DOCS)).collect() if r.held_out]
     assert got and all(r.score > 0.6 * r.base_score for r in got)
     assert language_model.score(spark.createDataFrame([], DOCS)).count() == 0
-
-
-def test_language_model_counts_bigrams_of_rare_tokens(spark):
-    """However few tokens are head tokens (none but a few, or all), all bigrams count."""
-    rng = random.Random(5)
-    rows = []
-    for d in range(200):
-        k = [rng.randrange(60) for _ in range(20)]
-        rows.append((d, " ".join(f"a{i} b{i} {'the' if i % 2 else 'of'}" for i in k)))
-    rows += [(900, "never seen words"), (None, ""), (901, None)]
-    docs = spark.createDataFrame(rows, DOCS)
-    whole = {r.doc_id: r for r in language_model.score(docs).collect()}
-    for head in (0, 3, 40):
-        got = {r.doc_id: r for r in language_model.score(docs, head).collect()}
-        assert got.keys() == whole.keys()
-        assert all(abs(r.score - whole[d].score) < 1e-6 * (1 + abs(r.score)) and abs(r.base_score - whole[d].base_score) < 1e-6 * (1 + abs(r.score)) for d, r in got.items())
-
-
-def test_mixture_sums_to_one():
-    assert np.isclose(language_model._unscrambled(language_model._scrambled(np.arange(1000))).astype(int), np.arange(1000)).all()
-    histogram = np.zeros((language_model.CONTEXTS, language_model.BINS))
-    histogram[10, 0], histogram[10, 80] = 20, 80
-    weights = language_model.mixture(histogram)
-    assert 0.7 < weights[10] < 0.9 and weights[0] < 1e-3
+    only = language_model.score(spark.createDataFrame([(d, "a b") for d in range(40) if zlib.crc32(str(d).encode()) % 10 == 0], DOCS)).collect()
+    assert only and all(r.n_known == 0 and r.train_tokens == 0 and abs(r.score - r.base_score) < 1e-6 for r in only)
+
+
+def test_language_model_codes_and_weights():
+    lm = language_model
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40])
+    assert (lm._counts(lm._small(counts), 6) == counts).all()
+    assert lm.bucket(np.array([0, 1, 2, 3, 4, 7, 8, 1 << 60]), 2).tolist() == [0, 1, 2, 3, 4, 4, 5, 9]
+    cells = np.array([(5 + 16 * 3) * lm.BINS**2, ((5 + 16 * 3) * lm.BINS + 60 - 10) * lm.BINS])
+    mix = lm.weights(cells, np.array([20.0, 80.0]), 1e3)
+    assert np.isclose(mix.sum(1), 1).all() and 0.6 < mix[5 + 16 * 3, 2] < 0.9 and mix[0].tolist() == [1, 0, 0]
 
 
 def test_neighbours_recall_and_ties(spark):
