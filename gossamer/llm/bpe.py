@@ -4,8 +4,12 @@ A byte pair that occurs inside no vocabulary token can never be joined by a merg
 cut there before encoding.  Every fragment between two cuts is encoded on its own, the results are
 concatenated, and equal fragments are encoded once per worker.
 
+Characters that Python's Unicode tables do not know are put into words by the tokenizers library, whose tables
+are newer; the words are then encoded like all others.
+
 Defined results: a null or empty text has no ids and decodes to the empty string; very long words are
-encoded with a heap in n log n steps; repeated rows are encoded alike.
+encoded with a heap in n log n steps; repeated rows are encoded alike; an empty table has no rows; columns of
+the table named ids or decoded are replaced, all others are kept as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from operator import add
@@ -33,6 +38,16 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = regex.compile(r"\p{White_Space}+")
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Finds a character without a category in Python's Unicode tables (other tables may have it as a letter)."""
+    category = unicodedata.category
+    none = [c for c in range(0x80, 0x110000) if category(chr(c)) == "Cn"]
+    begins = [c for c, before in zip(none, [-1, *none]) if c != before + 1]
+    ends = [c for c, after in zip(none, [*none[1:], -1]) if after != c + 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends, strict=True)) + "]")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -60,6 +75,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self.library, self.unassigned = path, None, unassigned()
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
@@ -136,16 +152,32 @@ class Bpe:
             push(i, right[i])
         return [s for s, alive in zip(symbols, live, strict=True) if alive]
 
-    def _encode_plain(self, text: str) -> bytes:
-        plain = text.isascii() and text.isprintable()
-        text = text.lower() if plain else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        out, letters = [], self.letters
-        for word in self.words.findall(text):
-            parts = self.cuts(word if plain else "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))
+    def _library_words(self, text: str) -> list[str]:
+        """The words of `text`, in byte letters, by the library's Unicode tables."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        text = self.library.normalizer.normalize_str(text)
+        return [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _encode_words(self, words: list[str]) -> bytes:
+        """The ids of `words` in byte letters."""
+        out = []
+        for word in words:
+            parts = self.cuts(word)
             out += [self.fragments[p, False] for p in parts[:-1]]
             out.append(self.fragments[parts[-1], True])
         return b"".join(out)
 
+    def _encode_plain(self, text: str) -> bytes:
+        plain = text.isascii() and text.isprintable()
+        if not plain and self.unassigned.search(text):
+            return self._encode_words(self._library_words(text))
+        text = text.lower() if plain else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        words, letters = self.words.findall(text), self.letters
+        return self._encode_words(words if plain else ["".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]) for word in words])
+
     def _encode_chunk(self, chunk: str) -> bytes:
         if self.special_split is None or "<" not in chunk:
             return self._encode_plain(chunk)

@@ -413,7 +413,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, target: float =
         tree = refined(vectors, tree)
     shared = spark.sparkContext.broadcast(tree)
     rows = stage(_placed(vectors, shared))
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    parts = max(partitions(spark), math.ceil(total / (32 * CELL)))
+    queries = queries.repartition(parts, "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
     counted = dict(rows.groupBy("leaf").count().collect())  # as many rows as the tree has leaves
     visits, recall = calibrate(rows, queries, tree, k, target)
     sizes = [counted.get(leaf, 0) for leaf in range(tree.leaves)]
@@ -421,11 +422,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, target: float =
     plan = spark.sparkContext.broadcast(layout(visits, sizes))
     kind = vectors.schema["v"].dataType.simpleString()
     routed = stage(_routed(queries, shared, plan, kind, k))
-    copies = routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
-    asked = routed.join(copies, "cell").withColumn("copy", F.pmod(F.xxhash64("vec_id"), F.col("copies")).cast("int"))
-    sent = _dealt(rows, plan, kind).join(copies, "cell").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # few cells are copied; their table is small enough to be broadcast, or Spark joins it otherwise
+    copied = stage(routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")).where("copies > 1"))
+    copies = F.coalesce("copies", F.lit(1))
+    asked = routed.join(copied, "cell", "left").withColumn("copy", F.pmod(F.xxhash64("vec_id"), copies).cast("int"))
+    sent = _dealt(rows, plan, kind).join(copied, "cell", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     both = sent.select("cell", "copy", "vec_id", "v", "leaf", F.lit(None).cast("array<int>").alias("leaves")).unionByName(asked.select("cell", "copy", "vec_id", "v", F.lit(None).cast("int").alias("leaf"), "leaves"))
-    parts = max(partitions(spark), math.ceil(total / (32 * CELL)))
     both = both.repartition(parts, "cell", "copy").sortWithinPartitions("cell", "copy", F.col("leaf").isNull())
     found = both.mapInArrow(lambda batches: _compared(batches, k), "query_id long, ids array<long>, scores array<double>")
     top = _merge_best(found, k).select("query_id", F.posexplode("top").alias("at", "t"))

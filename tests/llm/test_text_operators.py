@@ -200,3 +200,14 @@ def test_toxicity_learns_pairs(spark):
 
 def test_shared_dir_is_below_the_setting(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_bpe_equals_the_library_for_every_character(tokenizer):
+    coder = bpe.Bpe(bpe.default_tokenizer())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 1 << 16):
+        texts = [f"A{chr(c)}b" for c in points[lo : lo + (1 << 16)]]
+        wrong = [t for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)) if np.frombuffer(coder.encode(t), "<u4").tolist() != e.ids]
+        assert not wrong, wrong[:10]
+        coder.chunks.clear()
+        coder.fragments.clear()
