@@ -1,13 +1,13 @@
 """Language-model scores by deleted interpolation.
 
-Maximum-likelihood estimates of one to three tokens are mixed per bucket of context frequency:
+Maximum-likelihood estimates of one and two tokens (three, with order=3) are mixed per bucket of context frequency:
 
-    P(w | u v) = l3(b) P3(w | u v) + l2(b) P2(w | v) + l1(b) P1(w),   l1 + l2 + l3 = 1,
+    P(w | v) = l2(b) P2(w | v) + l1(b) P1(w),   l1 + l2 = 1,
 
-where b tells how often the contexts u v and v occur in training rows and P1 is the additive unigram model.
-The weights of each bucket come from expectation-maximisation on held-out counts: every training token is
-deleted in turn from the counts of its own n-gram and context (leave one out), over all training documents.
-A context that no training row has leaves its share to the shorter ones.
+where b tells how often the context v (with order=3 also the two tokens u v) occurs in training rows and P1 is
+the additive unigram model.  The weights of each bucket come from expectation-maximisation on held-out counts:
+every training token is deleted in turn from the counts of its own n-gram and context (leave one out), over all
+training documents.  A context that no training row has leaves its share to the shorter ones.
 
 Counts never meet on one machine, and every n-gram of every training row counts, however rare.  Documents are
 taken in batches of about BATCH_BYTES of text.  A batch sends each of its distinct n-grams once, as a hash with
@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +44,13 @@ from gossamer.llm.common import crc_fold, stage
 
 DELTA = 0.1
 FOLDS = 10
-ORDER = 3
+ORDER = 2
 #: Text of a batch, and of all batches together for one slot of each order.
 BATCH_BYTES, SLOT_BYTES = 8 << 20, 4 << 20
 #: Slots that there are at least.
 SLOTS = 64
-#: Bytes of an n-gram's hash that are sent, besides what its slot tells.
-WIDTH = (8, 6, 6)
+#: Bits of a longer n-gram's hash that are sent, besides what its slot tells.
+BITS = 48
 #: Buckets of the counts of contexts of one and two tokens; bins of a likelihood ratio, one to a power of two.
 BUCKETS, BINS, LEAST = (16, 10), 52, -44
 _END = b"\n"  # no token has white space
@@ -76,7 +77,7 @@ class Grams(NamedTuple):
     at: list[np.ndarray]
 
 
-def grams(texts: list[str | None], train: np.ndarray) -> Grams:
+def grams(texts: list[str | None], train: np.ndarray, order: int = ORDER) -> Grams:
     numbers: dict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     codes, sizes = [], np.zeros(len(texts), np.int64)
@@ -87,7 +88,7 @@ def grams(texts: list[str | None], train: np.ndarray) -> Grams:
     words, at = len(numbers), [np.concatenate(codes)]
     hashes = [np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, words)]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    for _ in range(1, ORDER):
+    for _ in range(1, order):
         # the n-gram of a token is that of the token before, one shorter, and the token; texts begin with one of their own
         before = np.roll(at[-1], 1)
         before[starts] = len(hashes[-1])
@@ -111,35 +112,58 @@ def _counts(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _split(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of hashes by slot, and where each slot's begin (and the last ends)."""
-    slot = (hashes % np.uint64(slots)).astype(np.uint16 if slots <= 1 << 16 else np.int64)
-    order = np.argsort(slot, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))])
+def _packed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+class Deal(NamedTuple):
+    """How hashes of one kind go to slots: by their highest bits, so that sorted hashes come slot by slot."""
+
+    slots: int
+    shift: int
+
+    @staticmethod
+    def of(kind: int, slots: int) -> Deal:
+        return Deal(slots, 0 if kind == 0 else max(0, 64 - BITS - slots.bit_length() + 1))
+
+    def sorted(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of hashes, where each slot begins in it (and the last ends), and the sorted keys."""
+        order = np.argsort(hashes)
+        keys = hashes[order]
+        slot = ((keys >> np.uint64(32)) * np.uint64(self.slots)) >> np.uint64(32)
+        return order, np.searchsorted(slot, np.arange(self.slots + 1, dtype=np.uint64)), keys >> np.uint64(self.shift)
+
+    def begin(self, slot: int) -> int:
+        """The least key of a slot."""
+        return -(-(slot << 32) // self.slots) << 32 >> self.shift
+
+    def coded(self, slot: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
+        """Sorted keys as gaps, byte by byte, with their counts."""
+        gaps = np.diff(keys, prepend=np.uint64(self.begin(slot)))
+        width = max(1, -(-int(gaps.max()).bit_length() // 8))
+        return _packed(bytes([width]), len(keys).to_bytes(8, "little"), gaps.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes(), _small(counts))
+
+    def decoded(self, slot: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        blob = _unpacked(blob)
+        width, n = blob[0], int.from_bytes(blob[1:9], "little")
+        gaps = np.zeros((n, 8), "u1")
+        gaps[:, :width] = np.frombuffer(blob, "u1", n * width, 9).reshape(width, n).T
+        return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64) + np.uint64(self.begin(slot)), _counts(blob[9 + n * width :], n)
 
 
 def _sent(found: Grams, slots: int) -> Iterator[tuple[int, bytes]]:
-    """(slot, what the batch sends to it): the number of keys, their quotients, their counts."""
+    """(slot, what the batch sends to it)."""
     for k, (hashes, counts) in enumerate(zip(found.hashes, found.counts, strict=True)):
-        order, ends = _split(hashes, slots)
-        keys = (hashes[order] // np.uint64(slots)).astype("<u8").view("u1").reshape(-1, 8)[:, : WIDTH[k]]
+        deal = Deal.of(k, slots)
+        order, ends, keys = deal.sorted(hashes)
         counts = counts[order]
         for s in range(slots):
             if (lo := ends[s]) < (hi := ends[s + 1]):
-                yield k * slots + s, b"".join([int(hi - lo).to_bytes(8, "little"), keys[lo:hi].tobytes(), _small(counts[lo:hi])])
-
-
-def _received(blobs: list[bytes], width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """What a slot got: how many keys from each, all keys, all counts."""
-    sizes, keys, counts = [], [], []
-    for b in blobs:
-        n = int.from_bytes(b[:8], "little")
-        key = np.zeros((n, 8), "u1")
-        key[:, :width] = np.frombuffer(b, "u1", n * width, 8).reshape(n, width)
-        sizes.append(n)
-        keys.append(key.view("<u8")[:, 0])
-        counts.append(_counts(b[8 + n * width :], n))
-    return sizes, np.concatenate(keys), np.concatenate(counts)
+                yield k * slots + s, deal.coded(s, keys[lo:hi], counts[lo:hi])
 
 
 def _batches(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -161,25 +185,26 @@ def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, types, strict=True)], names=names.split())
 
 
-def _answers(docs: DataFrame, slots: int) -> DataFrame:
+def _answers(docs: DataFrame, slots: int, order: int) -> DataFrame:
     """batch, slot, blob: what each slot answers each batch; as batch -1 its tokens and distinct tokens in training rows."""
 
     def deal(batches):
         for name, part in _batches(batches):
-            found = grams(part.column(1).to_pylist(), ~part.column(2).to_numpy(zero_copy_only=False))
+            found = grams(part.column(1).to_pylist(), ~part.column(2).to_numpy(zero_copy_only=False), order)
             rows = [(slot, name, blob) for slot, blob in _sent(found, slots)]
             for lo in range(0, len(rows), 4096):
                 yield _rows(rows[lo : lo + 4096], "slot batch blob")
 
     def count(key, table):
         slot, names = key[0].as_py(), table.column("batch").to_pylist()
-        sizes, keys, counts = _received(table.column("blob").to_pylist(), WIDTH[slot // slots])
-        number, distinct = pd.factorize(keys)
-        every = np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.int64)
+        deal = Deal.of(slot // slots, slots)
+        got = [deal.decoded(slot % slots, b) for b in table.column("blob").to_pylist()]
+        number, distinct = pd.factorize(np.concatenate([k for k, _ in got]))
+        every = np.bincount(number, weights=np.concatenate([c for _, c in got]), minlength=len(distinct)).astype(np.int64)
         rows, at = [], 0
-        for name, n in zip(names, sizes, strict=True):
-            rows.append((name, slot, _small(every[number[at : at + n]])))
-            at += n
+        for name, (keys, _) in zip(names, got, strict=True):
+            rows.append((name, slot, _packed(_small(every[number[at : at + len(keys)]]))))
+            at += len(keys)
         if slot < slots:
             rows.append((-1, slot, np.array([every.sum(), np.count_nonzero(every)], "<i8").tobytes()))
         return pa.Table.from_batches([_rows(rows, "batch slot blob")])
@@ -195,7 +220,7 @@ def _texts(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 out.write_batch(part)
-            yield _rows([(name, -1, sink.getvalue().to_pybytes())], "batch slot blob")
+            yield _rows([(name, -1, _packed(sink.getvalue()))], "batch slot blob")
 
     return docs.mapInArrow(run, "batch long, slot long, blob binary")
 
@@ -218,11 +243,11 @@ def ratio_of(bins: np.ndarray) -> np.ndarray:
 
 _GATHERED = (
     "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, "
-    "bucket binary, two binary, three binary, cell array<int>, times array<long>, tokens long, types long"
+    "bucket binary, ratios binary, cell array<int>, times array<long>, tokens long, types long"
 )
 
 
-def _gathered(docs: DataFrame, slots: int) -> DataFrame:
+def _gathered(docs: DataFrame, slots: int, order: int) -> DataFrame:
     """Per batch: its documents, P1-relative estimates of each token (without the total), and held-out counts per cell."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -236,32 +261,31 @@ def _gathered(docs: DataFrame, slots: int) -> DataFrame:
             total = np.stack([np.frombuffer(b, "<i8") for b in blobs]).sum(0)
             row["tokens"], row["types"] = total.tolist()
         else:
-            row |= _estimates(dict(zip(slot, blobs, strict=True)), slots)
+            row |= _estimates(dict(zip(slot, blobs, strict=True)), slots, order)
             times = slot.count(-1)  # batches with the same rows have one name and the same answers
         return pa.Table.from_pylist([row] * times, schema=target)
 
-    return _answers(docs, slots).unionByName(_texts(docs)).groupBy("batch").applyInArrow(gather, _GATHERED)
+    return _answers(docs, slots, order).unionByName(_texts(docs)).groupBy("batch").applyInArrow(gather, _GATHERED)
 
 
-def _estimates(got: dict[int, bytes], slots: int) -> dict:
+def _estimates(got: dict[int, bytes], slots: int, order: int) -> dict:
     """The columns of one batch from its rows (slot -1) and the answers of the slots."""
     if -1 not in got or len(got) == 1:
         raise RuntimeError("texts and answers of a batch do not match: its rows were not the same when they were read again")
-    part = pa.ipc.open_stream(got.pop(-1)).read_all()
+    part = pa.ipc.open_stream(_unpacked(got.pop(-1))).read_all()
     held = part.column(2).to_numpy()
-    found = grams(part.column(1).to_pylist(), ~held)
+    found = grams(part.column(1).to_pylist(), ~held, order)
     counts = []
     for k, hashes in enumerate(found.hashes):
-        order, ends = _split(hashes, slots)
-        sorted_counts = [_counts(got[k * slots + s], int(ends[s + 1] - ends[s])) for s in range(slots) if ends[s + 1] > ends[s]]
+        places, ends, _ = Deal.of(k, slots).sorted(hashes)
         own = np.zeros(len(hashes), np.int64)
-        own[order] = np.concatenate(sorted_counts)
+        own[places] = np.concatenate([_counts(_unpacked(got[k * slots + s]), int(ends[s + 1] - ends[s])) for s in range(slots) if ends[s + 1] > ends[s]])
         counts.append(own)
     starts = np.concatenate([[0], np.cumsum(found.sizes)[:-1]])
     word = counts[0][found.at[0]] + DELTA
     is_train = np.repeat(~held, found.sizes)
     buckets, ratios, left = np.zeros(len(word), np.int64), [], []
-    for k in range(1, ORDER):
+    for k in range(1, order):
         context = np.roll(counts[k - 1][found.at[k - 1]], 1)
         context[starts] = counts[0][found.end]  # as many texts begin as end
         own = counts[k][found.at[k]]
@@ -269,50 +293,55 @@ def _estimates(got: dict[int, bytes], slots: int) -> dict:
         with np.errstate(divide="ignore", invalid="ignore"):
             left.append(np.where(context > 1, (own - 1) / np.maximum(context - 1, 1), 0.0)[is_train] / word[is_train])
         buckets = buckets + bucket(context, k) * math.prod(BUCKETS[: k - 1])
-    cells, times = np.unique((buckets[is_train] * BINS + bin_of(left[1])) * BINS + bin_of(left[0]), return_counts=True)
+    cell = buckets[is_train]
+    for ratio in reversed(left):
+        cell = cell * BINS + bin_of(ratio)
+    cells, times = np.unique(cell, return_counts=True)
     return {
         "doc_id": part.column(0).to_pylist(), "held_out": held.tolist(), "n_tokens": found.sizes.tolist(),
         "n_known": np.add.reduceat(counts[0][found.at[0]] > 0, starts, dtype=np.int64).tolist(), "base": np.add.reduceat(np.log10(word), starts).tolist(),
-        "bucket": buckets.astype("u1").tobytes(), "two": ratios[0].tobytes(), "three": ratios[1].tobytes(), "cell": cells.tolist(), "times": times.tolist(),
+        "bucket": buckets.astype("u1").tobytes(), "ratios": np.concatenate(ratios).tobytes(), "cell": cells.tolist(), "times": times.tolist(),
     }
 
 
-def weights(cells: np.ndarray, times: np.ndarray, total: float, rounds: int = 60) -> np.ndarray:
-    """(l1, l2, l3) per bucket, by expectation-maximisation on held-out counts per cell (bucket, bin of three, bin of two)."""
-    n = math.prod(BUCKETS)
-    own = cells // (BINS * BINS)
-    ratio = np.stack([np.ones(len(cells)), ratio_of(cells % BINS) * total, ratio_of(cells // BINS % BINS) * total], 1)
-    mix = np.full((n, 3), 1 / 3)
+def weights(cells: np.ndarray, times: np.ndarray, total: float, order: int = ORDER, rounds: int = 60) -> np.ndarray:
+    """(l1, l2, ..) per bucket, by expectation-maximisation on held-out counts per cell (bucket, then bins, the longest first)."""
+    n = math.prod(BUCKETS[: order - 1])
+    own = cells // BINS ** (order - 1)
+    ratio = np.stack([np.ones(len(cells)), *[ratio_of(cells // BINS ** (k - 1) % BINS) * total for k in range(1, order)]], 1)
+    mix = np.full((n, order), 1 / order)
     for _ in range(rounds):
         share = mix[own] * ratio
         share *= (times / share.sum(1))[:, None]
         sums = np.stack([np.bincount(own, weights=s, minlength=n) for s in share.T], 1).astype(float)
         sums[:, 0] += 1.0  # a bucket without evidence has the shortest estimate
         mix = sums / sums.sum(1)[:, None]
-    mix = mix.reshape(BUCKETS[1], BUCKETS[0], 3)
-    # a context of two tokens that is unseen is like one that is unseen once its only place is deleted
-    mix[0] = mix[1]
-    mix[0, :, 1], mix[0, :, 2] = mix[0, :, 1] + mix[0, :, 2], 0.0
-    mix[:, 0] = [1.0, 0.0, 0.0]
-    return mix.reshape(n, 3)
+    if order == 3:
+        # a context of two tokens that is unseen is like one that is unseen once its only place is deleted
+        by = mix.reshape(BUCKETS[1], BUCKETS[0], 3)
+        by[0] = by[1]
+        by[0, :, 1], by[0, :, 2] = by[0, :, 1] + by[0, :, 2], 0.0
+    mix[:: BUCKETS[0]] = [1.0, *[0.0] * (order - 1)]
+    return mix
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    found = stage(_gathered(docs, max(SLOTS, math.ceil(size / SLOT_BYTES))), compression="zstd")
+    found = stage(_gathered(docs, max(SLOTS, math.ceil(size / SLOT_BYTES)), order), compression="zstd")
     totals = found.where("batch < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     total = totals["n"] + DELTA * (totals["v"] + 1)
     histogram = found.where("batch >= 0").select(F.explode(F.arrays_zip("cell", "times")).alias("x")).groupBy("x.cell").agg(F.sum("x.times").alias("n")).toPandas()
-    learned = weights(histogram["cell"].to_numpy(np.int64), histogram["n"].to_numpy(np.float64), total)
+    learned = weights(histogram["cell"].to_numpy(np.int64), histogram["n"].to_numpy(np.float64), total, order)
     shared, n = docs.sparkSession.sparkContext.broadcast(learned), totals["n"]
 
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 mix, sizes = shared.value[np.frombuffer(row["bucket"], "u1")], np.array(row["n_tokens"])
-                gain = np.log10(mix[:, 0] + total * (mix[:, 1] * np.frombuffer(row["two"], "<f4") + mix[:, 2] * np.frombuffer(row["three"], "<f4")))
+                ratios = np.frombuffer(row["ratios"], "<f4").reshape(order - 1, -1)
+                gain = np.log10(mix[:, 0] + total * sum(mix[:, k] * ratios[k - 1] for k in range(1, order)))
                 base = np.array(row["base"]) - sizes * math.log10(total)
                 gained = np.add.reduceat(gain, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
                 yield pa.RecordBatch.from_arrays(
@@ -320,5 +349,5 @@ def score(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    rows = found.where("batch >= 0").select("doc_id", "held_out", "n_tokens", "n_known", "base", "bucket", "two", "three")
+    rows = found.where("batch >= 0").select("doc_id", "held_out", "n_tokens", "n_known", "base", "bucket", "ratios")
     return rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -187,7 +187,7 @@ def test_chunks_do_not_shift():
     assert len(whole - moved) <= 4 and len(whole) > 30
 
 
-def scored_by_hand(rows):
+def scored_by_hand(rows, order):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row, counted with dictionaries."""
     lm = language_model
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]
@@ -208,26 +208,27 @@ def scored_by_hand(rows):
         for i in range(len(ws)):
             u, v, w = padded[i : i + 3]
             c = [grams[x] for x in ((w,), (v,), (v, w), (u, v), (u, v, w))]
-            yield c, int(lm.bucket(np.array(c[1]), 1) + lm.BUCKETS[0] * lm.bucket(np.array(c[3]), 2))
+            yield c, int(lm.bucket(np.array(c[1]), 1) + (lm.BUCKETS[0] * lm.bucket(np.array(c[3]), 2) if order == 3 else 0))
 
     cells = Counter()
     for ws, h in zip(texts, held):
         for c, b in () if h else places(ws):
             two, three = ((c[k + 1] - 1) / (c[k] - 1) / (c[0] + 0.1) if c[k] > 1 else 0.0 for k in (1, 3))
-            cells[(b * lm.BINS + int(lm.bin_of(np.array(three)))) * lm.BINS + int(lm.bin_of(np.array(two)))] += 1
-    mix = lm.weights(np.array(list(cells), np.int64), np.array(list(cells.values()), float), total)
+            cells[(b * lm.BINS + int(lm.bin_of(np.array(three))) if order == 3 else b) * lm.BINS + int(lm.bin_of(np.array(two)))] += 1
+    mix = lm.weights(np.array(list(cells), np.int64), np.array(list(cells.values()), float), total, order)
     for (d, _), ws, h in zip(rows, texts, held):
         base = score = 0.0
         for c, b in places(ws):
             p1 = (c[0] + 0.1) / total
             base += math.log10(p1)
-            score += math.log10(mix[b, 0] * p1 + mix[b, 1] * c[2] / max(c[1], 1) + mix[b, 2] * c[4] / max(c[3], 1))
+            longest = mix[b, 2] * c[4] / max(c[3], 1) if order == 3 else 0.0
+            score += math.log10(mix[b, 0] * p1 + mix[b, 1] * c[2] / max(c[1], 1) + longest)
         yield d, h, len(ws), sum(grams[w,] > 0 for w in ws), n, base, score
 
 
-def same_scores(docs, rows):
-    got = sorted((tuple(r) for r in language_model.score(docs).collect()), key=str)
-    want = sorted(scored_by_hand(rows), key=lambda r: str(r[:5]))
+def same_scores(docs, rows, order=2):
+    got = sorted((tuple(r) for r in language_model.score(docs, order).collect()), key=str)
+    want = sorted(scored_by_hand(rows, order), key=lambda r: str(r[:5]))
     assert Counter(r[:5] for r in got) == Counter(r[:5] for r in want)
     near = lambda rs: sorted((str(r[:5]), round(r[5], 3), r[6]) for r in rs)
     for a, b in zip(near(got), near(want), strict=True):
@@ -236,6 +237,7 @@ def same_scores(docs, rows):
 
 def test_language_model_equals_counting_by_hand(docs, monkeypatch):
     same_scores(docs, corpus())
+    same_scores(docs, corpus(), 3)
     # many small batches and slots
     monkeypatch.setattr(language_model, "BATCH_BYTES", 2000)
     monkeypatch.setattr(language_model, "SLOT_BYTES", 500)
@@ -263,9 +265,17 @@ def test_language_model_codes_and_weights():
     lm = language_model
     counts = np.array([0, 1, 254, 255, 256, 1 << 40])
     assert (lm._counts(lm._small(counts), 6) == counts).all()
+    for kind, slots in ((0, 1), (0, 100), (1, 64), (2, 77_777)):
+        deal, hashes = lm.Deal.of(kind, slots), np.random.default_rng(4).integers(0, 1 << 64, 5000, dtype=np.uint64)
+        order, ends, keys = deal.sorted(hashes)
+        for k in np.flatnonzero(np.diff(ends))[:500].tolist():
+            some = slice(ends[k], ends[k + 1])
+            back, n = deal.decoded(k, deal.coded(k, keys[some], np.arange(5000)[some]))
+            assert (back == keys[some]).all() and (n == np.arange(5000)[some]).all()
+        assert (hashes[order] >> np.uint64(deal.shift) == keys).all() and ends[-1] == 5000
     assert lm.bucket(np.array([0, 1, 2, 3, 4, 7, 8, 1 << 60]), 2).tolist() == [0, 1, 2, 3, 4, 4, 5, 9]
     cells = np.array([(5 + 16 * 3) * lm.BINS**2, ((5 + 16 * 3) * lm.BINS + 60 - 10) * lm.BINS])
-    mix = lm.weights(cells, np.array([20.0, 80.0]), 1e3)
+    mix = lm.weights(cells, np.array([20.0, 80.0]), 1e3, 3)
     assert np.isclose(mix.sum(1), 1).all() and 0.6 < mix[5 + 16 * 3, 2] < 0.9 and mix[0].tolist() == [1, 0, 0]
 
 
