@@ -5,11 +5,18 @@ Gaussian and split into two clusters at a threshold; the lines above it vote for
 content: an article or main element where one has their majority (one inside it only if that has MOST of
 it), else the innermost element that still has MOST of them.  All blocks of that region are the text, without
 those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
-An element that only its class or id names so is text all the same where it holds more than half of what is
-above the threshold, unless the whole name is that of adverts or comments.
+
+Class and id names tell of such elements as follows.  A whole name of adverts or comments is certain.  Another
+whole name (sidebar, left-menu), and a form, is believed of an element that can hold blocks, unless that
+element holds more than half of the page's text above the threshold and no article stands elsewhere.  A name
+with more words to it (share-price-report) is believed only where the ratio says the same: if less than half
+of the element's text is above the threshold.  Paragraphs, headings, items and cells are dropped for no name
+but a certain one.
 
 Defined results: a null, empty or textless page has the empty string; truncated pages end where they end,
-with their open elements closed; white space, also no-break spaces, becomes one space.
+with their open elements closed; white space, also no-break spaces, becomes one space; repeated rows are
+handled row by row; an empty table has no rows; other columns are not looked at.  Work and memory follow the
+length of the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -25,7 +33,7 @@ from gossamer.llm.common import arrow_map
 SIGMA = 1.5
 MOST = 0.8
 #: Elements that never hold article text.
-DROPPED = {"head", "title", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "svg", "iframe", "object", "canvas", "menu", "dialog", "audio", "video"}
+DROPPED = {"head", "title", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "button", "select", "textarea", "svg", "iframe", "object", "canvas", "menu", "dialog", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp"}
 #: An open element of the same kind ends where one of these begins.
@@ -33,52 +41,72 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Blocks that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|skip)(?=$|[\s_-]|\d)",
-    re.IGNORECASE,
-)
+_KINDS = "ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|skip"
+_PLACE = "main|site|page|global|top|bottom|left|right|primary|secondary|mobile|cookie|login|search|share|social|user|sticky|fixed"
+#: A whole name, which may tell where the element is or what it is made of.
+_WHOLE = re.compile(rf"(?:(?:{_PLACE})[_-])*(?:{_KINDS})(?:[_-](?:{_PLACE}|bar|box|block|area|list|links?|buttons?|form|wrapper|container|inner))*\d*", re.IGNORECASE)
+_PART = re.compile(rf"(?:^|[\s_-])(?:{_KINDS})(?=$|[\s_-]|\d)", re.IGNORECASE)
 #: Names that tell of something else on the page, not of the element itself.
-_ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|hides|show|shows)[_-]", re.IGNORECASE)
-#: Whole names that the density of text does not overrule.
+_ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|hides|show|shows)[_-]|.*[_-](?:free|less)$", re.IGNORECASE)
 _CERTAIN = re.compile(r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|comments?|comment-list|disqus|replies)\d*", re.IGNORECASE)
+#: Elements that hold text themselves.
+TEXTUAL = {"p", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre", "blockquote", "figcaption", "caption"}
+_NONE, _MAYBE, _LIKELY = 0, 1, 2
+
 
+class _Element(NamedTuple):
+    tag: str
+    #: The innermost region and the innermost element named as noise, both numbered from 1; 0 is the page.
+    region: int
+    named: int
+    dropped: bool
 
-class _Element:
-    __slots__ = ("tag", "path", "dropped", "named")
 
-    def __init__(self, tag: str, path: tuple[int, ...], dropped: bool, named: tuple[int, ...]):
-        self.tag, self.path, self.dropped, self.named = tag, path, dropped, named
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    named: int
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, path of open regions, elements named as noise) from parser events as they come."""
+    """Collects lines from parser events as they come; regions and named elements point to the ones around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [_Element("", (), False, ())]
-        self.kinds: list[str] = []
-        self.above: list[tuple[int, ...]] = []
-        self.names = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.text: dict[tuple[int, ...], list[str]] = {}
+        self.open = [_Element("", 0, 0, False)]
+        #: Where each tag is in `open`.
+        self.places: dict[str, list[int]] = {}
+        self.kinds, self.above = ["page"], [0]
+        #: Of each named element the one around it, how it is named and the region around it.
+        self.over, self.level, self.place = [0], [_NONE], [0]
+        self.lines: list[Line] = []
+        self.text: dict[int, list[str]] = {}
         self.tags = 0
 
+    def _push(self, tag: str, region: int, named: int, dropped: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Element(tag, region, named, dropped))
+
     def _flush(self) -> None:
         if self.text:
             for named, parts in self.text.items():
                 if text := " ".join("".join(parts).split()):
-                    self.lines.append((text, self.tags, self.open[-1].path, named))
+                    self.lines.append(Line(text, self.tags, self.open[-1].region, named))
                     self.tags = 0
             self.text = {}
 
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _pop(self, tags: set[str], until: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                self._flush()
-                del self.open[k:]
-                return
-            if self.open[k].tag in until:
-                return
+        """Closes the innermost of `tags` with all inside it, unless one of `until` is further in."""
+        k = self._last(tags)
+        if k and k > self._last(until - tags):
+            self._flush()
+            for element in reversed(self.open[k:]):
+                self.places[element.tag].pop()
+            del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -94,30 +122,36 @@ class Lines(HTMLParser):
             self._pop({"p"}, {"div", "article", "section", "td", "li", "body"})
         over = self.open[-1]
         if tag in INLINE:
-            dropped, named = self._state(over, attrs, False, True)
-            if (dropped, named) != (False, ()) or tag == "label":
-                self.open.append(_Element(tag, over.path, dropped, named))
+            dropped, level = over.dropped or self._certain(attrs), self._named(attrs)
+            if dropped != over.dropped or level or tag == "label":
+                self._push(tag, over.region, self._name(over, level), dropped)
             return
         self._flush()
-        dropped, named = self._state(over, attrs, tag in DROPPED, tag not in ("html", "body", "article", "main") or _is_comment(attrs))
-        path = over.path
-        if tag not in ("p", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
+        whole = tag in ("html", "body", "article", "main")
+        dropped = over.dropped or tag in DROPPED or (not whole or _is_comment(attrs)) and self._certain(attrs)
+        level = _NONE if whole or tag in TEXTUAL else _LIKELY if tag == "form" else self._named(attrs)
+        region = over.region
+        if tag not in TEXTUAL:
             self.kinds.append("article" if tag in ("article", "main") or ("role", "main") in attrs else tag)
-            self.above.append(path)
-            path = (*path, len(self.kinds) - 1)
-        self.open.append(_Element(tag, path, dropped, named))
-
-    def _state(self, over: _Element, attrs: list[tuple[str, str | None]], dropped: bool, look: bool) -> tuple[bool, tuple[int, ...]]:
-        """Whether an element inside `over` is dropped for certain, and the elements around it that are named as noise."""
-        if over.dropped or dropped or attrs and look and self._noise(attrs):
-            return True, over.named
-        if attrs and look and any(name in ("class", "id") and value and any(map(_is_noise, value.split())) for name, value in attrs):
-            self.names += 1
-            return False, (*over.named, self.names)
-        return False, over.named
+            self.above.append(region)
+            region = len(self.kinds) - 1
+        self._push(tag, region, self._name(over, level), dropped)
+
+    def _name(self, over: _Element, level: int) -> int:
+        if level == _NONE:
+            return over.named
+        self.over.append(over.named)
+        self.level.append(level)
+        self.place.append(over.region)
+        return len(self.over) - 1
+
+    @staticmethod
+    def _named(attrs: list[tuple[str, str | None]]) -> int:
+        names = [n for name, value in attrs if name in ("class", "id") and value for n in value.split()] if attrs else ()
+        return max((_LIKELY if _WHOLE.fullmatch(n) else _MAYBE if _PART.search(n) and not _ABOUT.match(n) else _NONE for n in names), default=_NONE)
 
     @staticmethod
-    def _noise(attrs: list[tuple[str, str | None]]) -> bool:
+    def _certain(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
             if name in ("class", "id") and value and any(map(_CERTAIN.fullmatch, value.split())):
                 return True
@@ -131,6 +165,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in INLINE:
             if self.open[-1].tag == tag:
+                self.places[tag].pop()
                 self.open.pop()
             return
         self._pop({tag}, set() if tag not in CLOSES else {"article", "body"})
@@ -144,14 +179,26 @@ class Lines(HTMLParser):
         self._flush()
 
 
-def _is_noise(name: str) -> bool:
-    return bool(_NOISE.search(name)) and not _ABOUT.match(name)
-
-
 def _is_comment(attrs) -> bool:
     return any(name in ("class", "id") and value and re.search(r"comment|repl(y|ies)", value, re.IGNORECASE) for name, value in attrs)
 
 
+def _summed(above: list[int], sizes: dict[int, int]) -> list[int]:
+    """Sizes with those of all that point to them; what points comes after what it points to."""
+    out = [sizes.get(k, 0) for k in range(len(above))]
+    for k in range(len(above) - 1, 0, -1):
+        out[above[k]] += out[k]
+    return out
+
+
+def _spread(above: list[int], flags: list[bool]) -> list[bool]:
+    """Flags that hold for what points to a flagged one, too."""
+    out = list(flags)
+    for k in range(1, len(above)):
+        out[k] = out[k] or out[above[k]]
+    return out
+
+
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     reach = math.ceil(2 * sigma)
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
@@ -177,56 +224,74 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _ratios(lines: list[Line]) -> tuple[list[float], float]:
+    smooth = smoothed([len(line.text) / max(1, line.tags) for line in lines])
+    return smooth, threshold(smooth) if smooth else 0.0
+
+
+def _by(lines: list[Line], key: str) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for line in lines:
+        out[getattr(line, key)] = out.get(getattr(line, key), 0) + len(line.text)
+    return out
+
+
+def _without_noise(page: Lines) -> list[Line]:
+    """The lines outside the elements whose names are believed."""
+    lines = page.lines
+    if not any(line.named for line in lines):
+        return lines
+    smooth, cut = _ratios(lines)
+    dense = [line for line, value in zip(lines, smooth, strict=True) if value >= cut]
+    all_of, dense_of = _summed(page.over, _by(lines, "named")), _summed(page.over, _by(dense, "named"))
+    inside = _spread(page.above, [kind == "article" for kind in page.kinds])
+    elsewhere = any(inside[line.region] and not line.named for line in lines)
+    noise = [False] * len(page.over)
+    for k in range(1, len(noise)):
+        if page.level[k] == _MAYBE:
+            noise[k] = dense_of[k] * 2 < all_of[k]
+        else:
+            noise[k] = dense_of[k] * 2 <= dense_of[0] or elsewhere and not inside[page.place[k]]
+    noise, out, more = _spread(page.over, noise), [], 0
+    for line in lines:
+        if noise[line.named]:
+            more += line.tags
+        else:
+            out.append(line._replace(tags=line.tags + more))
+            more = 0
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.finish()
-    lines, smooth, cut = _without(parser.lines, None)
+    page = Lines()
+    page.feed(html)
+    page.finish()
+    lines = _without_noise(page)
     if not lines:
         return ""
-    if any(named for *_, named in lines):
-        held: dict[int, int] = {}
-        dense = [(len(text), named) for (text, _, _, named), value in zip(lines, smooth, strict=True) if value >= cut]
-        for size, named in dense:
-            for k in named:
-                held[k] = held.get(k, 0) + size
-        total = sum(size for size, _ in dense)
-        lines, smooth, cut = _without(lines, {k for k in held if held[k] * 2 > total})
-        if not lines:
-            return ""
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, path, _), value in zip(lines, smooth, strict=True):
-        if value >= cut:
-            total += len(text)
-            for region in path:
-                mass[region] = mass.get(region, 0) + len(text)
-    articles = [r for r in mass if parser.kinds[r] == "article"]
+    smooth, cut = _ratios(lines)
+    mass = _summed(page.above, _by([line for line, value in zip(lines, smooth, strict=True) if value >= cut], "region"))
+    total = mass[0]
+    articles = [r for r, kind in enumerate(page.kinds) if kind == "article" and mass[r]]
     outer = {r for r in articles if mass[r] * 2 >= total}
     if outer:
         # of each outermost one with the majority the innermost that has MOST of it
-        tops = [r for r in outer if not outer & {*parser.above[r]}]
-        chosen = {max(r for r in outer if t in (r, *parser.above[r]) and mass[r] >= MOST * mass[t]) for t in tops}
+        top = [0] * len(page.above)
+        for r in range(1, len(top)):
+            top[r] = top[page.above[r]] or (r if r in outer else 0)
+        chosen = {t: t for t in outer if top[t] == t}
+        for r in sorted(outer):
+            if mass[r] >= MOST * mass[top[r]]:
+                chosen[top[r]] = r
+        chosen = set(chosen.values())
     elif articles and sum(mass[r] for r in articles) * 2 >= total:
         chosen = set(articles)
     else:
-        chosen = {max((r for r in mass if mass[r] >= MOST * total), default=-1)}
-    return "\n".join(t for t, _, path, _ in lines if chosen & {*path, -1})
-
-
-def _without(lines: list[tuple], kept: set[int] | None) -> tuple[list[tuple], list[float], float]:
-    """`lines` without those in named elements other than `kept` (all without it), their smoothed ratios and threshold."""
-    out, more = [], 0
-    for text, tags, path, named in lines:
-        if kept is None or kept.issuperset(named):
-            out.append((text, tags + more, path, named))
-            more = 0
-        else:
-            more += tags
-    smooth = smoothed([len(t) / max(1, tags) for t, tags, *_ in out])
-    return out, smooth, threshold(smooth) if smooth else 0.0
+        chosen = {max(r for r in range(len(mass)) if mass[r] >= MOST * total)}
+    within = _spread(page.above, [r in chosen for r in range(len(mass))])
+    return "\n".join(line.text for line in lines if within[line.region])
 
 
 def extract(pages: DataFrame) -> DataFrame:

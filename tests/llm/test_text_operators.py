@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -165,7 +167,7 @@ def test_page_text_without_article_takes_the_dense_region():
     assert html_text.threshold([1.0, 1.1, 9.0, 9.1]) == pytest.approx(5.05)
 
 
-@pytest.mark.parametrize("name", ["content has-sidebar", "with-sidebar", "no-sidebar", "post-header", "page_header"])
+@pytest.mark.parametrize("name", ["content has-sidebar", "with-sidebar", "no-sidebar", "post-header", "page_header", "content with-sidebar", "container no-sidebar", "has-header main-content", "layout-menu-left", "ad-free", "share-price-report", "story related-to-art"])
 def test_page_text_inside_a_wrapper_that_is_named_like_noise(name):
     body = [f"{'content words go on and on ' * 6}{i}" for i in range(6)]
     menu = "".join(f'<li><a href="/{i}">m{i}</a></li>' for i in range(5))
@@ -173,6 +175,40 @@ def test_page_text_inside_a_wrapper_that_is_named_like_noise(name):
     assert html_text.main_text(page) == "\n".join(body)
 
 
+def test_page_text_loses_no_paragraph_for_its_name_and_no_page_for_a_form():
+    body = [f"{'content words go on and on ' * 6}{i}" for i in range(6)]
+    named = "".join(f"<p id='search' class='menu'>{b}</p>" if i == 2 else f"<p>{b}</p>" for i, b in enumerate(body))
+    assert html_text.main_text(f"<article>{named}<div class='newsletter'>Mail us</div><form><p>Your name</p></form></article>") == "\n".join(body)
+    assert html_text.main_text(f"<body><form id='all'><div>{named}</div><div class='social'><a href='/'>x</a></div></form></body>") == "\n".join(body)
+    assert html_text.main_text(f"<div class='cookie-notice'>{'we use cookies ' * 40}</div><article><p>Short.</p></article>") == "Short."
+    long_comment = "<p>" + "said the reader " * 90 + "</p>"
+    assert html_text.main_text(f"<article>{named}<section id='comments'>{long_comment}</section></article>") == "\n".join(body)
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "article", "p", "b class='menu'", "section id=ad-free", "li", "x-y"])
+def test_page_text_of_deep_and_unclosed_markup(tag):
+    began = time.time()
+    assert html_text.main_text(f"<{tag}>" * 100_000 + "deep text") == "deep text"
+    assert "text" in html_text.main_text(f"<table><td>{'<x-y>' * 50_000}" + f"<{tag}>a</td></q></h2>" * 20_000 + "text")
+    assert time.time() - began < 60
+
+
+def by_hand(html):
+    """The blocks of the article of a generated page."""
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", html or "", re.S)
+    blocks = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inner[1] if inner else "")
+    texts = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_page_text_equals_the_article_of_every_given_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {i: by_hand(h) for i, h in html.items()} and len(got) == pages.count()
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_page_text_of_main_with_a_smaller_article():
     own, rest = ["".join(f"<p>{f'{w} goes on and on ' * 8}{i}</p>" for i in range(n)) for w, n in (("inner", 6), ("outer", 4))]
     text = html_text.main_text(f"<body><main><article>{own}</article><section>{rest}</section></main></body>")
