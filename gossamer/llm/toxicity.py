@@ -1,22 +1,28 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are words and their beginnings of four and five letters, hashed into BUCKETS.  Buckets whose
-document frequencies differ between the classes by at least MIN_Z standard errors are kept, at most
-FEATURES of them.  A factorization machine then learns a weight per kept bucket and a vector of FACTORS
-numbers per bucket, whose inner products are the weights of pairs (an insult together with a group, say),
-which additive weights cannot express.
+Terms are words and their beginnings of four and five letters, hashed into BUCKETS.  A factorization machine
+learns a weight per bucket and a vector of FACTORS numbers per bucket, whose inner products are the weights of
+pairs (an insult together with a group, say), which additive weights cannot express.
 
-The classifier is fitted on at most SAMPLE labelled rows (a documented bound: the rows with the smallest
-hash of doc_id), and scores whole texts of all rows.
+A bucket enters with a value between 0 and 1 that follows its evidence, so that what is frequent but idle does
+not drown the rest: the standard errors by which its document frequencies differ between the classes, or by
+which a pair of words near each other does so beyond both of its words.  Words that are neutral alone and not
+together therefore reach the machine, too.  Values below LEAST count as 0.
+
+The classifier is fitted on at most SAMPLE labelled ids (a documented bound: those with the smallest hash of
+doc_id), one text each, and scores whole texts of all rows.
 
 Defined results: null and empty texts get the score of no terms; repeated labels of one id count as their
-largest, null labels not at all; without labels of both classes every score is the share of toxic ones.
+largest, null labels not at all; of rows that share a labelled id the text with the least hash is learned from;
+without labels of both classes every score is the share of toxic ones; an empty table has no rows; a column
+named score is replaced, all others are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,127 +30,229 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm.common import arrow_map, claim, crc_fold
+from gossamer.llm.common import claim, crc_fold, stage
 
 BUCKETS = 1 << 18
-FEATURES = 2048
+#: Buckets of pairs of words, and how far apart such words are at most.
+PAIRS, NEAR = 1 << 22, 5
 FACTORS = 8
 SAMPLE = 24_000
-MIN_Z = 4.0
+#: Standard errors at which a bucket, or a pair beyond its words, counts half; pairs below STRONG are left alone.
+HALF, HALF_PAIR, STRONG = 4.0, 6.0, 6.0
+LEAST = 0.02
 THRESHOLD = 0.3
 EPOCHS = 12
-#: Words that a worker keeps with their features, about 150 bytes each.
-MEMO_ENTRIES = 200_000
+#: Buckets that are added up together.
+SEGMENT = 1 << 16
+#: Words that a worker keeps with their buckets, about 200 bytes each; longer words are not kept.
+MEMO_ENTRIES, MEMO_LETTERS = 200_000, 40
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _buckets(word: str) -> set[int]:
-    terms = {word, f"4{word[:4]}", f"5{word[:5]}"} if len(word) > 5 else {word, f"4{word[:4]}"}
-    return {zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms}
+def _bucket(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+
 
+def _buckets(word: str) -> tuple[int, ...]:
+    """The bucket of a word, then those of its beginnings."""
+    return (_bucket(word), _bucket(f"4{word[:4]}"), _bucket(f"5{word[:5]}")) if len(word) > 5 else (_bucket(word), _bucket(f"4{word[:4]}"))
 
-class _Features(dict):
-    """word -> the features it switches on, filled on demand."""
 
-    def __init__(self, kept: list[int]):
+class _Words(dict):
+    """word -> what `make` tells of it, kept for short words."""
+
+    def __init__(self, make):
         super().__init__()
-        self.kept = {b: i for i, b in enumerate(kept)}
+        self.make = make
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = found = tuple(self.kept[b] for b in _buckets(word) if b in self.kept)
+        found = self.make(word)
+        if len(word) <= MEMO_LETTERS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[word] = found
         return found
 
-    def of(self, text: str | None) -> list[int]:
-        words = set(_WORD.findall(text.lower())) if text else ()
-        return sorted({f for found in map(self.__getitem__, words) for f in found})
 
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pair bucket and both words (by bucket) of every two words near each other."""
+    a, b = [np.concatenate(x) if len(words) else words for x in zip(*[(words[: max(0, len(words) - d)], words[d:]) for d in range(1, NEAR + 1)], strict=True)]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    mixed = (low.astype(np.uint64) * np.uint64(BUCKETS) + high.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(42)).astype(np.int64), low, high
+
+
+class Machine(NamedTuple):
+    """A second-order factorization machine over the buckets that have a value."""
+
+    buckets: np.ndarray
+    values: np.ndarray
+    bias: float
+    linear: np.ndarray
+    pairs: np.ndarray
+
+    def features(self) -> _Words:
+        """word -> the features it switches on."""
+        at = dict(zip(self.buckets.tolist(), range(len(self.buckets)), strict=True))
+        return _Words(lambda word: tuple(at[b] for b in _buckets(word) if b in at))
+
+    def probability(self, rows: list[list[int]]) -> np.ndarray:
+        return _sigmoid(_logits(_Rows(rows, self.values), self.bias, self.linear, self.pairs)[0])
+
+
+class _Rows:
+    """Rows of features, one after the other, with their values."""
+
+    def __init__(self, rows: list[list[int]], values: np.ndarray):
+        self.n = len(rows)
+        self.at = np.fromiter((f for r in rows for f in r), np.int64)
+        self.own = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.x = values[self.at]
 
-class Machine:
-    """A second-order factorization machine over binary features."""
 
-    def __init__(self, n: int, seed: int = 7):
-        self.bias, self.linear = 0.0, np.zeros(n)
-        self.pairs = np.random.default_rng(seed).normal(0, 0.03, (n, FACTORS))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        through = x @ self.pairs
-        return self.bias + x @ self.linear + 0.5 * ((through**2).sum(1) - x @ (self.pairs**2).sum(1))
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
+def _by_row(rows: _Rows, x: np.ndarray) -> np.ndarray:
+    return np.bincount(rows.own, weights=x, minlength=rows.n)
 
-    def fit(self, rows: list[list[int]], labels: np.ndarray, rate: float = 0.1, decay: float = 2e-5) -> None:
-        n = len(self.linear)
-        share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-        self.bias = float(np.log(share / (1 - share)))
-        if not n or labels.min() == labels.max():
-            return
-        sums = [1e-6, np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)]
-        order = np.random.default_rng(11)
+
+def _logits(rows: _Rows, bias: float, linear: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logit of each row, the sums of its features' factors, and those factors."""
+    own = pairs[rows.at] * rows.x[:, None]
+    sums = np.stack([_by_row(rows, own[:, k]) for k in range(pairs.shape[1])], 1)
+    return bias + _by_row(rows, linear[rows.at] * rows.x) + 0.5 * ((sums**2).sum(1) - _by_row(rows, (own**2).sum(1))), sums, own
+
+
+def fit(rows: list[list[int]], labels: np.ndarray, buckets: np.ndarray, values: np.ndarray, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> Machine:
+    """A machine fitted by stochastic gradients with steps of their own for every weight."""
+    n = len(buckets)
+    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
+    bias, linear, pairs = float(np.log(share / (1 - share))), np.zeros(n), np.random.default_rng(seed).normal(0, 0.03, (n, FACTORS))
+    if n and len(labels) and labels.min() < labels.max():
+        past = [1e-6, np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)]
+        order = np.random.default_rng(seed + 4)
         for _ in range(EPOCHS):
             shuffled = order.permutation(len(rows))
             for lo in range(0, len(rows), 256):
                 at = shuffled[lo : lo + 256]
-                x = dense([rows[i] for i in at], n)
-                miss = (self.probability(x) - labels[at]) / len(at)
-                through = x @ self.pairs
-                slopes = [float(miss.sum()), x.T @ miss + decay * self.linear, x.T @ (miss[:, None] * through) - (x.T @ miss)[:, None] * self.pairs + decay * self.pairs]
-                sums = [s + g * g for s, g in zip(sums, slopes, strict=True)]
-                steps = [rate * g / np.sqrt(s) for s, g in zip(sums, slopes, strict=True)]
-                self.bias -= steps[0]
-                self.linear -= steps[1]
-                self.pairs -= steps[2]
-
-
-def dense(rows: list[list[int]], n: int) -> np.ndarray:
-    x = np.zeros((len(rows), n))
-    for i, r in enumerate(rows):
-        x[i, r] = 1.0
-    return x
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Machine, list[int]]:
-    """The machine and its kept buckets, from labelled rows outside the held-out quarter."""
-    wanted = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    wanted = wanted.where(crc_fold(F.col("doc_id"), 4) != 2)
-    many = wanted.count()
-    if many > sample:
-        # a uniform share by hash; the limit makes the bound certain
-        wanted = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * sample / many)).limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+                some = _Rows([rows[i] for i in at], values)
+                z, sums, own = _logits(some, bias, linear, pairs)
+                miss = (_sigmoid(z) - labels[at]) / len(at)
+                weight = miss[some.own] * some.x
+                of = lambda x, f=some.at: np.bincount(f, weights=x, minlength=n)
+                through = np.stack([of(weight * (sums[some.own, k] - own[:, k])) for k in range(FACTORS)], 1)
+                slopes = [float(miss.sum()), of(weight) + decay * linear, through + decay * pairs]
+                past = [p + g * g for p, g in zip(past, slopes, strict=True)]
+                steps = [rate * g / np.sqrt(p) for p, g in zip(past, slopes, strict=True)]
+                bias, linear, pairs = bias - steps[0], linear - steps[1], pairs - steps[2]
+    return Machine(buckets, values, bias, linear, pairs)
+
+
+def _errors(seen: np.ndarray, clean: int, toxic: int) -> np.ndarray:
+    """Standard errors between the shares of toxic (row 1) and clean texts (row 0) that have each bucket."""
+    share = seen.sum(0) / (clean + toxic)
+    return (seen[1] / toxic - seen[0] / clean) / np.sqrt(np.maximum(share * (1.000001 - share), 1e-12) * (1 / toxic + 1 / clean))
+
+
+def _differences(texts: DataFrame, clean: int, toxic: int) -> tuple[np.ndarray, dict[int, float]]:
+    """The standard errors of every bucket, and of the strong pair buckets."""
 
     def count(batches):
-        seen = np.zeros((2, BUCKETS), dtype=np.int64)
+        memo, seen, pairs = _Words(_buckets), np.zeros((2, BUCKETS), np.int32), np.zeros((2, PAIRS), np.int32)
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                on = {b for w in set(_WORD.findall((text or "").lower())) for b in _buckets(w)}
-                seen[int(y > 0), list(on)] += 1
-        at = np.flatnonzero(seen.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["bucket", "clean", "toxic"])
+                found = [memo[w] for w in _words(text)]
+                seen[int(y > 0), list({b for f in found for b in f})] += 1
+                pairs[int(y > 0), np.unique(_pairs(np.array([f[0] for f in found], np.int64))[0])] += 1
+        for kind, table in enumerate((seen, pairs)):
+            for lo in range(0, table.shape[1], SEGMENT):
+                if (part := table[:, lo : lo + SEGMENT]).any():
+                    at = np.flatnonzero(part.any(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([lo], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([part[:, at].astype("<i4").tobytes()])], names=["kind", "low", "at", "seen"])
+
+    def add(key, table):
+        kind, low = (k.as_py() for k in key)
+        total = np.zeros((2, SEGMENT), np.int64)
+        for at, seen in zip(table.column("at").to_pylist(), table.column("seen").to_pylist(), strict=True):
+            total[:, np.frombuffer(at, "<u2")] += np.frombuffer(seen, "<i4").reshape(2, -1)
+        z = _errors(total, clean, toxic)
+        at = np.flatnonzero(total.any(0) if kind == 0 else np.abs(z) >= STRONG)
+        return pa.table({"kind": pa.array([kind], pa.int32()), "at": pa.array([(low + at).tolist()], pa.list_(pa.int64())), "z": pa.array([z[at].tolist()], pa.list_(pa.float64()))})
+
+    parts = texts.mapInArrow(count, "kind int, low long, at binary, seen binary").groupBy("kind", "low").applyInArrow(add, "kind int, at array<long>, z array<double>")
+    z, strong = np.zeros(BUCKETS), {}
+    for r in parts.collect():
+        if r["kind"] == 0:
+            z[r["at"]] = r["z"]
+        else:
+            strong |= dict(zip(r["at"], r["z"], strict=True))
+    return z, strong
+
+
+def _beyond(texts: DataFrame, z: np.ndarray, strong: dict[int, float]) -> np.ndarray:
+    """For each bucket the most standard errors by which a pair of its words differs beyond both words."""
+    out = np.zeros(BUCKETS)
+    if not strong:
+        return out
+    keys = np.array(sorted(strong))
+    shared = texts.sparkSession.sparkContext.broadcast((np.abs(z), keys, np.abs([strong[k] for k in keys.tolist()])))
 
+    def run(batches):
+        (alone, keys, together), memo, most = shared.value, _Words(_buckets), np.zeros(BUCKETS)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                pair, a, b = _pairs(np.array([memo[w][0] for w in _words(text)], np.int64))
+                place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+                hit = keys[place] == pair
+                a, b, more = a[hit], b[hit], together[place[hit]] - np.maximum(alone[a[hit]], alone[b[hit]])
+                np.maximum.at(most, a, more)
+                np.maximum.at(most, b, more)
+        at = np.flatnonzero(most > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(most[at])], names=["bucket", "more"])
+
+    for r in texts.mapInArrow(run, "bucket long, more double").groupBy("bucket").agg(F.max("more").alias("more")).collect():
+        out[r["bucket"]] = r["more"]
+    return out
+
+
+def _value(errors: np.ndarray, half: float) -> np.ndarray:
+    return errors**4 / (errors**4 + half**4)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """The machine fitted on labelled rows outside the held-out quarter."""
+    wanted = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    wanted = stage(wanted.where(crc_fold(F.col("doc_id"), 4) != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))).alias("t"))
+    texts = stage(found.select(F.col("t.text").alias("text"), "toxic", "doc_id"))
     sizes = {bool(r[0]): r[1] for r in texts.groupBy(F.col("toxic") > 0).count().collect()}
-    clean, toxic = max(1, sizes.get(False, 0)), max(1, sizes.get(True, 0))
-    counted = texts.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    share = (F.col("c") + F.col("t")) / (clean + toxic)
-    z = F.abs(F.col("t") / toxic - F.col("c") / clean) / F.sqrt(share * (1.000001 - share) * (1 / toxic + 1 / clean))
-    strong = counted.where(F.col("c") + F.col("t") >= 3).withColumn("z", z).where(F.col("z") >= MIN_Z)
-    kept = [r[0] for r in strong.orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()]
-
-    def active(columns):
-        features = _Features(kept)
-        yield {"on": [features.of(t) for t in columns[0]], "toxic": columns[1]}
-
-    rows = arrow_map(texts, "on array<int>, toxic int", active).collect()
-    rows.sort(key=lambda r: (r[0], r[1]))  # tasks end in any order; the fit does not depend on it
-    machine = Machine(len(kept))
-    if rows:
-        machine.fit([r[0] for r in rows], np.array([float(r[1] > 0) for r in rows]))
-    return machine, kept
-
-
-def score(docs: DataFrame, model: tuple[Machine, list[int]]) -> DataFrame:
+    clean, toxic = sizes.get(False, 0), sizes.get(True, 0)
+    if not clean or not toxic:
+        return fit([], np.repeat([0.0, 1.0], [clean, toxic]), np.zeros(0, np.int64), np.zeros(0))
+    z, strong = _differences(texts, clean, toxic)
+    values = np.maximum(_value(np.abs(z), HALF), _value(_beyond(texts, z, strong), HALF_PAIR))
+    buckets = np.flatnonzero(values >= LEAST)
+    machine = Machine(buckets, values[buckets], 0.0, np.zeros(0), np.zeros(0))
+
+    def active(batches):
+        features = machine.features()
+        for batch in batches:
+            on = [sorted({f for w in set(_words(t)) for f in features[w]}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(o, "<i4").tobytes() for o in on], pa.binary()), batch.column(1), batch.column(2)], names=["on", "toxic", "doc_id"])
+
+    rows = texts.mapInArrow(active, f"on binary, toxic int, doc_id {texts.schema['doc_id'].dataType.simpleString()}").toArrow().sort_by("doc_id")
+    on = [np.frombuffer(r, "<i4").tolist() for r in rows.column("on").to_pylist()]
+    return fit(on, (rows.column("toxic").to_numpy() > 0).astype(float), machine.buckets, machine.values)
+
+
+def score(docs: DataFrame, model: Machine) -> DataFrame:
     """`docs` with the column score, from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name != "score"]
@@ -153,13 +261,13 @@ def score(docs: DataFrame, model: tuple[Machine, list[int]]) -> DataFrame:
 
     def run(batches):
         claim("toxicity")
-        machine, kept = shared.value
-        features = _Features(kept)
+        machine = shared.value
+        features = machine.features()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                p = machine.probability(dense([features.of(t) for t in part.column(at).to_pylist()], len(kept)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=schema.names)
+                rows = [sorted({f for w in set(_words(t)) for f in features[w]}) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.probability(rows), pa.float64())], names=schema.names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 

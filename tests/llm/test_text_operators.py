@@ -234,6 +234,36 @@ def test_toxicity_learns_pairs(spark):
     assert none.select("score").distinct().count() == 1
 
 
+def test_toxicity_learns_pairs_of_words_that_are_neutral_alone(spark):
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = rng.random(2) < 0.5
+        words = [f"w{chr(97 + rng.integers(20))}{chr(97 + rng.integers(2))}" for _ in range(8)]
+        words[3:3] = ["insultword"] * int(a) + ["groupword"] * int(b)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a == b)))
+    docs = spark.createDataFrame(rows, DOCS)
+    scored = {r.doc_id: r for r in toxicity.report(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i in range(2400) if scored[i].held_out]
+    assert np.mean([(scored[i].score >= 0.5) == labels[i][1] for i in held]) > 0.95
+
+
+def test_toxicity_on_held_out_rows_and_odd_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    held = [(r.score, truth[r.doc_id]) for r in toxicity.report(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    hits = sum(s >= toxicity.THRESHOLD and y for s, y in held)
+    assert hits >= 0.85 * sum(y for _, y in held) and hits >= 0.9 * sum(s >= toxicity.THRESHOLD for s, _ in held)
+    assert toxicity.report(docs.limit(0), labels).count() == 0
+    # one id with many rows, a bound below the labels, a very long text, a column named score
+    rows = [(1, f"text {i}", "x") for i in range(300)] + [(i, "bad words" if i % 3 == 0 else "good words", "x") for i in range(2, 200)] + [(500, "wordy " * 200_000 + "y" * 300_000, "x")]
+    few = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = toxicity.train(few, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int"), sample=100)
+    got = toxicity.score(few, model)
+    assert got.count() == len(rows) and dict(got.dtypes)["score"] == "double" and got.where("text = 'bad words' and score < 0.5").count() == 0
+
+
 def test_shared_dir_is_below_the_setting(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
