@@ -138,10 +138,39 @@ def test_personal_data(spark):
 def test_span_classifier_learns_reliable_votes():
     yes, no = sum(2 * 3**k for k in range(pii.VOTES)), 0
     fitted = pii.fit([(3, 1, yes, 1, 50), (3, 1, no, 1, 50), (3, 0, yes, 1, 50)])["weights"]
-    assert all(w > 0 for w in fitted[6 : 6 + pii.VOTES])
+    assert all(w > 0 for w in fitted[7 : 7 + pii.VOTES])
     assert pii.fit([])["weights"]
 
 
+def test_added_spans_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    added = {r.doc_id: [(a.kind, texts[r.doc_id][a.start : a.end]) for a in r.added] for r in pii.find(docs).collect()}
+    tokens = {d: [m[1] for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)] for d, t in texts.items()}
+    assert sum(map(len, tokens.values())) > 50
+    assert {d: [v for k, v in found if k == "secret"] for d, found in added.items()} == tokens
+    others = [x for found in added.values() for x in found if x[0] != "secret"]
+    assert not [x for x in others if x[0] == "card"], others[:5]
+
+
+def test_added_spans_by_form_and_clashing_columns(spark):
+    said = [
+        "write to jane.roe (at) example (dot) com today",
+        "call 0049 30 1234567 or phone (212) 555-0199 now",
+        "host at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 today",
+        'api_key: "sk9f8e7d6c5b4a3928171605" and x=aaaaaaaaaaaaaaaa',
+        "commit 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e; version: 2.10.33.4000; order 1234567890123456",
+    ]
+    rows = [(i, t, "b", 7, 8) for i, t in enumerate(said * 20)] + [(500, None, "b", 7, 8), (501, "", "b", 7, 8), (502, "1 " * 50_000 + "+" * 50_000 + "a" * 100_000, "b", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, _id int, judged int")
+    got = pii.find(docs).collect()
+    assert len(got) == len(rows) and set(pii.find(docs).columns) == {"doc_id", "text", "base", "_id", "judged", "added"} and got[0]["_id"] == 7 and got[0].judged == 8
+    texts = {r.doc_id: [(a.kind, r.text[a.start : a.end]) for a in r.added] for r in got}
+    assert texts[0] == [("email", "jane.roe (at) example (dot) com")] and texts[2] == [("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334")]
+    assert ("phone", "0049 30 1234567") in texts[1] and texts[3] == [("secret", "sk9f8e7d6c5b4a3928171605")] and texts[4] == []
+    assert texts[500] == texts[501] == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy this</div><article><h1>Head &amp; more</h1>
 <p><b>First   paragraph,<br>with &quot;quotes&quot; and&nbsp;a <a href="/x">link</a>.<p>Second.</p><ul><li>One</li><li>Two</li></ul>
