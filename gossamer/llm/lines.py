@@ -9,14 +9,15 @@ line of a repeated run of that length is in one of them, whatever is around the
 
 Chunks of two lines or more, and such long lines, are compared across the corpus: by hash at first, then
 byte by byte with the first occurrence (least doc_id, then position); neighbouring chunks with neighbouring
-first occurrences are compared as one run.  A chunk that is equal is removed, together with the up to CONTEXT
-lines before and after it that equal those of the first occurrence, as far as the next chunk that goes for
-its own sake.
+first occurrences are compared as one run.  A chunk that is equal is removed, together with the lines before and
+after it that equal those of the first occurrence, as far as the next chunk that goes for its own sake and as
+far as they have fewer than PASSAGE_WORDS words (with more they would be a passage themselves).
 
 Defined results: null and empty texts stay as they are; rows equal in doc_id and text are one document and
 are treated alike; a chunk repeated inside one document stays at its first place, and places of one chunk
 that overlap there count as one; a document may lose all
-its lines and then has the empty text; a null doc_id counts as the least id.
+its lines and then has the empty text; a null doc_id counts as the least id; an empty table has no rows;
+columns of the table named lines_removed or lines_kept are replaced, all others are kept as they are.
 """
 
 from __future__ import annotations
@@ -31,16 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gossamer.llm.common import fresh
+
 WINDOW = 2
 MODULUS = 2
 LONG_WORDS = 50
 #: Words of a passage of two lines or more.
 PASSAGE_WORDS = 16
-CONTEXT = 8
 #: Bytes of text in an output batch, more or less.
 BATCH_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 _MASK = (1 << 64) - 1
+#: Beyond the last line of any text.
+_FAR = (1 << 31) - 1
 
 
 def _passages(words: list[int]) -> set[tuple[int, int]]:
@@ -97,8 +101,13 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _key() -> tuple:
+    """What rows are known by: doc_id and the hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64("text")})
+    return docs.select("doc_id", "text").withColumns(dict(zip(("_id", "_th"), _key(), strict=True)))
 
 
 def _chunk_table(keyed: DataFrame) -> DataFrame:
@@ -139,8 +148,8 @@ def _joined(parts: list[dict]) -> list[tuple[int, int, int, int, int, int, int]]
     out = []
     for a, b, i, th, at, k in runs:
         low = a if a > going[k][0] else going[k - 1][1] if k else 0
-        high = b if b < going[k][1] else going[k + 1][0] if k + 1 < len(going) else b + CONTEXT
-        out.append((a, b, max(low, a - CONTEXT), min(high, b + CONTEXT), i, th, at))
+        high = b if b < going[k][1] else going[k + 1][0] if k + 1 < len(going) else _FAR
+        out.append((a, b, low, high, i, th, at))
     return out
 
 
@@ -156,7 +165,7 @@ def _places(by_doc: DataFrame) -> DataFrame:
                 for a, b, low, high, f_i, f_th, at in _joined(parts):
                     h = xxhash.xxh3_64_intdigest(np.array([f_i, f_th, at, b - a], "<i8").tobytes())
                     rows.append((i, th, _signed(h), False, a, b - a, low, high))
-                    rows.append((f_i, f_th, _signed(h), True, at, b - a, max(0, at - CONTEXT), at + b - a + CONTEXT))
+                    rows.append((f_i, f_th, _signed(h), True, at, b - a, 0, _FAR))
             yield _record(rows, names, types)
 
     return by_doc.mapInArrow(run, "_id long, _th long, h long, first boolean, at int, n int, low int, high int")
@@ -178,9 +187,13 @@ def _bodies(docs: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 text, i, th, places = [batch.column(c)[k].as_py() for c in ("text", "_id", "_th", "_places")]
                 lines = text.split("\n")
+                total = [0, *accumulate(len(line.split()) for line in lines)]
                 for p in places:
                     a, b = p["at"], p["at"] + p["n"]
-                    rows.append((p["h"], p["first"], i, th, a, p["n"], "\n".join(lines[a:b]), lines[p["low"] : a][::-1], lines[b : p["high"]]))
+                    # as far as the neighbouring lines are no passage of their own
+                    low = max(p["low"], bisect_right(total, total[a] - PASSAGE_WORDS))
+                    high = min(p["high"], bisect_left(total, total[b] + PASSAGE_WORDS) - 1)
+                    rows.append((p["h"], p["first"], i, th, a, p["n"], "\n".join(lines[a:b]), lines[low:a][::-1], lines[b:high]))
                     size += len(rows[-1][6])
                     if size > BATCH_BYTES:
                         yield _record(rows, names, types)
@@ -234,8 +247,10 @@ def remove(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(left, pa.int64())], names=schema.names)
 
-    joined = _keyed(own).join(repeated(own), ["_id", "_th"], "left")
-    return joined.select(*[F.col(f"`{f.name}`") for f in fields], "_ranges").mapInArrow(run, schema)
+    i, th, ranges = fresh(own, "_id", "_th", "_ranges")
+    found = repeated(own.select("doc_id", "text")).withColumnsRenamed({"_id": i, "_th": th, "_ranges": ranges})
+    joined = own.withColumns(dict(zip((i, th), _key(), strict=True))).join(found, [i, th], "left")
+    return joined.select(*[F.col(f"`{f.name}`") for f in fields], ranges).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -136,8 +136,9 @@ def brute_lines(rows):
             x, y = texts[k], texts[k0]
             goes = [(a, m) for a, m, _ in lines.chunks("\n".join(x)) if (f := min(places["\n".join(x[a : a + m]), m]))[2] != a or rows[f[1]] != rows[k]]
             free = lambda i: not any(a <= i < a + m for a, m in goes)
-            before = next((j for j in range(lines.CONTEXT) if at - j - 1 < 0 or a0 - j - 1 < 0 or not free(at - j - 1) or x[at - j - 1] != y[a0 - j - 1]), lines.CONTEXT)
-            after = next((j for j in range(lines.CONTEXT) if hi + j >= len(x) or a0 + n + j >= len(y) or not free(hi + j) or x[hi + j] != y[a0 + n + j]), lines.CONTEXT)
+            few = lambda ls: sum(len(s.split()) for s in ls) < lines.PASSAGE_WORDS
+            before = next(j for j in range(len(x) + 1) if at - j - 1 < 0 or a0 - j - 1 < 0 or not free(at - j - 1) or x[at - j - 1] != y[a0 - j - 1] or not few(x[at - j - 1 : at]))
+            after = next(j for j in range(len(x) + 1) if hi + j >= len(x) or a0 + n + j >= len(y) or not free(hi + j) or x[hi + j] != y[a0 + n + j] or not few(x[hi : hi + j + 1]))
             gone[k] |= set(range(lo - before, hi + after))
     return [t if not t else "\n".join(x for i, x in enumerate(texts[k]) if i not in gone[k]) for k, (_, t) in enumerate(rows)]
 
@@ -156,6 +157,24 @@ def test_line_dedup_against_brute_force(spark):
     assert lines.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_widens_over_many_short_lines_and_keeps_columns(spark):
+    shared = "\n".join(["once upon a time there was a very long line in the text", "and a second one of nine words after it", *[""] * 30, *[f"w{i}" for i in range(14)]])
+    rows = [(1, f"own first\n{shared}\nown end", 777, 8, "r"), (2, f"other first\n{shared}\nother end", 778, 9, "r"), (3, None, 779, 10, "r")]
+    got = {r.doc_id: r for r in lines.remove(spark.createDataFrame(rows, DOCS + ", _id int, _th int, _ranges string")).collect()}
+    assert got[2].text == "other first\nother end" and got[1].text == rows[0][1]
+    assert [(r["_id"], r["_th"], r["_ranges"]) for r in map(got.get, (1, 2, 3))] == [r[2:] for r in rows]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, DOCS + ", _id int, _th int, _again string"))
+    assert all((r["_id"], r["_th"], r["_again"]) == rows[r.doc_id - 1][2:] for r in kept.collect()) and kept.count() >= 2
+
+
+def test_jaccard_counts_a_repeated_row_once(spark):
+    words = words_of(120, 5)
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (1, " ".join(words)), (2, near), *[(None, "the same text of some words here")] * 40]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == (1, 1, 3) and got[2] == (1, 1, 1) and got[None] == (None, 0, 40)
+
+
 def test_line_dedup_finds_short_passages_wherever_they_are(spark):
     """Planted passages of 2 to 6 lines and over 50 words, between lines that no other text has."""
     rng, rows, planted = random.Random(8), [], {}
