@@ -13,6 +13,12 @@ MOST_ROUNDS = 60
 SALTS = 16
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """`rows` joined with the one row of `table` for their key; the rows of a frequent key are dealt into SALTS parts by `by`."""
+    copies = table.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a long, b long), where root is the least node of its component.
 

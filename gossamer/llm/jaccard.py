@@ -14,7 +14,8 @@ both, and the components of the links are the groups.
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.  Defined results: a text of
 one to four words has one shingle; a text without words stands alone, without links; rows with the same
-doc_id and text are one document and share its result; a null doc_id counts as the least id.
+doc_id and text are one document and share its result; a null doc_id counts as the least id; an empty table has
+no rows; all columns of a table are kept as they are by keep_first().
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import Memo, claim, normal_words, stage
-from gossamer.llm.components import components
+from gossamer.llm.common import Memo, claim, fresh, normal_words, stage
+from gossamer.llm.components import components, salted_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,7 +37,7 @@ RECALL = 0.999
 COORDINATES = 64
 SMALL = 128
 DEPTH = 4
-BLOCK = 256
+BLOCK = 128
 #: Signatures that agree in this share of coordinates are candidates: four standard errors below THRESHOLD.
 NEAR = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 _NO_ID = -(1 << 63)
@@ -96,8 +97,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("_id", "_th", "text").mapInArrow(run, "_id long, _th long, cls long, size int, sig binary")
 
 
+def _key() -> tuple:
+    """What rows are known by: doc_id and the hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64("text")})
+    return docs.select("doc_id", "text").withColumns(dict(zip(("_id", "_th"), _key(), strict=True)))
 
 
 def runs_needed(recall: float, share: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -271,12 +277,14 @@ def groups(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD
     rows = stage(sketches(docs))
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("_id", "_th")).alias("first"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     classes = stage(classes)
-    near = components(candidates(classes, recall)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    sizes = near.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    placed = near.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    near = stage(components(candidates(classes, recall)).select(F.col("node").alias("cls"), F.col("root").alias("comp")))
+    # few components have more than one block, so that their table is joined without moving the others
+    large = stage(near.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 1"))
+    placed = near.join(large, "comp", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     firsts = classes.select("cls", F.col("first._id").alias("_id"), F.col("first._th").alias("_th"))
     members = placed.join(firsts, "cls")
-    texts = keyed(docs).select("_id", "_th", "text").join(members, ["_id", "_th"]).select("cls", "comp", "k", "block", "text")
+    # a row that occurs again is the same document
+    texts = keyed(docs).select("_id", "_th", "text").join(members, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("cls", "comp", "k", "block", "text")
 
     def cut(batches):
         claim("jaccard")
@@ -293,9 +301,12 @@ def groups(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD
     linked = stage(_exact_links(pairs.select("comp", "i", "j", "side", "cls", "grams"), threshold))
     links = linked.groupBy("cls").agg(F.sum("links").alias("n_links"))
     linked_roots = components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cls"), "root")
-    known = classes.select("cls", F.col("first._id").alias("_id"), "n_copies").join(links, "cls", "left").join(linked_roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = known.groupBy("root").agg(F.min("_id").alias("class_id"))
-    known = known.join(least, "root").select("cls", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    known = classes.select("cls", F.col("first._id").alias("_id"), "n_copies").join(links, "cls", "left").join(linked_roots, "cls", "left")
+    # a group may be large: its least id is looked up by salted members; a class without links is its own group
+    linked = known.where("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("_id").alias("class_id"))
+    linked = salted_join(linked, least, "root", "cls").select("cls", "root", "class_id", "n_links", "n_copies")
+    known = linked.unionByName(known.where("root IS NULL").select("cls", F.col("cls").alias("root"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies"))
     return rows.select("_id", "_th", "cls").join(known, "cls", "left").select("_id", "_th", F.coalesce("root", F.xxhash64("_id", "_th")).alias("root"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
@@ -312,8 +323,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = first.select(F.col("f._id").alias("_id"), F.col("f._th").alias("_th"))
     repeated = found.groupBy("_id", "_th").count().where("count > 1").select("_id", "_th", F.lit(True).alias("_again"))
     kept = stage(kept.join(repeated, ["_id", "_th"], "left"))
-    rows = keyed(docs).join(kept, ["_id", "_th"])
-    once = rows.where("_again IS NULL").unionByName(rows.where("_again").dropDuplicates(["_id", "_th"]))
+    i, th, again = fresh(docs, "_id", "_th", "_again")
+    rows = docs.withColumns(dict(zip((i, th), _key(), strict=True))).join(kept.withColumnsRenamed({"_id": i, "_th": th, "_again": again}), [i, th])
+    once = rows.where(F.col(again).isNull()).unionByName(rows.where(F.col(again)).dropDuplicates([i, th]))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
