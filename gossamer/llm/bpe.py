@@ -63,7 +63,7 @@ def byte_letters() -> list[str]:
 
 
 class _Short(Memo):
-    """A memo of byte strings that keeps short ones only."""
+    """A memo of byte strings that keeps short ones only (ids of a long text are as many bytes at least)."""
 
     def keep(self, value: bytes) -> bool:
         return len(value) <= MEMO_BYTES

@@ -87,8 +87,12 @@ def claim(operator: str) -> None:
             memo.clear()
 
 
+#: Bytes or letters of the longest key that a memo keeps.
+MEMO_KEY = 256
+
+
 class Memo(dict):
-    """A dict that fills itself and starts afresh when full."""
+    """A dict that fills itself and starts afresh when full; long keys are not kept."""
 
     most = MEMO_ENTRIES
 
@@ -99,7 +103,7 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if self.keep(value):
+        if self.keep(value) and not (isinstance(key, (bytes, str)) and len(key) > MEMO_KEY):
             if len(self) >= self.most:
                 self.clear()
             self[key] = value

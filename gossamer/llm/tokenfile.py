@@ -10,11 +10,13 @@ Frame content: documents (u32), doc_ids (i64 each), id counts (u64 each), all id
 
 Shards hold consecutive ranges of doc_id.  Tasks that run twice write two files; only the one that the
 manifest names counts.  Defined results: null and empty texts have the end id alone; rows of one doc_id
-are ordered by the hash of their text; a null doc_id sorts first.
+are ordered by the hash of their text; a null doc_id sorts first; rows equal in both may be in several shards;
+an empty table has one shard without documents at most; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import uuid
@@ -35,25 +37,34 @@ from gossamer.llm.common import claim, partitions, shared_dir, stage
 END_ID = 2
 #: A frame is closed once it holds so many ids.
 FRAME_IDS = 1 << 16
+#: Text of a shard, more or less; there are as many shards as that takes, and as many as tasks of a shuffle at least.
+SHARD_BYTES = 256 << 20
 NULL_ID = -(1 << 63)
 _INDEX_MAGIC, _TABLE_MAGIC, _FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _SPAN = np.dtype([("first", "<i8"), ("last", "<i8"), ("documents", "<u8"), ("ids", "<u8")])
 
 
+#: Longer pieces are not kept.
+MOST_LETTERS = 64
 #: Letters that have one lower-case letter and one spelling, then signs that are tokens of their own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _Pieces(_Short):
-    """Pieces with their ids: about 160 bytes each, of which a worker sees one or two million."""
+    """Short pieces with their ids: about 160 bytes each, of which a worker sees one or two million."""
 
     most = 1_500_000
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > MOST_LETTERS:
+            return self.make(piece)
         # capitals and trailing signs do not make a new word for the library
         if (m := _PLAIN.fullmatch(piece)) and (word := m[1].lower()) != piece:
-            self[piece] = found = self[word] + (self[m[2]] if m[2] else b"")
+            found = self[word] + (self[m[2]] if m[2] else b"")
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = found
             return found
         return super().__missing__(piece)
 
@@ -150,13 +161,13 @@ class ShardReader:
 def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
     """Encodes `docs` (doc_id, text) into shards below `folder`; the manifest has a row per shard.
 
-    Rows: part int, file string, documents long, ids long.  The manifest is as small as the number of
-    shards, which is the session's number of shuffle partitions.
+    Rows: part int, file string, documents long, ids long.  The manifest is as small as the number of shards.
     """
     path = path or default_tokenizer()
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.rand(7).alias("deal"))
+    # one narrow pass for the size; equal rows are dealt over several shards
+    shards = max(partitions(docs.sparkSession), math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
+    rows = rows.repartitionByRange(shards, "doc_id", "tie", "deal").drop("deal").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
         from pyspark import TaskContext
