@@ -1,29 +1,34 @@
 """Benchmark decontamination: training words inside n-word windows of test items are found and removed.
 
-The windows of the test items are broadcast as hash tables in blocks of at most MAX_ROWS (window, item)
-rows, so that a broadcast never grows beyond that; each block is one more narrow pass over the documents,
-and nothing is shuffled.  Every hash hit is verified word by word.
+The windows of the test items are broadcast as one hash table if they are at most MAX_ROWS (window, item) rows;
+then documents are read once and nothing is shuffled.  A larger benchmark is broadcast as a bitmap of hashes
+(SIEVE_BITS bits whatever its size): places whose bit is set are joined with the windows, word by word, and
+what was found is brought back to its document.  Either way every hash hit is verified by its words.
 
 Defined results: null and empty texts have no words and no hits; an item of fewer words than a window is
 one window; items without words, and null item ids, are never listed; a text that repeats a window is hit
-at each place; repeated rows are handled row by row.
+at each place; repeated rows are handled row by row; an empty table, or an empty benchmark, has no hits;
+columns of the table that find() adds (_hits, _items, _words) are replaced by its own, all others, and all
+columns given to remove_spans(), are kept as they are.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm.common import arrow_map, normal_words
+from gossamer.llm.common import Memo, arrow_map, fresh, normal_words, stage
 
 WINDOW = 10
-#: (window, item) rows of one broadcast, at most about 300 bytes each.
+#: (window, item) rows of a broadcast hash table, at most about 300 bytes each.
 MAX_ROWS = 200_000
+#: Bits of the bitmap that stands for a larger benchmark: 32 MB.
+SIEVE_BITS = 28
+_SEGMENT = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 HITS, ITEMS, WORDS = "_hits", "_items", "_words"
 
@@ -40,7 +45,7 @@ def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 class _Index:
-    """Hash tables of one block of windows."""
+    """Hash tables of windows."""
 
     def __init__(self, rows: list[tuple[str, str | None]]):
         self.items: dict[tuple[bytes, ...], list[str]] = {}
@@ -84,41 +89,116 @@ class _Index:
         return found
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, n: int, max_rows: int, finish=None) -> DataFrame:
-    """One narrow pass per block; the last one applies `finish` to its batches, so that one block is one pass."""
-    spark = docs.sparkSession
-    table = windows(benchmark, n).withColumn("slot", F.hash("words", "item"))
-    blocks = max(1, math.ceil(table.count() / max_rows))
-    fields = [f for f in docs.schema.fields if f.name not in (HITS, ITEMS, WORDS)]
-    schema = T.StructType([*fields, T.StructField(HITS, T.ArrayType(T.IntegerType())), T.StructField(ITEMS, T.ArrayType(T.StringType())), T.StructField(WORDS, T.LongType())])
-    at = [f.name for f in fields].index("text")
-    names = [f.name for f in schema]
-    out = docs.select(*[F.col(f"`{f.name}`") for f in fields]).withColumns({HITS: F.array().cast("array<int>"), ITEMS: F.array().cast("array<string>"), WORDS: F.lit(0).cast("long")})
-    for block in range(blocks):
-        rows = table.where(F.pmod("slot", F.lit(blocks)) == block).select("words", "item").collect()
-        shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
-        last = finish if block + 1 == blocks else None
-
-        def run(batches, shared=shared, last=last):
-            index = _Index(shared.value)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
-                    texts = [normal_words(t) for t in part.column(at).to_pylist()]
-                    found = index.scan(texts)
-                    before = zip(part.column(len(fields)).to_pylist(), part.column(len(fields) + 1).to_pylist(), strict=True)
-                    merged = [(sorted({*h, *hits}), sorted({*i, *items})) for (h, i), (hits, items) in zip(before, found, strict=True)]
-                    added = [pa.array([m[0] for m in merged], pa.list_(pa.int32())), pa.array([m[1] for m in merged], pa.list_(pa.string())), pa.array([len(t) for t in texts], pa.int64())]
-                    done = pa.RecordBatch.from_arrays([*part.columns[: len(fields)], *added], names=names)
-                    yield last(done) if last else done
-
-        out = out.mapInArrow(run, T.StructType(fields) if last else schema)
-    return out
+def _by_table(docs: DataFrame, table: DataFrame, names: list[str], finish=None) -> DataFrame:
+    """One narrow pass with all windows broadcast; `finish` is applied to its batches."""
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in table.collect()])
+    schema, at = _schema(docs, names), docs.columns.index("text")
+
+    def run(batches):
+        index = _Index(shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [normal_words(t) for t in part.column(at).to_pylist()]
+                done = _with_hits(part, index.scan(texts), texts, schema.names)
+                yield finish(done) if finish else done
+
+    return docs.mapInArrow(run, docs.schema if finish else schema)
+
+
+def _schema(docs: DataFrame, names: list[str]) -> T.StructType:
+    kinds = [T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.LongType()]
+    return T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+
+
+def _with_hits(part: pa.RecordBatch, found: list[tuple[set[int], set[str]]], texts: list[list[bytes]], names: list[str]) -> pa.RecordBatch:
+    hits, items = [sorted(h) for h, _ in found], [sorted(i) for _, i in found]
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array([len(t) for t in texts], pa.int64())], names=names)
+
+
+_HASHES = Memo(xxhash.xxh64_intdigest)
+
+
+def _window_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """The hash of every run of n words, reduced to the bits of the sieve."""
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return _Index._hash([h[j : len(h) - n + 1 + j] for j in range(n)]) >> np.uint64(64 - SIEVE_BITS) if len(h) >= n else np.zeros(0, np.uint64)
+
+
+def _sieve(table: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The lengths of windows, and the bitmap of their hashes."""
+
+    def mark(batches):
+        for batch in batches:
+            marks: dict[int, set[int]] = {}
+            for words in batch.column(0).to_pylist():
+                split = words.encode().split(b" ")
+                bit = int(_window_hashes(split, len(split))[0])
+                marks.setdefault(bit // _SEGMENT, set()).add(bit % _SEGMENT)
+            yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int64()), pa.array([np.array(sorted(m), "<u4").tobytes() for m in marks.values()], pa.binary())], names=["segment", "marks"])
+
+    def join(key, rows):
+        bits = np.zeros(_SEGMENT, bool)
+        for m in rows.column("marks").to_pylist():
+            bits[np.frombuffer(m, "<u4")] = True
+        return pa.table({"segment": pa.array([key[0].as_py()]), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    lengths = sorted(r[0] for r in table.select(F.size(F.split("words", " "))).distinct().collect())
+    sieve = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
+    for r in table.select("words").mapInArrow(mark, "segment long, marks binary").groupBy("segment").applyInArrow(join, "segment long, bits binary").collect():
+        lo = r["segment"] * _SEGMENT // 8
+        sieve[lo : lo + _SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
+    return lengths, sieve
+
+
+def _by_join(docs: DataFrame, table: DataFrame, names: list[str], finish=None) -> DataFrame:
+    """Places that the sieve lets through are joined with the windows, their finds with the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(table))
+
+    def places(batches):
+        lengths, sieve = shared.value
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normal_words(text)
+                at, found = [], []
+                for n in lengths:
+                    bit = _window_hashes(words, n)
+                    for i in np.flatnonzero(sieve[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1).tolist():
+                        at.append(i)
+                        found.append(b" ".join(words[i : i + n]).decode("utf-8", "replace"))
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(found, pa.string())], names=["key", "at", "words"])
+
+    # equal texts have equal hits: they are looked at once for each, and found by their digest
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    seen = docs.select(key.alias("key"), "text").mapInArrow(places, "key binary, at int, words string").distinct()
+    own = F.sequence(F.col("at"), F.col("at") + F.size(F.split("words", " ")) - 1)
+    hits = seen.join(table, "words").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+    digest, hit, item = fresh(docs, "_digest", "_at", "_item")
+    joined = docs.withColumn(digest, key).join(hits.withColumnsRenamed({"key": digest, "hits": hit, "items": item}), digest, "left").select(*[F.col(f"`{c}`") for c in docs.columns], hit, item)
+    schema, at = _schema(docs, names), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = [normal_words(t) for t in batch.column(at).to_pylist()]
+            found = [(set(h or ()), set(i or ())) for h, i in zip(*[batch.column(batch.num_columns - k).to_pylist() for k in (2, 1)], strict=True)]
+            part = pa.RecordBatch.from_arrays(batch.columns[:-2], names=docs_columns)
+            done = _with_hits(part, found, texts, schema.names)
+            yield finish(done) if finish else done
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(run, docs.schema if finish else schema)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, max_rows: int, names: list[str], finish=None) -> DataFrame:
+    table = stage(windows(benchmark, n))
+    return (_by_table if table.count() <= max_rows else _by_join)(docs, table, names, finish)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_rows: int = MAX_ROWS) -> DataFrame:
     """`docs` with the positions of hit words (_hits), the hitting items (_items) and the word count (_words)."""
-    return _passes(docs, benchmark, n, max_rows)
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (HITS, ITEMS, WORDS)])
+    return _found(own, benchmark, n, max_rows, [HITS, ITEMS, WORDS])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -152,15 +232,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, max_r
             end = spans[p][1]
         return b"".join([*out, raw[end:]]).decode("utf-8", "replace")
 
+    names = fresh(docs, HITS, ITEMS, WORDS)
+
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hits, words, texts = (batch.column(c).to_pylist() for c in (HITS, WORDS, "text"))
+        hits, words, texts = (batch.column(c).to_pylist() for c in (names[0], names[2], "text"))
         kept = [k for k in range(len(hits)) if len(hits[k]) <= most * words[k]]
         texts = [without(texts[k], set(hits[k])) if hits[k] else texts[k] for k in kept]
         rest = batch.take(pa.array(kept, pa.int64()))
-        names = [c for c in batch.schema.names if c not in (HITS, ITEMS, WORDS)]
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest.column(c) for c in names], names=names)
+        left = [c for c in batch.schema.names if c not in names]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest.column(c) for c in left], names=left)
 
-    return _passes(docs, benchmark, WINDOW, max_rows, finish)
+    return _found(docs, benchmark, WINDOW, max_rows, names, finish)
 
 
 _SPLIT = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -68,6 +68,16 @@ def test_token_file_round_trip(spark, tokenizer):
     assert tokenfile.report(docs.limit(0)).count() == 0
 
 
+def test_token_file_deals_text_by_size_and_equal_rows_over_shards(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 2000)
+    docs = spark.createDataFrame([(7, "the same row again and again")] * 900 + [(i, f"row {i} " + "x" * i) for i in range(300)], DOCS)
+    manifest = tokenfile.write(docs, f"file://{tmp_path}/shards")
+    assert manifest.where("documents > 0").count() > 10 and manifest.agg({"documents": "max"}).first()[0] < 600
+    rows = sorted(tokenfile.read(manifest, f"file://{tmp_path}/shards").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and len(rows) == 1200
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
 def test_token_file_reads_single_documents_and_notices_damage(spark, tmp_path):
     path = tmp_path / "one.ztk"
     ids = {d: np.arange(d, d + 30_000, dtype="<u4").tobytes() for d in range(12)}
@@ -115,6 +125,18 @@ def test_decontamination_against_brute_force(spark, most):
     clean = {r.doc_id: r.text for r in decontaminate.remove_spans(frame(spark, texts), bench, most=0.9, max_rows=most).collect()}
     assert 2 not in clean and clean[3] == "x  y " and clean[4] == texts[4] and clean[0] is None
     assert decontaminate.report(frame(spark, texts), bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.report(frame(spark, texts).limit(0), bench).count() == 0
+    # columns with the operator's own names, repeated rows
+    named = frame(spark, texts).selectExpr("doc_id", "text", "'mine' AS _hits", "1 AS _words", "2 AS _at", "3 AS key")
+    kept = decontaminate.remove_spans(named.union(named), bench, most=0.9, max_rows=most)
+    assert kept.columns == named.columns and kept.where("_hits = 'mine' AND _words = 1 AND _at = 2 AND key = 3").count() == 2 * len(clean)
+
+
+def test_decontamination_by_join_equals_by_table(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    one, other = (decontaminate.find(docs, bench, max_rows=m).select("doc_id", "_hits", "_items", "_words") for m in (1 << 20, 10))
+    assert one.where("size(_hits) > 0").count() > 0
+    assert one.exceptAll(other).count() == 0 and other.exceptAll(one).count() == 0
 
 
 def test_personal_data(spark):
