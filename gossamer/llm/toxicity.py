@@ -100,16 +100,21 @@ class Machine(NamedTuple):
         at = dict(zip(self.buckets.tolist(), range(len(self.buckets)), strict=True))
         return _Words(lambda word: tuple(at[b] for b in _buckets(word) if b in at))
 
-    def probability(self, rows: list[list[int]]) -> np.ndarray:
+    @staticmethod
+    def active(features: _Words, texts: list[str | None]) -> list[np.ndarray]:
+        """The features of each text, each once."""
+        return [np.array(sorted({f for w in set(_words(t)) for f in features[w]}), np.int32) for t in texts]
+
+    def probability(self, rows: list[np.ndarray]) -> np.ndarray:
         return _sigmoid(_logits(_Rows(rows, self.values), self.bias, self.linear, self.pairs)[0])
 
 
 class _Rows:
     """Rows of features, one after the other, with their values."""
 
-    def __init__(self, rows: list[list[int]], values: np.ndarray):
+    def __init__(self, rows: list[np.ndarray], values: np.ndarray):
         self.n = len(rows)
-        self.at = np.fromiter((f for r in rows for f in r), np.int64)
+        self.at = np.concatenate(rows)
         self.own = np.repeat(np.arange(self.n), [len(r) for r in rows])
         self.x = values[self.at]
 
@@ -129,7 +134,7 @@ def _logits(rows: _Rows, bias: float, linear: np.ndarray, pairs: np.ndarray) ->
     return bias + _by_row(rows, linear[rows.at] * rows.x) + 0.5 * ((sums**2).sum(1) - _by_row(rows, (own**2).sum(1))), sums, own
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, buckets: np.ndarray, values: np.ndarray, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, values: np.ndarray, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> Machine:
     """A machine fitted by stochastic gradients with steps of their own for every weight."""
     n = len(buckets)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
@@ -244,11 +249,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     def active(batches):
         features = machine.features()
         for batch in batches:
-            on = [sorted({f for w in set(_words(t)) for f in features[w]}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(o, "<i4").tobytes() for o in on], pa.binary()), batch.column(1), batch.column(2)], names=["on", "toxic", "doc_id"])
+            on = machine.active(features, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([o.tobytes() for o in on], pa.binary()), batch.column(1), batch.column(2)], names=["on", "toxic", "doc_id"])
 
     rows = texts.mapInArrow(active, f"on binary, toxic int, doc_id {texts.schema['doc_id'].dataType.simpleString()}").toArrow().sort_by("doc_id")
-    on = [np.frombuffer(r, "<i4").tolist() for r in rows.column("on").to_pylist()]
+    # all features in one array, of which a row is a part: some 50 MB for SAMPLE texts of the usual length
+    column = rows.column("on").combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    on = np.split(np.frombuffer(column.buffers()[2], np.int32), ends[1:-1])
     return fit(on, (rows.column("toxic").to_numpy() > 0).astype(float), machine.buckets, machine.values)
 
 
@@ -266,7 +274,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = [sorted({f for w in set(_words(t)) for f in features[w]}) for t in part.column(at).to_pylist()]
+                rows = machine.active(features, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.probability(rows), pa.float64())], names=schema.names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
