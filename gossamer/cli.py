@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("gossamer").getOrCreate()
 
     def fetch(wanted):
-        return fetch_live(wanted, parallelism=args.threads, user_agent=args.user_agent, cookie=args.cookie, delay=args.delay)
+        return fetch_live(wanted, parallelism=args.threads, user_agent=args.user_agent, cookie=args.cookie)
 
     write_urls(crawl_site(spark, args.entry, fetch, options(args)), args.output)
 

@@ -65,6 +65,11 @@ def normalized(url: Column) -> Column:
     return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), net, F.lit("/"), F.array_join(folded, "/"), rest))
 
 
+def canonical(site: Column, href: Column) -> Column:
+    """absolute() in the one form that all spellings of a URL share."""
+    return normalized(absolute(site, href))
+
+
 def is_page_link(href: Column) -> Column:
     """Not null, no skipped prefix, and either no extension or one of a page."""
     prefix = F.lower(href).rlike("^(" + "|".join(SKIPPED_PREFIXES) + ")")

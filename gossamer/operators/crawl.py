@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import directives
-from gossamer.operators.lineage import cut
+from gossamer.operators.lineage import Gathered, cut
 
 
 @dataclass
@@ -24,6 +24,8 @@ class Options:
     #: Strict mode keeps the inverted switch: respecting meta robots means that they are ignored.
     strict: bool = True
     loader: str = "static"
+    #: A robots.txt or sitemap that cannot be read ends the crawl; without, such files count as empty.
+    abort: bool = True
 
     @property
     def ignore_meta(self) -> bool:
@@ -56,26 +58,27 @@ def crawl(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, ma
     `nodes` (url, index, follow), where given, holds the pages that can be fetched and their gates: only
     pages with follow are expanded, only those with index are returned.  Each round joins the frontier with
     the edges, drops what was discovered before and is written to the shared folder; the driver sees one
-    emptiness test a round.  The page cap takes the first pages by depth, then URL.
+    count a round.  The page cap takes the first pages by depth, then URL; rounds end once there are enough.
     """
     step = edges
+    shown = lambda pages: pages if nodes is None else pages.join(nodes.where("index").select("url"), "url", "left_semi")
     if nodes is not None:
         step = step.join(nodes.where("follow").select(F.col("url").alias("src")), "src", "left_semi")
     step = cut(step)  # every round reads the edges; their derivation runs once
     frontier = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    discovered = frontier
+    discovered, visited = Gathered(frontier), 0
     while True:
         if analyze:
             analyze(frontier)
+        if max_pages is not None and (visited := visited + shown(frontier).count()) >= max_pages:
+            break
         reached = frontier.withColumnRenamed("url", "src").join(step, "src").select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = cut(reached.join(discovered, "url", "left_anti"))
+        frontier = cut(reached.join(discovered.all(), "url", "left_anti"))
         if frontier.isEmpty():
             break
-        discovered = discovered.unionByName(frontier)
-    visited = discovered
-    if nodes is not None:
-        visited = visited.join(nodes.where("index").select("url"), "url", "left_semi")
-    return visited if max_pages is None else limited(visited, max_pages)
+        discovered.add(frontier)
+    out = shown(discovered.all())
+    return out if max_pages is None else limited(out, max_pages)
 
 
 def limited(visited: DataFrame, max_pages: int) -> DataFrame:
@@ -83,6 +86,21 @@ def limited(visited: DataFrame, max_pages: int) -> DataFrame:
     return visited.orderBy("depth", "url").limit(max_pages)
 
 
+def schedule(pages: DataFrame, delay: float) -> DataFrame:
+    """Adds start_s to `pages` (site, page_id, ..): seconds after the start, `delay` apart on each site, by page_id.
+
+    Ranks are row numbers inside ranges of (site, page_id) plus the counts of the ranges before, so that a
+    large site is not one task's work.
+    """
+    ranges = cut(pages.repartitionByRange("site", "page_id").withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("site", "_range").count()
+    before = Window.partitionBy("site").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("site", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("site", "_range").orderBy("page_id"))
+    ranked = ranges.withColumn("_own", own).join(offsets, ["site", "_range"])
+    return ranked.select(*pages.columns, ((F.col("_offset") + F.col("_own") - 1) * delay).cast("double").alias("start_s"))
+
+
 def result_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """(url, side) of URLs that only one of two results has."""
     only = lambda a, b, side: a.select("url").join(b.select("url"), "url", "left_anti").distinct().withColumn("side", F.lit(side))

@@ -6,13 +6,43 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; without that setting a temporary one, where all tasks run in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "gossamer-rounds")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` below spark.checkpoint.dir and reads it back; survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "gossamer-rounds")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """Writes `df` to a shared folder and reads it back; survives lost executors."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables that a Gathered holds before it makes one of them.
+MOST_PARTS = 8
+
+
+class Gathered:
+    """A table that grows by a part each round; its plan stays short, since parts are merged now and then."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > MOST_PARTS:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out

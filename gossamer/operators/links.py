@@ -12,13 +12,36 @@ from pyspark.sql import types as T
 from gossamer.functions import urls
 
 #: What a browser does not see as markup.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>"
-ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*\"([^\"]*)\""
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+#: An anchor up to its href, over whole attributes; group 1 is the value with its quotes.
+ANCHOR = rf"""(?is)<a(?:[\s/]+(?!href\s*=)[^\s=>"'/]+(?:\s*=\s*{_VALUE})?)*+[\s/]+href\s*=\s*({_VALUE})"""
+# The named references that are decoded.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+
+
+def decoded(text: Column) -> Column:
+    """`text` with its character references decoded: numbers and REFERENCES, the ampersand last."""
+
+    def number(done: Column, ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "&#([xX]?)0*([0-9a-fA-F]*)", 2)
+        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(code == 38, "&amp;").when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.replace(done, ref, char)
+
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(0)))
+    out = F.aggregate(numbers, text, number)
+    for ref, char in REFERENCES.items():
+        out = F.replace(out, F.lit(ref), F.lit(char))
+    return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def hrefs(html: Column) -> Column:
-    """The href values of all anchors in page order."""
-    return F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(ANCHOR), F.lit(1))
+    """The href values of all anchors in page order, without quotes, with references decoded."""
+    found = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(ANCHOR), F.lit(1))
+    bare = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return F.transform(found, lambda v: decoded(bare(v)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -38,7 +61,7 @@ class _Anchors(HTMLParser):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def parsed_hrefs(html: pd.Series) -> pd.Series:
-    """Like hrefs(), by an HTML parser: also unquoted values, decoded references and anchors without href."""
+    """Like hrefs(), by an HTML parser: also anchors without href, as null."""
 
     def one(text: str | None) -> list[str | None] | None:
         if text is None:
@@ -54,7 +77,7 @@ def parsed_hrefs(html: pd.Series) -> pd.Series:
 def resolve(links: DataFrame) -> DataFrame:
     """Adds site (authority of the page) and target (absolute link)."""
     out = links.withColumn("site", urls.authority(F.col("url")))
-    return out.withColumn("target", urls.absolute(F.col("site"), F.col("href")))
+    return out.withColumn("target", urls.canonical(F.col("site"), F.col("href")))
 
 
 def valid(links: DataFrame) -> DataFrame:

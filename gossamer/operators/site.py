@@ -3,53 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.functions import directives, urls
 from gossamer.operators import crawl, links, robots
-from gossamer.operators.lineage import cut
+from gossamer.operators.lineage import Gathered, cut
 from gossamer.sources import sitemaps
 
-#: From URLs (url) to responses (url, status, content_type, body).
+#: From URLs (url, delay) to responses (url, status, content_type, body); delay tells the seconds between requests.
 Fetch = Callable[[DataFrame], DataFrame]
 
 
+class RobotsError(ValueError):
+    """A robots.txt that cannot be read."""
+
+
+@dataclass
+class Hooks:
+    """What a crawl takes from pages and how it judges links; each may be replaced."""
+
+    #: The href values of a page (html), as an array.
+    collect_links: Callable[[Column], Column] = links.hrefs
+    #: The canonical href of a page, or null.
+    canonical: Callable[[Column], Column] = directives.canonical_href
+    #: index and follow of a page (html, ignore_meta), as a struct.
+    robots_rules: Callable[[Column, bool], Column] = lambda html, ignore: directives.effective_robots(directives.meta_robots_content(html), ignore)
+    #: The target of a link (site, href), or null.
+    resolve: Callable[[Column, Column], Column] = urls.canonical
+    #: Whether a link (href) may be a page.
+    keep: Callable[[Column], Column] = urls.is_page_link
+    #: Whether a target belongs to a site (target, site).
+    on_site: Callable[[Column, Column], Column] = urls.same_site
+    #: The links (url, site) of a round that are not among the discovered ones (url).
+    undiscovered: Callable[[DataFrame, DataFrame], DataFrame] = lambda found, known: found.join(known.select("url"), "url", "left_anti")
+
+
 def from_store(responses: DataFrame) -> Fetch:
     """Responses that are already stored; URLs that are not there are fetched as nothing."""
     return lambda wanted: wanted.select("url").join(responses.select("url", "status", "content_type", "body"), "url")
 
 
-def robots_groups(site: DataFrame, fetch: Fetch) -> DataFrame:
-    """The grouped robots.txt lines of `site` (site); no answer counts as an empty file."""
-    answers = fetch(site.select(F.concat("site", F.lit("/robots.txt")).alias("url")))
+def robots_groups(site: DataFrame, fetch: Fetch, abort: bool = False) -> DataFrame:
+    """The grouped robots.txt lines of `site` (site); no answer counts as an empty file.  A file above the size limit is
+    empty, too, or with `abort` a RobotsError."""
+    answers = fetch(site.select(F.concat("site", F.lit("/robots.txt")).alias("url"), F.lit(0.0).alias("delay")))
     answers = answers.select(urls.authority(F.col("url")).alias("site"), "status", "body")
-    return cut(robots.grouped(robots.lines(robots.texts_by_status(site.join(answers, "site", "left").withColumn("status", F.coalesce("status", F.lit(404)))))))
+    texts = cut(robots.texts_by_status(site.join(answers, "site", "left").withColumn("status", F.coalesce("status", F.lit(404)))))
+    if abort and (bad := robots.errors(texts).limit(1).collect()):
+        raise RobotsError(f"{bad[0]['site']}: {bad[0]['error']}")
+    return cut(robots.grouped(robots.lines(texts)))
 
 
-def _seeds_from_sitemaps(site: DataFrame, groups: DataFrame, fetch: Fetch) -> DataFrame:
+def _seeds_from_sitemaps(site: DataFrame, groups: DataFrame, fetch: Fetch, delay: float, abort: bool) -> DataFrame:
     """(site, href) of all items of the site's sitemaps; a failed response is an empty sitemap."""
     start = robots.sitemap_locations(site, robots.sitemaps(groups)).select("site", F.col("sitemap").alias("loc"))
 
     def files(wanted: DataFrame) -> DataFrame:
-        got = fetch(wanted.select(F.col("loc").alias("url")).distinct()).where(F.col("status").between(200, 299))
+        got = fetch(wanted.select(F.col("loc").alias("url"), F.lit(delay).alias("delay")).distinct()).where(F.col("status").between(200, 299))
         return got.select(F.col("url").alias("loc"), F.coalesce("content_type", F.lit("")).alias("content_type"), "body")
 
-    return sitemaps.expand(start, files, cut=cut).select("site", F.col("loc").alias("href"))
+    return sitemaps.expand(start, files, cut=cut, abort=abort).select("site", F.col("loc").alias("href"))
 
 
-def admitted(hrefs: DataFrame, groups: DataFrame | None, agent: str) -> DataFrame:
+def admitted(hrefs: DataFrame, groups: DataFrame | None, agent: str, hooks: Hooks) -> DataFrame:
     """(.., href, site) with target: page links that robots.txt admits (tested on the raw href), on the site."""
-    kept = hrefs.where(urls.is_page_link(F.col("href")))
+    kept = hrefs.where(hooks.keep(F.col("href")))
     if groups is not None:
         asked = kept.withColumns({"agent": F.lit(agent), "path": F.col("href")})
         kept = robots.check(asked, groups).where("allowed").drop("agent", "path", "allowed")
-    kept = kept.withColumn("target", urls.absolute(F.col("site"), F.col("href")))
-    return kept.where(F.col("target").isNotNull() & urls.same_site(F.col("target"), F.col("site")))
-
-
-def crawl_site(spark: SparkSession, entry: str, fetch: Fetch, options: crawl.Options | None = None, analyze: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    kept = kept.withColumn("target", hooks.resolve(F.col("site"), F.col("href")))
+    return kept.where(F.col("target").isNotNull() & hooks.on_site(F.col("target"), F.col("site")))
+
+
+def crawl_site(
+    spark: SparkSession,
+    entry: str,
+    fetch: Fetch,
+    options: crawl.Options | None = None,
+    analyze: Callable[[DataFrame], None] | None = None,
+    hooks: Hooks | None = None,
+) -> DataFrame:
     """(url) of the visited pages of the site of `entry`, each once.
 
     The entry is never tested against robots.txt; sitemap items are seeds even where robots.txt is not
@@ -57,31 +93,39 @@ def crawl_site(spark: SparkSession, entry: str, fetch: Fetch, options: crawl.Opt
     expanded if it may be followed.  No page is fetched twice; failed ones are not tried again.  `analyze`
     gets each round's pages (url, resolved, body) before the index gate.  Rounds stop once max_pages pages
     were processed, and the last round takes the first URLs in order, so the cap is exact and repeatable.
+    A delay that robots.txt names for the agent takes the place of the one in `options`, if it is respected.
     """
-    options = options or crawl.Options()
+    options, hooks = options or crawl.Options(), hooks or Hooks()
     agent = options.user_agent or "*"
     site = spark.createDataFrame([(entry,)], "entry string").select(urls.authority(F.col("entry")).alias("site"))
-    groups = robots_groups(site, fetch)
-    rules = groups if options.respect_robots_txt else None
-    seeds = admitted(_seeds_from_sitemaps(site, groups, fetch), rules, agent).select(F.col("target").alias("url"), "site")
-    first = site.select(F.lit(entry).alias("url"), "site")
+    groups = robots_groups(site, fetch, options.abort)
+    rules, delay = (groups if options.respect_robots_txt else None), options.crawl_delay
+    if rules is not None:
+        named = robots.delay_for_agent(site.withColumn("agent", F.lit(agent)), groups).first()
+        delay = float(named["delay"]) if named and named["delay"] is not None else delay
+    seeds = admitted(_seeds_from_sitemaps(site, groups, fetch, delay, options.abort), rules, agent, hooks).select(F.col("target").alias("url"), "site")
+    first = site.select(F.lit(entry).alias("url"), "site").withColumn("url", urls.normalized(F.col("url")))
     frontier = cut(first.unionByName(seeds).distinct())
-    discovered, visited, processed = frontier, None, 0
+    discovered, visited, processed = Gathered(frontier), None, 0
     while (size := frontier.count()) and processed < options.max_pages:
         now = frontier if processed + size <= options.max_pages else frontier.orderBy("url").limit(options.max_pages - processed)
         processed += min(size, options.max_pages - processed)
-        got = now.join(fetch(now), "url").where(crawl.fetched(options.loader, F.col("status")))
-        canonical = urls.absolute(F.col("site"), directives.canonical_href(F.col("body")))
-        pages = cut(crawl.gates(got.withColumns({"html": F.col("body"), "resolved": directives.resolved(F.col("url"), canonical)}), options.ignore_meta))
+        got = now.join(fetch(now.withColumn("delay", F.lit(delay))), "url").where(crawl.fetched(options.loader, F.col("status")))
+        canonical = hooks.resolve(F.col("site"), hooks.canonical(F.col("body")))
+        got = got.withColumns({"html": F.col("body"), "resolved": directives.resolved(F.col("url"), canonical)})
+        gates = hooks.robots_rules(F.col("html"), options.ignore_meta)
+        pages = cut(got.withColumns({"index": gates["index"], "follow": gates["follow"]}))
         if analyze:
             analyze(pages.select("url", "resolved", "body"))
         shown = pages.where("index").select(F.col("resolved").alias("url"))
-        visited = shown if visited is None else visited.unionByName(shown)
-        found = pages.where("follow").select("url", "site", F.posexplode(links.hrefs(F.col("html"))).alias("pos", "href"))
-        found = admitted(found, rules, agent)
+        if visited is None:
+            visited = Gathered(shown)
+        else:
+            visited.add(shown)
+        found = pages.where("follow").select("url", "site", F.posexplode(hooks.collect_links(F.col("html"))).alias("pos", "href"))
+        found = admitted(found, rules, agent, hooks)
         # on a page the first of links that differ in case counts; across pages case matters
         found = found.groupBy("url", "site", F.lower("target").alias("_key")).agg(F.min_by("target", "pos").alias("target"))
-        new = found.select(F.col("target").alias("url"), "site").distinct().join(discovered.select("url"), "url", "left_anti")
-        frontier = cut(new)
-        discovered = discovered.unionByName(frontier)
-    return (visited if visited is not None else frontier.select("url")).distinct()
+        frontier = cut(hooks.undiscovered(found.select(F.col("target").alias("url"), "site").distinct(), discovered.all()))
+        discovered.add(frontier)
+    return (visited.all() if visited is not None else frontier.select("url")).distinct()

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions import directives, logs, patterns, urls
-from gossamer.operators import crawl, links, robots
+from gossamer.operators import crawl, lineage, links, robots, site
 from gossamer.plans import derived as dv
 from gossamer.sources import sitemaps
-from gossamer.sources.pages import json_links, stored
+from gossamer.sources.pages import json_links, read_urls, stored, write_urls
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +45,25 @@ def links_extract_parsed(spark, d) -> DataFrame:
     return stored(spark, d).select("page_id", "url", F.posexplode(links.parsed_hrefs("html")).alias("pos", "href"))
 
 
+@query(f"WITH {dv.L} SELECT page_id, pos, href || '&q=\"1\"' AS href FROM l")
+def links_extract_variants(spark, d) -> DataFrame:
+    """The links of pages rewritten in turn to single quotes, no quotes and character references, attributes before."""
+    forms = ["<a title='x > y' href='$1&amp;q=&quot;1&quot;'", "<a data-href=\"/no\" href=$1&#38;q=&#x22;1&#34;", "<A\nhidden HREF = \"$1&amp;q=&#34;1&quot;\""]
+    html = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        html = F.when(F.col("page_id") % 3 == k, F.regexp_replace("html", r'<a href="([^"]*)"', form)).otherwise(html)
+    return links.extract(stored(spark, d).withColumn("html", html)).select("page_id", "pos", "href")
+
+
+@query(f"WITH {dv.L} SELECT page_id, pos, site || '/b' || href AS target FROM l")
+def links_canonical(spark, d) -> DataFrame:
+    """Links with dot segments, default ports and capitals come out in the one form that they share."""
+    found = links.resolve(dv.page_links(spark, d).withColumn("href", F.concat(F.lit("/a/./../b"), "href")))
+    port = F.when(F.col("site").startswith("https"), ":443").otherwise(":80")
+    loud = urls.canonical(F.col("site"), F.concat(F.upper("site"), port, F.lit("/a/./../b"), F.substring("href", 10, 1 << 30)))
+    return found.where(loud == F.col("target")).select("page_id", "pos", "target")
+
+
 @query(f"WITH {dv.L} SELECT site, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY site")
 def links_per_authority(spark, d) -> DataFrame:
     found = dv.page_links(spark, d).withColumn("site", urls.authority(F.col("url")))
@@ -402,13 +421,37 @@ def crawl_limit(spark, d) -> DataFrame:
     return crawl.crawl(_seeds(nodes), edges, max_pages=100)
 
 
-@query(f"SELECT page_id, url, {SITE} AS site, (row_number() OVER (PARTITION BY {SITE} ORDER BY page_id) - 1) * 0.5 AS start_s FROM pages")
+@query(f"SELECT page_id, url, {SITE} AS site, ((row_number() OVER (PARTITION BY {SITE} ORDER BY page_id) - 1) * 0.5)::DOUBLE AS start_s FROM pages")
 def crawl_schedule(spark, d) -> DataFrame:
     """When each page is fetched, seconds after the start, half a second apart on each site."""
-    from pyspark.sql import Window
+    return crawl.schedule(stored(spark, d).select("page_id", "url", urls.authority(F.col("url")).alias("site")), 0.5)
+
+
+def _responses(spark, d) -> DataFrame:
+    """One site of all stored pages: page i links to 2i + 1 and 2i + 2, some with a canonical link or closed gates."""
+    i, text = F.col("page_id"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    body = F.concat(
+        F.when(i % 6 == 4, text('<link rel="canonical" href="/c', i, '">')).otherwise(""),
+        F.when(i % 11 == 5, '<meta name="robots" content="noindex, follow">').otherwise(""),
+        text("<a href='/./p", 2 * i + 1, "'>a</a><a class=k href=/q/../p", 2 * i + 2, ' id="b">b</a>'),
+        "html",
+    )
+    pages = stored(spark, d).select(text("http://crawl.example/p", i).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), body.alias("body"))
+    files = [("http://crawl.example/robots.txt", 200, "text/plain", "User-agent: *\nCrawl-delay: 1\nDisallow: /*7$\n"), ("http://crawl.example/sitemap.xml", 404, "text/html", "")]
+    return pages.unionByName(spark.createDataFrame(files, pages.schema))
 
-    pages = stored(spark, d).select("page_id", "url", urls.authority(F.col("url")).alias("site"))
-    return pages.withColumn("start_s", ((F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1) * 0.5).cast("double"))
+
+@query(
+    "WITH RECURSIVE e AS (SELECT page_id AS s, unnest([page_id * 2 + 1, page_id * 2 + 2]) AS t FROM pages), "
+    "r(id) AS (SELECT page_id FROM pages WHERE page_id = 0 UNION SELECT e.t FROM r JOIN e ON e.s = r.id JOIN pages p ON p.page_id = e.t WHERE e.t % 10 <> 7) "
+    "SELECT DISTINCT 'http://crawl.example/' || CASE WHEN id % 6 = 4 THEN 'c' ELSE 'p' END || id AS url FROM r WHERE id % 11 <> 5"
+)
+def crawl_site_stored(spark, d) -> DataFrame:
+    """A whole crawl: robots.txt, sitemap, rounds of links in all quote forms with dot segments, canonical links, gates.
+
+    The robots.txt rule is tested on the raw href, whose last character is that of the page's number.
+    """
+    return site.crawl_site(spark, "http://crawl.example/p0", site.from_store(_responses(spark, d)), crawl.Options(strict=False))
 
 
 @query(f"WITH RECURSIVE {dv.G} SELECT depth, count(*) AS n_pages FROM b GROUP BY depth")
@@ -440,6 +483,14 @@ def crawl_result_diff(spark, d) -> DataFrame:
     return crawl.result_diff(near, nodes.select("url"))
 
 
+@query("SELECT DISTINCT url FROM pages")
+def url_list(spark, d) -> DataFrame:
+    """URLs written to text files, one a line, and read back."""
+    folder = lineage.shared_folder(spark)
+    write_urls(stored(spark, d).select("url").distinct(), folder)
+    return read_urls(spark, folder)
+
+
 # Logs and manifests
 
 _LEVELS = {"view": "Trace", "click": "Debug", "signup": "Information", "purchase": "Warning", "error": "Error"}

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gossamer.functions.urls import authority
+
 RESPONSE = "url string, status int, content_type string, body string, error string"
 
 
@@ -16,20 +18,28 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_live(urls: DataFrame, parallelism: int = 8, timeout: float = 30.0, user_agent: str | None = None, cookie: str | None = None, delay: float = 0.0) -> DataFrame:
-    """Responses of live servers for `urls` (url): RESPONSE rows, errors as a column, no retry.
+    """Responses of live servers for `urls` (url, and delay where rows have their own): RESPONSE rows, errors as a column, no retry.
 
-    One connection at a time per partition, `parallelism` partitions.
+    One connection at a time per partition, `parallelism` partitions.  With a delay all URLs of a site come
+    to one partition, and the seconds pass between any two requests to the site.
     """
     headers = {k: v for k, v in (("User-Agent", user_agent), ("Cookie", cookie)) if v}
+    wanted = urls.select("url", (F.col("delay") if "delay" in urls.columns else F.lit(delay)).cast("double").alias("delay"))
+    site = F.when(F.col("delay") > 0, authority(F.col("url"))).otherwise(F.col("url"))
+    wanted = wanted.groupBy("url").agg(F.max("delay").alias("delay")).withColumn("site", site)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
         import urllib.error
         import urllib.request
 
+        ready: dict[str, float] = {}
         for frame in frames:
             rows = []
-            for url in frame["url"]:
+            for url, wait, site in zip(frame["url"], frame["delay"], frame["site"], strict=True):
+                if wait > 0:
+                    time.sleep(max(0.0, ready.get(site, 0.0) - time.monotonic()))
+                    ready[site] = time.monotonic() + wait
                 try:
                     with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
                         charset = r.headers.get_content_charset() or "utf-8"
@@ -38,11 +48,20 @@ def fetch_live(urls: DataFrame, parallelism: int = 8, timeout: float = 30.0, use
                     rows.append((url, e.code, e.headers.get_content_type(), "", None))
                 except (OSError, ValueError) as e:
                     rows.append((url, None, None, None, str(e)))
-                if delay:
-                    time.sleep(delay)
             yield pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "error"])
 
-    return urls.select("url").distinct().repartition(parallelism, "url").mapInPandas(run, RESPONSE)
+    return wanted.repartition(parallelism, "site").mapInPandas(run, RESPONSE)
+
+
+def show_lines(lines: DataFrame, column: str = "line", most: int = 1000) -> None:
+    """The first log lines on the driver's console."""
+    for row in lines.select(column).limit(most).toLocalIterator():
+        print(row[0])
+
+
+def read_urls(spark: SparkSession, path: str) -> DataFrame:
+    """(url) of a text written by write_urls()."""
+    return spark.read.text(path).select(F.col("value").alias("url"))
 
 
 def write_urls(visited: DataFrame, path: str) -> None:

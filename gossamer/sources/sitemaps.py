@@ -64,23 +64,37 @@ def text(sitemaps: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_B
     return rows.unionByName(sitemaps.where(too_large).select("site", F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("loc"), F.lit("sitemap is too large").alias("error")))
 
 
-def expand(start: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame], since: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df, most: int = 50) -> DataFrame:
+class SitemapError(ValueError):
+    """A sitemap that cannot be read."""
+
+
+def _abort(tables: list[DataFrame]) -> None:
+    bad = tables[0]
+    for more in tables[1:]:
+        bad = bad.unionByName(more)
+    if found := bad.limit(1).collect():
+        raise SitemapError(f"{found[0]['site']}: {found[0]['error']} ({found[0]['loc']})")
+
+
+def expand(start: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame], since: Column | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df, abort: bool = False) -> DataFrame:
     """(site, loc) of all items reachable from `start` (site, loc) through `files` (loc, content_type, body).
 
     `files` is a table, or a function that gives the rows of the locations it is asked for.
 
-    Indexes are followed level by level; a location is opened once for a site, so cycles end.  `cut` bounds
-    the lineage of a level (for example a checkpoint).
+    Indexes are followed level by level, however deep; a location is opened once for a site, so cycles end.
+    `cut` bounds the lineage of a level (for example a checkpoint).  With `abort` the first faulty item or
+    file ends the expansion with a SitemapError.
     """
     todo, seen, found = start.select("site", "loc").distinct(), None, None
-    for _ in range(most):
+    while True:
         opened = cut(todo.join(files(todo) if callable(files) else files, "loc")).select("site", "content_type", F.col("body").alias("xml"), F.col("body").alias("txt"))
-        plain = text(opened.where("content_type = 'text/plain'").select("site", "txt")).where("error IS NULL").select("site", "loc")
-        xml = opened.where("content_type <> 'text/plain'")
-        items = plain.unionByName(urlset(xml.select("site", "xml"), since).select("site", "loc"))
+        xml = opened.where("content_type <> 'text/plain'").select("site", "xml")
+        plain, listed, deeper = text(opened.where("content_type = 'text/plain'").select("site", "txt")), urlset(xml, since), index(xml, since)
+        if abort:
+            _abort([t.where("error IS NOT NULL").select("site", "loc", "error") for t in (plain, listed, deeper)])
+        items = plain.where("error IS NULL").select("site", "loc").unionByName(listed.select("site", "loc"))
         found = items if found is None else found.unionByName(items)
         seen = todo if seen is None else seen.unionByName(todo)
-        todo = cut(index(xml.select("site", "xml"), since).where("error IS NULL").select("site", "loc").distinct().join(seen, ["site", "loc"], "left_anti"))
+        todo = cut(deeper.where("error IS NULL").select("site", "loc").distinct().join(seen, ["site", "loc"], "left_anti"))
         if todo.isEmpty():
-            break
-    return found.distinct()
+            return found.distinct()

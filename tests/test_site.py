@@ -1,8 +1,12 @@
 """Whole crawls of a stored site."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from gossamer import cli
 from gossamer.operators.crawl import Options
-from gossamer.operators.site import crawl_site, from_store
+from gossamer.operators.site import Hooks, RobotsError, crawl_site, from_store
+from gossamer.sources.sitemaps import SitemapError
 
 N = 106
 LINKS = ["/", "/contact", "/book-meeting", *[f"/page-{i}" for i in range(N - 3)]]
@@ -59,3 +63,34 @@ def test_arguments():
     args = cli.arguments(["-e", "http://a", "-o", "out", "-m", "5", "-r", "-a", "Bot"])
     made = cli.options(args)
     assert made.max_pages == 5 and made.respect_robots_txt and made.respect_meta_robots and made.user_agent == "Bot"
+
+
+def test_faulty_files_abort_the_crawl(spark):
+    page = ("http://s/", 200, "text/html", "<a href='/a'>a</a>")
+    big = ("http://s/robots.txt", 200, "text/plain", "#" * (500 * 1024 + 1))
+    fetch = from_store(spark.createDataFrame([page, big], "url string, status int, content_type string, body string"))
+    with pytest.raises(RobotsError):
+        crawl_site(spark, "http://s/", fetch)
+    assert [r.url for r in crawl_site(spark, "http://s/", fetch, Options(abort=False)).collect()] == ["http://s/"]
+    lines = ("http://s/sitemap.xml", 200, "text/plain", "not absolute")
+    with pytest.raises(SitemapError):
+        crawl_site(spark, "http://s/", from_store(spark.createDataFrame([page, lines], "url string, status int, content_type string, body string")))
+
+
+def test_hooks_and_the_delay_of_robots_txt(spark):
+    rows = [("http://s/", 200, "text/html", "go:/x go:/y stop:/z"), ("http://s/x", 200, "text/html", "as:/seen"), ("http://s/y", 200, "text/html", "closed"), ("http://s/robots.txt", 200, "text/plain", "User-agent: *\nCrawl-delay: 3")]
+    store, delays = spark.createDataFrame(rows, "url string, status int, content_type string, body string"), []
+
+    def fetch(wanted):
+        delays.append({r.delay for r in wanted.collect()})
+        return from_store(store)(wanted)
+
+    hooks = Hooks(
+        collect_links=lambda html: F.regexp_extract_all(html, F.lit("go:([^ ]+)"), F.lit(1)),
+        canonical=lambda html: F.nullif(F.regexp_extract(html, "as:([^ ]+)", 1), F.lit("")),
+        robots_rules=lambda html, ignore: F.struct((html != "closed").alias("index"), F.lit(True).alias("follow")),
+    )
+    assert {r.url for r in crawl_site(spark, "http://s/", fetch, hooks=hooks).collect()} == {"http://s/", "http://s/seen"}
+    assert {3.0} in delays and delays[0] == {0.0}
+    none = Hooks(keep=lambda href: F.lit(False))
+    assert [r.url for r in crawl_site(spark, "http://s/", fetch, hooks=none).collect()] == ["http://s/"]

@@ -75,12 +75,56 @@ def test_every_page_is_visited_once(spark):
 def test_links_of_a_page(spark):
     html = "<A HREF = \"/a\">x</a><a data-href=\"/no\">y</a><a\nclass='k' href=\"/b?x=1&amp;y=2\">z</a><abbr href=\"/c\"></abbr><a href=/bare>q</a><a>none</a>"
     page = spark.createDataFrame([(1, "http://h/d/e", html), (2, "http://h", None)], "page_id long, url string, html string")
-    assert [r.href for r in links.extract(page).orderBy("pos").collect()] == ["/a", "/b?x=1&amp;y=2"]
+    assert [r.href for r in links.extract(page).orderBy("pos").collect()] == ["/a", "/b?x=1&y=2", "/bare"]
     assert page.select(links.parsed_hrefs("html")).first()[0] == ["/a", None, "/b?x=1&y=2", "/bare", None]
     same = spark.createDataFrame([(1, "http://h/", "<a href=\"/A\"></a><a href=\"/a\"></a><a href=\"b\"></a>")], "page_id long, url string, html string")
     assert [r.target for r in links.distinct_per_page(links.on_site(links.extract(same))).orderBy("pos").collect()] == ["http://h/A", "http://h/b"]
 
 
+HOSTILE = [
+    "<a href='/x'>", "<a href=/y>", '<a href="/z?a=1&amp;b=2">', "<a title='a > b' href=\"/t\">", '<a data-x=" href=/no " HREF\n=\n"/m">', "<a/href=/s>",
+    "<a href='/q\"q'>", '<a href="/e&#233;&#xE9;&eacute;x">', "<a href='/amp&amp;amp;'>", "<a disabled href=/d class=c>", "<a hrefx=/no>", "<abbr href=/no>", "<a href=''>",
+    "<script>'<a href=/no>'</script>", "<style>a{}<a href=/no></style>", "<!-- <a href=/no> -->", "<a href=/u?x=a'b>", "<a href = '/sp ace'>",
+]
+
+
+def test_links_of_hostile_markup_equal_the_parser(spark):
+    pages = spark.createDataFrame([(i, "http://h/", f"<p>{h}text</a>") for i, h in enumerate(HOSTILE)] + [(99, "http://h/", "".join(HOSTILE)), (100, "http://h/", "<a" + " x=1" * 3000 + " href=/far>")], "page_id long, url string, html string")
+    mine, parsed = (dict(pages.select("page_id", c).collect()) for c in (links.hrefs(pages.html), links.parsed_hrefs("html")))
+    known = {"/e\u00e9\u00e9&eacute;x": "/e\u00e9\u00e9\u00e9x"}  # other named references stay as they are
+    assert {i: [known.get(h, h) for h in hs] for i, hs in mine.items()} == {i: [h for h in hs if h is not None] for i, hs in parsed.items()}
+
+
+def test_spellings_of_a_url_are_one(spark):
+    html = "<a href='/a/./b'>1</a><a href='HTTP://H:80/a/b'>2</a><a href=/a/c/../b>3</a>"
+    page = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert [r.target for r in links.distinct_per_page(links.on_site(links.extract(page))).collect()] == ["http://h/a/b"]
+
+
+def test_rounds_end_with_the_cap_and_deep_graphs_stay_short(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(30)], "src string, dst string")
+    seeds, rounds = spark.createDataFrame([("p0",)], "url string"), []
+    assert crawl.crawl(seeds, edges, max_pages=3, analyze=lambda f: rounds.append(f.count())).count() == 3 and len(rounds) == 3
+    assert crawl.crawl(seeds, edges).count() == 31
+
+
+def test_schedule_of_a_large_site(spark):
+    rows = [(i, f"http://s{0 if i % 10 else i}/{i}", f"s{0 if i % 10 else i}") for i in range(3000)]
+    got = {r.page_id: r.start_s for r in crawl.schedule(spark.createDataFrame(rows, "page_id long, url string, site string").repartition(5), 0.5).collect()}
+    large = [0, *[i for i in range(3000) if i % 10]]
+    assert [got[i] for i in large] == [0.5 * k for k in range(len(large))] and all(got[i] == 0 for i in range(0, 3000, 10))
+
+
+def test_deep_sitemap_indexes_are_followed_and_faults_may_abort(spark):
+    space = f'xmlns="{sitemaps.NAMESPACE}"'
+    files = [(f"http://s/{i}.xml", "application/xml", f"<sitemapindex {space}><sitemap><loc>http://s/{i + 1}.xml</loc></sitemap></sitemapindex>") for i in range(55)]
+    files.append(("http://s/55.xml", "application/xml", f"<urlset {space}><url><loc>/end</loc><changefreq>hourly</changefreq></url></urlset>"))
+    start, table = spark.createDataFrame([("http://s", "http://s/0.xml")], "site string, loc string"), cut(spark.createDataFrame(files, "loc string, content_type string, body string"))
+    assert [r["loc"] for r in sitemaps.expand(start, table, cut=cut).collect()] == ["/end"]
+    with pytest.raises(sitemaps.SitemapError, match="changefreq"):
+        sitemaps.expand(spark.createDataFrame([("http://s", "http://s/54.xml")], "site string, loc string"), table, cut=cut, abort=True)
+
+
 def test_loaders_and_switches(spark):
     pages = spark.createDataFrame([("a", 200), ("b", 204), ("c", 301), ("d", 404), ("e", 100)], "url string, status int")
     got = {k: {r.url for r in crawl.fetch(pages.select("url"), pages, k).collect()} for k in ("static", "rendered", "lenient")}
@@ -124,7 +168,7 @@ def test_registered_queries_match_duckdb(spark):
     db = duckdb.connect()
     for t in ("pages", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    for name in ("links_extract", "links_frontier", "robots_groups", "robots_allowed", "sitemap_expand", "crawl_bfs", "log_format"):
+    for name in ("links_extract", "links_extract_variants", "links_canonical", "links_frontier", "robots_groups", "robots_allowed", "sitemap_expand", "crawl_bfs", "crawl_schedule", "crawl_site_stored", "url_list", "log_format"):
         frame = QUERIES[name](spark, folder)
         cursor = db.execute(ORACLE[name])
         columns = [c[0] for c in cursor.description]
