@@ -17,7 +17,7 @@ Defined results: null and empty texts stay as they are; rows equal in doc_id and
 are treated alike; a chunk repeated inside one document stays at its first place, and places of one chunk
 that overlap there count as one; a document may lose all
 its lines and then has the empty text; a null doc_id counts as the least id; an empty table has no rows;
-columns of the table named lines_removed or lines_kept are replaced, all others are kept as they are.
+columns of the table named lines_removed, lines_kept or chars_removed are replaced, all others are kept as they are.
 """
 
 from __future__ import annotations
@@ -227,25 +227,26 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, ..) without repeated chunks, plus lines_removed (long) and lines_kept (long)."""
-    fields = [f for f in docs.schema.fields if f.name not in ("lines_removed", "lines_kept")]
+    """`docs` (doc_id, text, ..) without repeated chunks, plus lines_removed, lines_kept and chars_removed (long)."""
+    fields = [f for f in docs.schema.fields if f.name not in ("lines_removed", "lines_kept", "chars_removed")]
     own = docs.select(*[F.col(f"`{f.name}`") for f in fields])
-    schema = T.StructType([*fields, T.StructField("lines_removed", T.LongType()), T.StructField("lines_kept", T.LongType())])
+    schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in ("lines_removed", "lines_kept", "chars_removed")]])
     at = [f.name for f in fields].index("text")
 
     def run(batches):
         for batch in batches:
-            texts, removed, left = batch.column(at).to_pylist(), [], []
+            texts, removed, left, less = batch.column(at).to_pylist(), [], [], []
             for k, ranges in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 lines = texts[k].split("\n") if texts[k] else []
                 gone = {i for r in ranges or () for i in range(r["a"], r["b"])}
+                less.append(sum(len(lines[i]) for i in gone))
                 if gone:
                     texts[k] = "\n".join([x for i, x in enumerate(lines) if i not in gone])
                 removed.append(len(gone))
                 left.append(len(lines) - len(gone))
             columns = list(batch.columns[: len(fields)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(left, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.int64()) for c in (removed, left, less)]], names=schema.names)
 
     i, th, ranges = fresh(own, "_id", "_th", "_ranges")
     found = repeated(own.select("doc_id", "text")).withColumnsRenamed({"_id": i, "_th": th, "_ranges": ranges})

@@ -14,7 +14,7 @@ doc_id), one text each, and scores whole texts of all rows.
 
 Defined results: null and empty texts get the score of no terms; repeated labels of one id count as their
 largest, null labels not at all; of rows that share a labelled id the text with the least hash is learned from;
-without labels of both classes every score is the share of toxic ones; an empty table has no rows; a column
+without labels of both classes every score is the share of toxic ones (from 0.001 to 0.999), 0.001 without labels; an empty table has no rows; a column
 named score is replaced, all others are kept as they are.
 """
 
@@ -137,7 +137,7 @@ def _logits(rows: _Rows, bias: float, linear: np.ndarray, pairs: np.ndarray) ->
 def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, values: np.ndarray, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> Machine:
     """A machine fitted by stochastic gradients with steps of their own for every weight."""
     n = len(buckets)
-    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
+    share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
     bias, linear, pairs = float(np.log(share / (1 - share))), np.zeros(n), np.random.default_rng(seed).normal(0, 0.03, (n, FACTORS))
     if n and len(labels) and labels.min() < labels.max():
         past = [1e-6, np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)]

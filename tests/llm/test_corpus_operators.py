@@ -151,7 +151,7 @@ def test_line_dedup_against_brute_force(spark):
     want = Counter((d, t) for (d, _), t in zip(rows, brute_lines(rows)))
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
     found = {r.doc_id: r for r in got.collect() if r.doc_id in (81, 82, 83, 201)}
-    assert long not in found[201].text and found[201].lines_removed == 1
+    assert long not in found[201].text and found[201].lines_removed == 1 and found[201].chars_removed == len(long)
     passage = corpus()[80][1].split("\n")[6:18]
     assert all(sum(line in found[d].text for line in passage) == 0 for d in (81, 82, 83))
     assert lines.report(spark.createDataFrame([], DOCS)).count() == 0
@@ -376,3 +376,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"doc_id", "ids", "decoded"} <= set(out.columns)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 30 not in ids and 31 in ids and not {75, 76, 77, 78, 79} & set(ids)
+    # a near copy whose lines are mostly repeated goes with them
+    lines_of = [" ".join(words_of(12, 7000 + k)) for k in range(10)]
+    near = spark.createDataFrame([(1, "\n".join(lines_of)), (2, "\n".join([*lines_of[:4], "one line is new", *lines_of[5:]])), (3, "\n".join([*lines_of[:5], *map(" ".join, (words_of(12, s) for s in range(8000, 8005)))]))], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_lines(spark, near, "").collect()) == [1, 3]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rows = [(None, None, 1), (None, "no id here", 2), (3, "", 3), (3, "", 3), (4, None, 4), (5, "word " * 60_000 + "z" * 200_000, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, cls int").selectExpr("*", "1 AS _id", "2 AS lines_kept", "'x' AS ids").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = Counter((r.doc_id, None if r.text is None else len(r.text)) for r in out)
+    assert got == Counter([(3, 0), (4, None), (5, 500_000), (None, 10), (None, None)]) and {(r.cls == (r.doc_id or r.cls), r.lines_kept) for r in out} == {(True, 2)} and {r["_id"] for r in out} == {1}
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, str(tmp_path)).count() == 0
