@@ -3,6 +3,11 @@
 Every stage works on all rows that its predecessor kept; between stages the rows are written as Parquet to
 the shared folder and read again.  The first four return the columns of `documents` (n_chars is that of the
 text as it then is); the last returns each kept document with its token ids and the text decoded from them.
+
+Defined results: null and empty texts, and rows without a doc_id, pass the first two stages as they are; the
+third keeps one row of those that are equal in doc_id and text, and every text without words; ties go to the
+least doc_id; an empty table has no rows; every further column of `documents`, whatever its name, is kept (but
+ids and decoded, which the last stage makes).
 """
 
 from __future__ import annotations
@@ -14,33 +19,51 @@ from gossamer.llm import bpe, decontaminate, jaccard, lines, toxicity
 from gossamer.llm.common import stage, table
 
 
-def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """`docs` in the columns of `like`, with n_chars measured anew where there is such a column."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
-    return docs.select(*[F.col(f"`{c}`") for c in like.columns])
+#: The share of repeated text from which on a document is a near copy, as in the next stage.
+MOSTLY = jaccard.THRESHOLD
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text of `docs`, all other columns in one, so that no operator's columns meet theirs."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"))
+
+
+def _measured(packed: DataFrame, like: DataFrame) -> DataFrame:
+    """`packed` rows in the columns of `like`, with n_chars measured anew where there is such a column."""
+
+    def column(c: str):
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        return F.length("text").cast(like.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_rest")[c].alias(c)
+
+    return packed.select(*map(column, like.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores at its threshold or above go."""
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(_packed(docs), toxicity.train(docs, table(spark, sf_dir, "labels")))
     return _measured(scored.where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go; a document of which nothing else is left goes with them."""
-    left = lines.remove(docs)
-    return _measured(left.where((F.col("lines_removed") == 0) | (F.trim("text") != "")), docs)
+    """Repeated line chunks go; a document that they are MOSTLY goes with them: what is left of it is no text.
+
+    Such a document is a near copy of earlier ones, and its remains would resemble nothing in the next stage.
+    """
+    left = lines.remove(_packed(docs))
+    rest = F.length(F.trim("text"))
+    kept = left.where((F.col("lines_removed") == 0) | (rest > 0) & (F.col("chars_removed") < MOSTLY * (F.col("chars_removed") + rest)))
+    return _measured(kept, docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least doc_id."""
-    return _measured(jaccard.keep_first(docs), docs)
+    return _measured(jaccard.keep_first(_packed(docs)), docs)
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark items go; a document that is mostly such spans goes as a whole."""
-    return _measured(decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark")), docs)
+    return _measured(decontaminate.remove_spans(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
