@@ -303,3 +303,12 @@ def extract(pages: DataFrame) -> DataFrame:
         yield {"page_id": ids, "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
     return arrow_map(pages.select("page_id", "url", "html"), "page_id long, url string, text string, n_chars long", rows)
+
+
+#: The article of generated pages, whose markup is known: what the extraction must find on them.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1) AS inner_html FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(inner_html, '<br\s*/?>', ' ', 'g'), '</?(?:b|i|em|strong|a|span)\b[^>]*>', '', 'g'), '</?[a-z][a-z0-9]*\b[^>]*>') AS blocks FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&#39;', ''''), '&#x27;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '[\s\x{A0}]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10)), ''))::BIGINT AS n_chars FROM c
+"""

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.llm import decontaminate, jaccard
+from gossamer.llm import decontaminate, html_text, jaccard
 from gossamer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_jaccard": jaccard.ORACLE}
+ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_jaccard": jaccard.ORACLE, "op10_html_text": html_text.ORACLE}
 
 
 def query(f):
@@ -53,9 +53,7 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gossamer.llm.html_text import extract
-
-    return extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 @query
