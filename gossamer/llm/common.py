@@ -38,9 +38,26 @@ def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this process has staged and not deleted.
+_STAGED: list[str] = []
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """stage(make()); what was staged on the way is deleted, since nothing needs it any more."""
+    before = len(_STAGED)
+    out = stage(make())
+    spark, gone = out.sparkSession, _STAGED[before:-1]
+    del _STAGED[before:]
+    for folder in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """`names`, each with as many underscores behind it as make it no column of `df`."""
     taken, out = {c.lower() for c in df.columns}, []

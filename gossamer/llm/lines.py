@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-Every line has a hash; a rolling hash over the last WINDOW line hashes closes a chunk wherever its value
-modulo MODULUS is 0, so that boundaries depend on the lines around them alone and an insertion shifts none
-but its neighbours.  A line of at least LONG_WORDS words is a chunk of its own, again by its content alone.
+Every line has a hash; a rolling hash over the last WINDOW line hashes of the open chunk closes it wherever its
+value modulo MODULUS is 0, so that boundaries depend on the lines before them and an insertion shifts none but
+its neighbours.  Chunks of fewer than CHUNK_WORDS words (blank lines, brackets) are not compared.  A line of at
+least LONG_WORDS words is a chunk of its own, by its content alone.
 Passages are chunks too: from every line the shortest run of two lines or more with PASSAGE_WORDS words that
 begins there, and the one that ends there.  They overlap and depend on no line outside them, so that every
 line of a repeated run of that length is in one of them, whatever is around the run.
@@ -37,6 +38,7 @@ from gossamer.llm.common import fresh
 WINDOW = 2
 MODULUS = 2
 LONG_WORDS = 50
+CHUNK_WORDS = 4
 #: Words of a passage of two lines or more.
 PASSAGE_WORDS = 16
 #: Bytes of text in an output batch, more or less.
@@ -71,7 +73,7 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
 
     def close(end: int) -> None:
         nonlocal start
-        if end - start > 1:
+        if end - start > 1 and sum(words[start:end]) >= CHUNK_WORDS:
             found.add((start, end))
         start = end
 

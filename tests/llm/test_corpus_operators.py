@@ -1,6 +1,7 @@
 """Line dedup, Jaccard join, language model, neighbours and the pipeline against brute force."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -167,6 +168,24 @@ def test_line_dedup_widens_over_many_short_lines_and_keeps_columns(spark):
     assert all((r["_id"], r["_th"], r["_again"]) == rows[r.doc_id - 1][2:] for r in kept.collect()) and kept.count() >= 2
 
 
+def test_line_dedup_leaves_small_chunks():
+    assert lines.chunks("}\n\n}\n\n}") == [] and lines.chunks("a b c\nd e f\n" * 20) != []
+
+
+def test_settled_deletes_what_was_staged_on_the_way(spark):
+    from gossamer.llm import common
+
+    before, seen = len(common._STAGED), []
+
+    def make():
+        frame = common.stage(spark.range(5))
+        seen.extend(frame.inputFiles())
+        return frame.where("id > 1")
+
+    assert common.settled(make).count() == 3 and len(common._STAGED) == before
+    assert seen and not any(os.path.exists(f.removeprefix("file://")) for f in seen)
+
+
 def test_jaccard_counts_a_repeated_row_once(spark):
     words = words_of(120, 5)
     near = " ".join([*words[:-1], "other"])
