@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.llm import bpe, decontaminate, jaccard, lines, toxicity
-from gossamer.llm.common import stage, table
+from gossamer.llm.common import settled, table
 
 
 #: The share of repeated text from which on a document is a near copy, as in the next stage.
@@ -85,5 +85,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        docs = settled(lambda step=step, docs=docs: step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
