@@ -75,8 +75,8 @@ def test_checks(spark):
 
 
 def test_facts_before_groups(spark):
-    rows = grouped(spark, "Host: robots.github.com\nSitemap: http://a/s.xml\nSitemap: /relative\nUser-agent: *\nHost: no.org\nSitemap: http://b", "host: https://robots.github.com/x\nHost: second.org", "Host: ..\nHost: ok.org")
-    assert {r.site: r.host for r in robots.hosts(rows).collect()} == {"0": "robots.github.com", "1": "robots.github.com", "2": "ok.org"}
+    rows = grouped(spark, "Host: robots.github.com\nSitemap: http://a/s.xml\nSitemap: /relative\nUser-agent: *\nHost: no.org\nSitemap: http://b", "host: https://robots.github.com/x\nHost: second.org", "Host: ..\nHost: ok.org", "Host: a:b:zz\nHost: 2001:db8::1", "Host: http://[::1]:80/x")
+    assert {r.site: r.host for r in robots.hosts(rows).collect()} == {"0": "robots.github.com", "1": "robots.github.com", "2": "ok.org", "3": "2001:db8::1", "4": "[::1]"}
     assert [r.sitemap for r in robots.sitemaps(rows).collect()] == ["http://a/s.xml"]
     sites = spark.createDataFrame([("0",), ("9",)], "site string")
     assert {tuple(r) for r in robots.sitemap_locations(sites, robots.sitemaps(rows)).collect()} == {("0", "http://a/s.xml"), ("9", "9/sitemap.xml")}
