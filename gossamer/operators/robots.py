@@ -117,16 +117,25 @@ def delay_for_agent(asked: DataFrame, group_table: DataFrame) -> DataFrame:
     return rows.select(*asked.columns, F.when(F.col("known"), F.col("delay")).otherwise(F.col("star")).alias("delay"))
 
 
+def rules_for_agent(asked: DataFrame, group_table: DataFrame) -> DataFrame:
+    """(site, agent, allow, pattern, len, regex): the rules of the group that holds for each of `asked` (site, agent)."""
+    own = rules(group_table).withColumnRenamed("agent", "group")
+    return group_for_agent(asked.select("site", "agent").distinct(), group_table).join(own, ["site", "group"]).drop("group")
+
+
 def check(paths: DataFrame, group_table: DataFrame) -> DataFrame:
-    """Adds allowed to `paths` (site, agent, path): the longest matching pattern decides, Allow before Disallow.
+    """Adds allowed to `paths` (site, agent, path): the longest matching pattern decides, Allow before Disallow."""
+    return checked(paths, rules_for_agent(paths, group_table))
 
-    An equi-join on site and group bounds the candidates of a path to its own rules; the pattern match is a
+
+def checked(paths: DataFrame, own: DataFrame) -> DataFrame:
+    """check() by rules_for_agent(), for which loops ask once.
+
+    An equi-join on site and agent bounds the candidates of a path to its own rules; the pattern match is a
     residual condition and the winner is kept by a map-side max_by.
     """
-    asked = group_for_agent(paths.select("site", "agent", "path").distinct(), group_table)
-    asked = asked.withColumn("norm_path", patterns.normalized_path(F.col("path")))
-    own = rules(group_table).withColumnRenamed("agent", "group")
-    hit = asked.join(own, ["site", "group"]).where(patterns.matches(F.col("pattern"), F.col("regex"), F.col("norm_path")))
+    asked = paths.select("site", "agent", "path").distinct().withColumn("norm_path", patterns.normalized_path(F.col("path")))
+    hit = asked.join(own, ["site", "agent"]).where(patterns.matches(F.col("pattern"), F.col("regex"), F.col("norm_path")))
     winner = hit.groupBy("site", "agent", "path").agg(F.max_by("allow", F.struct("len", "allow")).alias("winner"))
     out = paths.join(winner, ["site", "agent", "path"], "left")
     return out.withColumn("allowed", (F.col("path") == "/robots.txt") | F.coalesce("winner", F.lit(True))).drop("winner")

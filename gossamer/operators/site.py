@@ -68,12 +68,12 @@ def _seeds_from_sitemaps(site: DataFrame, groups: DataFrame, fetch: Fetch, delay
     return sitemaps.expand(start, files, cut=cut, abort=abort).select("site", F.col("loc").alias("href"))
 
 
-def admitted(hrefs: DataFrame, groups: DataFrame | None, agent: str, hooks: Hooks) -> DataFrame:
+def admitted(hrefs: DataFrame, rules: DataFrame | None, agent: str, hooks: Hooks) -> DataFrame:
     """(.., href, site) with target: page links that robots.txt admits (tested on the raw href), on the site."""
     kept = hrefs.where(hooks.keep(F.col("href")))
-    if groups is not None:
+    if rules is not None:
         asked = kept.withColumns({"agent": F.lit(agent), "path": F.col("href")})
-        kept = robots.check(asked, groups).where("allowed").drop("agent", "path", "allowed")
+        kept = robots.checked(asked, rules).where("allowed").drop("agent", "path", "allowed")
     kept = kept.withColumn("target", hooks.resolve(F.col("site"), F.col("href")))
     return kept.where(F.col("target").isNotNull() & hooks.on_site(F.col("target"), F.col("site")))
 
@@ -99,9 +99,11 @@ def crawl_site(
     agent = options.user_agent or "*"
     site = spark.createDataFrame([(entry,)], "entry string").select(urls.authority(F.col("entry")).alias("site"))
     groups = robots_groups(site, fetch, options.abort)
-    rules, delay = (groups if options.respect_robots_txt else None), options.crawl_delay
-    if rules is not None:
-        named = robots.delay_for_agent(site.withColumn("agent", F.lit(agent)), groups).first()
+    rules, delay = None, options.crawl_delay
+    if options.respect_robots_txt:
+        asked = site.withColumn("agent", F.lit(agent))
+        rules = cut(robots.rules_for_agent(asked, groups))  # asked once, small enough to be broadcast in every round
+        named = robots.delay_for_agent(asked, groups).first()
         delay = float(named["delay"]) if named and named["delay"] is not None else delay
     seeds = admitted(_seeds_from_sitemaps(site, groups, fetch, delay, options.abort), rules, agent, hooks).select(F.col("target").alias("url"), "site")
     first = site.select(F.lit(entry).alias("url"), "site").withColumn("url", urls.normalized(F.col("url")))
