@@ -17,7 +17,6 @@ an empty table has one shard without documents at most; other columns are not lo
 from __future__ import annotations
 
 import math
-import os
 import re
 import struct
 import uuid
@@ -81,22 +80,11 @@ class Encoder:
         self.tokenizer.no_padding()
         self.pieces = _Pieces(lambda piece: np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
-    def learn(self, pieces: set[str]) -> None:
-        """Asks for all unknown short pieces at once, which costs less than one by one."""
-        wanted = set()
-        for piece in pieces.difference(self.pieces):
-            if len(piece) <= MOST_LETTERS:
-                wanted.update((m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(piece)) else (piece,))
-        asked = [p for p in wanted.difference(self.pieces) if p]
-        if len(self.pieces) + len(asked) > self.pieces.most:
-            self.pieces.clear()
-        for piece, found in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            self.pieces[piece] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[] if not t else _SPACE.split(t) if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        pieces = _SPACE.split(text) if any(c in text for c in SEPARATORS) else text.split()
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 class ShardWriter:
@@ -195,8 +183,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     some = batch.slice(lo, 256)
-                    for doc_id, ids_of in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                        coded = ids_of + end
+                    for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                        coded = encoder.encode(text) + end
                         writer.add(NULL_ID if doc_id is None else doc_id, coded)
                         documents += 1
                         ids += len(coded) // 4
@@ -211,7 +199,6 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def _encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
