@@ -80,3 +80,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gossamer.llm.neighbours import report
 
     return report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.llm.byte_bpe import report
+
+    return report(table(spark, sf_dir, "documents"))
