@@ -224,7 +224,7 @@ def encode(vectors: DataFrame, books: np.ndarray, vector: str = "embedding") ->
     def run(batches):
         import pyarrow as pa
 
-        entries = [Tree(book, 1) for book in books]
+        entries = [Tree(book, 1) for book in books if len(book)]
         for batch in batches:
             for rows, block in _integers(batch.column(at), books.shape[2]):
                 codes, errors = np.empty((block.shape[1], PARTS), np.uint8), np.zeros(block.shape[1], np.int64)
