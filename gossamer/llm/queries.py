@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.llm import decontaminate, html_text, jaccard, vector_codes
+from gossamer.llm import decontaminate, html_text, jaccard, prefix_trie, vector_codes
 from gossamer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_jaccard": jaccard.ORACLE, "op10_html_text": html_text.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE, "op9_jaccard": jaccard.ORACLE, "op10_html_text": html_text.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
 
 
 def query(f):
@@ -92,3 +92,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
