@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions import directives
-from gossamer.operators.lineage import Gathered, cut
+from gossamer.operators.lineage import cut, ranked
+from gossamer.operators.seen import PER_BUCKET, SeenUrls
 
 
 @dataclass
@@ -52,32 +53,81 @@ def gates(pages: DataFrame, ignore_meta: bool = True) -> DataFrame:
     return pages.withColumns({"index": rules["index"], "follow": rules["follow"]})
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_pages: int | None = None, analyze: Callable[[DataFrame], None] | None = None) -> DataFrame:
+#: Bytes of a place in the queue, and those of a key beyond which it is replaced by its rank.
+PLACE, LONGEST_KEY = 8, 64
+
+
+def place(number: Column) -> Column:
+    """Eight bytes that sort like the number."""
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 2 * PLACE, "0"))
+
+
+def short_keys(frontier: DataFrame, rounds: int) -> DataFrame:
+    """Keys grow by a place each round; before they get long the rows are ranked and the ranks take their place."""
+    if (rounds + 1) % (LONGEST_KEY // PLACE):
+        return frontier
+    return ranked(frontier, "key", "url").withColumn("key", place(F.col("rank"))).select(*frontier.columns)
+
+
+def crawl(
+    seeds: DataFrame,
+    edges: DataFrame,
+    nodes: DataFrame | None = None,
+    max_pages: int | None = None,
+    analyze: Callable[[DataFrame], None] | None = None,
+    on_round: Callable[[dict], None] | None = None,
+    per_bucket: int = PER_BUCKET,
+) -> DataFrame:
     """(url, depth) of every page reachable from `seeds` (url) over `edges` (src, dst), each once.
 
     `nodes` (url, index, follow), where given, holds the pages that can be fetched and their gates: only
     pages with follow are expanded, only those with index are returned.  Each round joins the frontier with
-    the edges, drops what was discovered before and is written to the shared folder; the driver sees one
-    count a round.  The page cap takes the first pages by depth, then URL; rounds end once there are enough.
+    the edges and stores what SeenUrls has not met; the write counts its rows, so a round has no job of its own
+    for that, and `on_round` gets the counts (depth, n, shown).
+
+    The page cap takes the first pages by depth, then URL; with edges (src, dst, pos) it takes those that a queue
+    would, and the result has each page's visit number, from 0: links are queued in the order of the pages they
+    stand on, then of pos (seeds by URL).  Rounds end once there are enough.
     """
+    queued = "pos" in edges.columns
     step = edges
-    shown = lambda pages: pages if nodes is None else pages.join(nodes.where("index").select("url"), "url", "left_semi")
     if nodes is not None:
         step = step.join(nodes.where("follow").select(F.col("url").alias("src")), "src", "left_semi")
     step = cut(step)  # every round reads the edges; their derivation runs once
-    frontier = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    discovered, visited = Gathered(frontier), 0
+    index = None if nodes is None else cut(nodes.where("index").select("url").distinct().withColumn("_shown", F.lit(True)))
+
+    def gated(found: DataFrame) -> DataFrame:
+        if index is None:
+            return found.withColumn("_shown", F.lit(True))
+        return found.join(index, "url", "left").withColumn("_shown", F.coalesce("_shown", F.lit(False)))
+
+    first = seeds.select("url").distinct()
+    if queued:
+        first = ranked(first, "url").select("url", place(F.col("rank")).alias("key"))
+    seen, visited, depth = SeenUrls(edges.sparkSession, per_bucket), 0, 0
+    reached = first.withColumn("depth", F.lit(0))
     while True:
-        if analyze:
-            analyze(frontier)
-        if max_pages is not None and (visited := visited + shown(frontier).count()) >= max_pages:
+        frontier, told = seen.admit(gated(reached), shown=F.count_if("_shown"))
+        if not told["n"]:
             break
-        reached = frontier.withColumnRenamed("url", "src").join(step, "src").select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = cut(reached.join(discovered.all(), "url", "left_anti"))
-        if frontier.isEmpty():
+        visited += told["shown"]
+        if on_round:
+            on_round({"depth": depth} | told)
+        if analyze:
+            analyze(frontier.drop("_shown", "key"))
+        if max_pages is not None and visited >= max_pages:
             break
-        discovered.add(frontier)
-    out = shown(discovered.all())
+        if queued:
+            frontier = short_keys(frontier, depth)
+        depth += 1
+        found = frontier.withColumnRenamed("url", "src").join(step, "src")
+        order = [F.min(F.concat("key", place(F.col("pos")))).alias("key")] if queued else []
+        reached = found.groupBy(F.col("dst").alias("url")).agg(*order, F.lit(depth).alias("depth"))
+    out = (seen.all() if len(seen) else frontier).where("_shown")
+    if queued:
+        out = ranked(out, "depth", "key", "url", name="visit").select("url", "depth", "visit")
+        return out if max_pages is None else out.where(F.col("visit") < max_pages)
+    out = out.select("url", "depth")
     return out if max_pages is None else limited(out, max_pages)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import directives, urls
 from gossamer.operators import crawl, links, robots
-from gossamer.operators.lineage import Gathered, cut
+from gossamer.operators.lineage import Gathered, cut, ranked, shared_folder
+from gossamer.operators.seen import PER_BUCKET, SeenUrls, counted
 from gossamer.sources import sitemaps
 
 #: From URLs (url, delay) to responses (url, status, content_type, body); delay tells the seconds between requests.
@@ -37,8 +38,8 @@ class Hooks:
     keep: Callable[[Column], Column] = urls.is_page_link
     #: Whether a target belongs to a site (target, site).
     on_site: Callable[[Column, Column], Column] = urls.same_site
-    #: The links (url, site) of a round that are not among the discovered ones (url).
-    undiscovered: Callable[[DataFrame, DataFrame], DataFrame] = lambda found, known: found.join(known.select("url"), "url", "left_anti")
+    #: The links (url, site, ..) of a round that are not among the discovered ones (url); without, SeenUrls tells.
+    undiscovered: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 def from_store(responses: DataFrame) -> Fetch:
@@ -68,14 +69,25 @@ def _seeds_from_sitemaps(site: DataFrame, groups: DataFrame, fetch: Fetch, delay
     return sitemaps.expand(start, files, cut=cut, abort=abort).select("site", F.col("loc").alias("href"))
 
 
-def admitted(hrefs: DataFrame, rules: DataFrame | None, agent: str, hooks: Hooks) -> DataFrame:
+class Expressions:
+    """What the hooks say of columns, built once: rounds use the same expressions again."""
+
+    def __init__(self, hooks: Hooks, ignore_meta: bool):
+        html, gates = F.col("html"), hooks.robots_rules(F.col("html"), ignore_meta)
+        self.keep = hooks.keep(F.col("href"))
+        self.target = hooks.resolve(F.col("site"), F.col("href"))
+        self.on_site = F.col("target").isNotNull() & hooks.on_site(F.col("target"), F.col("site"))
+        self.links = F.posexplode(hooks.collect_links(html)).alias("pos", "href")
+        self.page = {"resolved": directives.resolved(F.col("url"), hooks.resolve(F.col("site"), hooks.canonical(html))), "index": gates["index"], "follow": gates["follow"]}
+
+
+def admitted(hrefs: DataFrame, rules: DataFrame | None, agent: str, said: Expressions) -> DataFrame:
     """(.., href, site) with target: page links that robots.txt admits (tested on the raw href), on the site."""
-    kept = hrefs.where(hooks.keep(F.col("href")))
+    kept = hrefs.where(said.keep)
     if rules is not None:
         asked = kept.withColumns({"agent": F.lit(agent), "path": F.col("href")})
         kept = robots.checked(asked, rules).where("allowed").drop("agent", "path", "allowed")
-    kept = kept.withColumn("target", hooks.resolve(F.col("site"), F.col("href")))
-    return kept.where(F.col("target").isNotNull() & hooks.on_site(F.col("target"), F.col("site")))
+    return kept.withColumn("target", said.target).where(said.on_site)
 
 
 def crawl_site(
@@ -85,6 +97,8 @@ def crawl_site(
     options: crawl.Options | None = None,
     analyze: Callable[[DataFrame], None] | None = None,
     hooks: Hooks | None = None,
+    on_round: Callable[[dict], None] | None = None,
+    per_bucket: int = PER_BUCKET,
 ) -> DataFrame:
     """(url) of the visited pages of the site of `entry`, each once.
 
@@ -92,11 +106,13 @@ def crawl_site(
     respected.  A page counts as visited under its canonical URL, if it has one and may be indexed; it is
     expanded if it may be followed.  No page is fetched twice; failed ones are not tried again.  `analyze`
     gets each round's pages (url, resolved, body) before the index gate.  Rounds stop once max_pages pages
-    were processed, and the last round takes the first URLs in order, so the cap is exact and repeatable.
+    were processed; the last round takes those that a queue would: the entry first, then sitemap items by URL, then
+    links in the order of their pages and on each page as they stand.  `on_round` gets the counts of each round
+    (round, asked, pages, shown, new), which the writes of the round take on their way.
     A delay that robots.txt names for the agent takes the place of the one in `options`, if it is respected.
     """
     options, hooks = options or crawl.Options(), hooks or Hooks()
-    agent = options.user_agent or "*"
+    agent, said = options.user_agent or "*", Expressions(hooks, options.ignore_meta)
     site = spark.createDataFrame([(entry,)], "entry string").select(urls.authority(F.col("entry")).alias("site"))
     groups = robots_groups(site, fetch, options.abort)
     rules, delay = None, options.crawl_delay
@@ -105,29 +121,38 @@ def crawl_site(
         rules = cut(robots.rules_for_agent(asked, groups))  # asked once, small enough to be broadcast in every round
         named = robots.delay_for_agent(asked, groups).first()
         delay = float(named["delay"]) if named and named["delay"] is not None else delay
-    seeds = admitted(_seeds_from_sitemaps(site, groups, fetch, delay, options.abort), rules, agent, hooks).select(F.col("target").alias("url"), "site")
-    first = site.select(F.lit(entry).alias("url"), "site").withColumn("url", urls.normalized(F.col("url")))
-    frontier = cut(first.unionByName(seeds).distinct())
-    discovered, visited, processed = Gathered(frontier), None, 0
-    while (size := frontier.count()) and processed < options.max_pages:
-        now = frontier if processed + size <= options.max_pages else frontier.orderBy("url").limit(options.max_pages - processed)
-        processed += min(size, options.max_pages - processed)
-        got = now.join(fetch(now.withColumn("delay", F.lit(delay))), "url").where(crawl.fetched(options.loader, F.col("status")))
-        canonical = hooks.resolve(F.col("site"), hooks.canonical(F.col("body")))
-        got = got.withColumns({"html": F.col("body"), "resolved": directives.resolved(F.col("url"), canonical)})
-        gates = hooks.robots_rules(F.col("html"), options.ignore_meta)
-        pages = cut(got.withColumns({"index": gates["index"], "follow": gates["follow"]}))
+    seeds = admitted(_seeds_from_sitemaps(site, groups, fetch, delay, options.abort), rules, agent, said).select(F.col("target").alias("url"), "site").distinct()
+    first = site.select(urls.normalized(F.lit(entry)).alias("url"), "site", crawl.place(F.lit(0)).alias("key"))
+    path = shared_folder(spark)
+    if counted(seeds, path)["n"]:
+        later = ranked(spark.read.schema(seeds.schema).parquet(path), "url").select("url", "site", crawl.place(F.col("rank") + 1).alias("key"))
+        first = first.unionByName(later).groupBy("url", "site").agg(F.min("key").alias("key"))
+    seen, visited, processed, turn = SeenUrls(spark, per_bucket), Gathered(), 0, 0
+    frontier, told = seen.admit(first)
+    while (asked := told["n"]) and processed < options.max_pages:
+        now = frontier
+        if processed + asked > options.max_pages:
+            asked = options.max_pages - processed
+            now = ranked(frontier, "key", "url").where(F.col("rank") < asked).drop("rank")
+        processed += asked
+        got = now.join(fetch(now.select("url", "site").withColumn("delay", F.lit(delay))), "url").where(crawl.fetched(options.loader, F.col("status")))
+        got = got.withColumn("html", F.col("body")).withColumns(said.page)
+        path = shared_folder(spark)
+        pages_told = counted(got, path, shown=F.count_if("index"))
+        pages = spark.read.schema(got.schema).parquet(path)
         if analyze:
             analyze(pages.select("url", "resolved", "body"))
-        shown = pages.where("index").select(F.col("resolved").alias("url"))
-        if visited is None:
-            visited = Gathered(shown)
-        else:
-            visited.add(shown)
-        found = pages.where("follow").select("url", "site", F.posexplode(hooks.collect_links(F.col("html"))).alias("pos", "href"))
-        found = admitted(found, rules, agent, hooks)
-        # on a page the first of links that differ in case counts; across pages case matters
-        found = found.groupBy("url", "site", F.lower("target").alias("_key")).agg(F.min_by("target", "pos").alias("target"))
-        frontier = cut(hooks.undiscovered(found.select(F.col("target").alias("url"), "site").distinct(), discovered.all()))
-        discovered.add(frontier)
-    return (visited.all() if visited is not None else frontier.select("url")).distinct()
+        if pages_told.get("shown"):
+            visited.add(pages.where("index").select(F.col("resolved").alias("url")), pages_told["shown"])
+        told = {"n": 0}
+        if pages_told["n"]:
+            found = crawl.short_keys(pages.where("follow"), turn).select("url", "site", "key", said.links)
+            found = admitted(found, rules, agent, said)
+            # on a page the first of links that differ in case counts; across pages case matters
+            found = found.groupBy("url", "site", F.lower("target").alias("_key")).agg(F.min_by("target", "pos").alias("target"), F.min(F.concat("key", crawl.place(F.col("pos")))).alias("key"))
+            found = found.groupBy(F.col("target").alias("url"), "site").agg(F.min("key").alias("key"))
+            frontier, told = seen.admit(found) if hooks.undiscovered is None else seen.add(hooks.undiscovered(found, seen.all()))
+        if on_round:
+            on_round({"round": turn, "asked": asked, "pages": pages_told["n"], "shown": pages_told.get("shown", 0), "new": told["n"]})
+        turn += 1
+    return visited.all().distinct() if visited.parts else first.select("url").limit(0)

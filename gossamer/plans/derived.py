@@ -136,3 +136,17 @@ def page_graph(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 G = """e AS (SELECT page_id AS s, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id // 2]) AS t FROM pages),
 r(id, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION SELECT e.t, r.depth + 1 FROM r JOIN e ON e.s = r.id JOIN pages p ON p.page_id = e.t WHERE r.depth < 24 AND e.t > e.s),
 b AS (SELECT p.url, min(r.depth) AS depth FROM r JOIN pages p ON p.page_id = r.id GROUP BY p.url)"""
+
+
+def queued_graph(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): page i leads, in this order, to 3i+2, i/2, 3i+3 and 3i+1, by URL, with places (pos)."""
+    pages = stored(spark, sf_dir).select("page_id", "url")
+    i = F.col("page_id")
+    out = F.posexplode(F.array(i * 3 + 2, F.floor(i / 2), i * 3 + 3, i * 3 + 1)).alias("pos", "to")
+    edges = pages.select(F.col("url").alias("src"), out).join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to")
+    return pages, edges.select("src", "dst", "pos")
+
+
+W = """r(id, depth, place) AS (SELECT page_id, 0, [0] FROM pages WHERE page_id = 0
+ UNION ALL SELECT p.page_id, r.depth + 1, list_append(r.place, e.pos) FROM r, (SELECT unnest([0, 2, 3]) AS pos, unnest([2, 3, 1]) AS k) e JOIN pages p ON p.page_id = r.id * 3 + e.k),
+v AS (SELECT p.url, r.depth, row_number() OVER (ORDER BY r.depth, r.place) - 1 AS visit FROM r JOIN pages p ON p.page_id = r.id)"""

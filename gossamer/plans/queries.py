@@ -421,6 +421,13 @@ def crawl_limit(spark, d) -> DataFrame:
     return crawl.crawl(_seeds(nodes), edges, max_pages=100)
 
 
+@query(f"WITH RECURSIVE {dv.W} SELECT url, depth, visit FROM v WHERE visit < (SELECT count(*) // 2 FROM pages)")
+def crawl_order(spark, d) -> DataFrame:
+    """The first half of all pages in the order of a queue, with their visit numbers."""
+    nodes, edges = dv.queued_graph(spark, d)
+    return crawl.crawl(_seeds(nodes), edges, max_pages=nodes.count() // 2)
+
+
 @query(f"SELECT page_id, url, {SITE} AS site, ((row_number() OVER (PARTITION BY {SITE} ORDER BY page_id) - 1) * 0.5)::DOUBLE AS start_s FROM pages")
 def crawl_schedule(spark, d) -> DataFrame:
     """When each page is fetched, seconds after the start, half a second apart on each site."""
