@@ -57,10 +57,10 @@ def groups(group_table: DataFrame) -> DataFrame:
 
 
 def rules(group_table: DataFrame) -> DataFrame:
-    """(site, agent, allow, pattern, len, regex), distinct; patterns are compiled once, before any join."""
+    """(site, agent, allow, pattern, len, regex, probe), distinct; patterns are compiled once, before any join."""
     kept = group_table.where(F.col("directive").isin("allow", "disallow") & (F.size("agents") > 0))
     rows = kept.select("site", F.explode("agents").alias("agent"), (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern")).distinct()
-    return rows.withColumns({"len": F.length("pattern"), "regex": patterns.pattern_regex(F.col("pattern"))})
+    return rows.withColumns({"len": F.length("pattern"), "regex": patterns.pattern_regex(F.col("pattern")), "probe": patterns.probe(F.col("pattern"))})
 
 
 def crawl_delays(group_table: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def delay_for_agent(asked: DataFrame, group_table: DataFrame) -> DataFrame:
 
 
 def rules_for_agent(asked: DataFrame, group_table: DataFrame) -> DataFrame:
-    """(site, agent, allow, pattern, len, regex): the rules of the group that holds for each of `asked` (site, agent)."""
+    """(site, agent, allow, pattern, len, regex, probe): the rules of the group that holds for each of `asked` (site, agent)."""
     own = rules(group_table).withColumnRenamed("agent", "group")
     return group_for_agent(asked.select("site", "agent").distinct(), group_table).join(own, ["site", "group"]).drop("group")
 
@@ -128,14 +128,27 @@ def check(paths: DataFrame, group_table: DataFrame) -> DataFrame:
     return checked(paths, rules_for_agent(paths, group_table))
 
 
+def candidates(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """`asked` (site, agent, path, norm_path) with the rules (allow, pattern, len, regex) whose probe the path answers to.
+
+    The probes of a site's rules say at which lengths its paths are cut, so that a path looks its rules up by
+    equality: it meets those that share its beginning, not all of the site.
+    """
+    rule = own.where(F.length("pattern") > 0)
+    length = F.when(F.col("probe").startswith("^"), F.length("probe") - 1)
+    kinds = rule.groupBy("site", "agent").agg(F.collect_set(length).alias("_lengths"), F.max(F.col("probe").startswith("*")).alias("_inside"))
+    probes = asked.join(kinds, ["site", "agent"]).select(*asked.columns, F.explode(patterns.path_probes(F.col("norm_path"), F.col("_lengths"), F.col("_inside"))).alias("probe"))
+    return probes.join(rule, ["site", "agent", "probe"])
+
+
 def checked(paths: DataFrame, own: DataFrame) -> DataFrame:
     """check() by rules_for_agent(), for which loops ask once.
 
-    An equi-join on site and agent bounds the candidates of a path to its own rules; the pattern match is a
-    residual condition and the winner is kept by a map-side max_by.
+    Of the candidates only those with wildcards need the regular expression; the winner is kept by a map-side max_by.
     """
     asked = paths.select("site", "agent", "path").distinct().withColumn("norm_path", patterns.normalized_path(F.col("path")))
-    hit = asked.join(own, ["site", "agent"]).where(patterns.matches(F.col("pattern"), F.col("regex"), F.col("norm_path")))
+    sure = ~F.col("pattern").contains("*")
+    hit = candidates(asked, own).where(sure | patterns.matches(F.col("pattern"), F.col("regex"), F.col("norm_path")))
     winner = hit.groupBy("site", "agent", "path").agg(F.max_by("allow", F.struct("len", "allow")).alias("winner"))
     out = paths.join(winner, ["site", "agent", "path"], "left")
     return out.withColumn("allowed", (F.col("path") == "/robots.txt") | F.coalesce("winner", F.lit(True))).drop("winner")

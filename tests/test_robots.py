@@ -153,3 +153,23 @@ def test_the_rest_does_not_need_llm(name):
 
     source = open(importlib.import_module(name).__file__).read()
     assert "gossamer.llm" not in source
+
+
+def test_rules_are_looked_up_by_their_beginnings(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rules = [(rng.random() < 0.5, rng.choice([f"/{word()}", f"/{word()}/{word()}", f"/{word()}/{word()}$", f"/{word()}/*{word()}", f"/*{word()}*{word()}$", f"/*.{word()[:3]}$", f"/%7{rng.randint(0, 9)}{word()}"])) for _ in range(3000)]
+    rules += [(False, "/"), (True, "/*a*$"), (False, "*zz"), (True, ""), (False, "$"), (True, "/*%2Fab*"), (False, "/caf%C3%A9*e")]
+    text = "User-agent: *\n" + "\n".join(f"{'Allow' if allow else 'Disallow'}: {p}" for allow, p in rules)
+    groups = robots.grouped(robots.lines(spark.createDataFrame([("s", text)], "site string, txt string")))
+    own = robots.rules(groups)
+    paths = {p.replace("*", word()).rstrip("$") + rng.choice(["", word(), "/" + word()]) for _, p in rng.sample(rules, 400)} | {"/", "", "/café/xe", "/a%2Fabc", "azz", "/%70x"}
+    asked = spark.createDataFrame([("s", "*", p) for p in paths], "site string, agent string, path string").withColumn("norm_path", patterns.normalized_path(F.col("path")))
+    met = robots.candidates(asked, own).select("path", "pattern", "allow", "regex", "norm_path", "len").collect()
+    assert len(met) < 40 * len(paths)
+    every = asked.join(own.drop("agent", "site")).where(patterns.matches(F.col("pattern"), F.col("regex"), F.col("norm_path")))
+    want = {(r.path, r.pattern, r.allow) for r in every.collect()}
+    got = {(r.path, r.pattern, r.allow) for r in robots.candidates(asked, own).where(patterns.matches(F.col("pattern"), F.col("regex"), F.col("norm_path"))).collect()}
+    assert got == want and len(want) > 400
+    sure = {(r.path, r.pattern, r.allow) for r in met if "*" not in r.pattern}
+    assert sure == {w for w in want if "*" not in w[1]}
