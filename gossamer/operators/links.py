@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,37 +13,76 @@ from pyspark.sql import types as T
 
 from gossamer.functions import urls
 
-#: What a browser does not see as markup.
-HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
-#: An anchor up to its href, over whole attributes; group 1 is the value with its quotes.
-ANCHOR = rf"""(?is)<a(?:[\s/]+(?!href\s*=)[^\s=>"'/]+(?:\s*=\s*{_VALUE})?)*+[\s/]+href\s*=\s*({_VALUE})"""
-# The named references that are decoded.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+# One pattern reads a page as a tokenizer does: every match begins where the one before ended (\\G), passes over
+# whole tokens, and ends with the next anchor.  All loops are possessive and open constructs end with the text, so
+# the work follows the length of the page.
+_WS = r"[\t\n\f\r ]"
+_VALUE = rf"""(?:{_WS}*+={_WS}*+(?:"[^"]*+"|'[^']*+'|["'](?s:.*+)|[^\t\n\f\r >]*+))"""
+_NAME = r"[^\t\n\f\r />][^\t\n\f\r />=]*+"
+_GAP = r"[\t\n\f\r /]*+"
+_END = r"(?=[\t\n\f\r />])"
+_ATTRIBUTES = rf"(?:{_GAP}{_NAME}{_VALUE}?+)*+{_GAP}"
+_BEFORE = rf"<a{_END}(?:{_GAP}(?!href[\t\n\f\r />=]){_NAME}{_VALUE}?+)*+{_GAP}"
+#: Elements whose content is text up to their own end tag.
+RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
+_TOKENS = "|".join(
+    [
+        r"[^<]++",
+        r"<!--(?:-?>|(?s:.*?)(?:--!?>|\z))",
+        rf"<({RAW}){_END}{_ATTRIBUTES}>(?s:.*?)(?:</\1{_END}{_ATTRIBUTES}>|\z)",
+        rf"{_BEFORE}>",
+        rf"<(?!a{_END})[a-z][^\t\n\f\r />]*+{_ATTRIBUTES}>",
+        rf"</[a-z][^\t\n\f\r />]*+{_ATTRIBUTES}>",
+        r"<[!?][^>]*+(?:>|\z)",
+        r"</>|</[^a-z>][^>]*+(?:>|\z)",
+        r"<(?![a-z!?/])|</\z",
+    ]
+)
+#: The next anchor with an href (group 2: from its name to the end of its value); what is never closed ends the page.
+ANCHOR = rf"(?i)\G(?:{_TOKENS})*+(?:{_BEFORE}(href{_VALUE}?+){_ATTRIBUTES}>|<(?s:.*+)|\z)"
+#: Named references that also count without a semicolon, unless a letter, digit or equals sign follows.
+_LEGACY = {n: c for n, c in html5.items() if not n.endswith(";")}
+#: Numbers that stand for the characters of another code page.
+_NUMBERS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "ignore"))}
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
 
 
 def decoded(text: Column) -> Column:
-    """`text` with its character references decoded: numbers and REFERENCES, the ampersand last."""
-
-    def number(done: Column, ref: Column) -> Column:
-        digits = F.regexp_extract(ref, "&#([xX]?)0*([0-9a-fA-F]*)", 2)
-        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    """An attribute's text with its character references decoded: all numbers and all named ones of HTML."""
+
+    def piece(x: Column) -> Column:
+        """What stood behind an ampersand."""
+        number = F.regexp_extract(x, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        digits = F.regexp_extract(number, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        short = F.when(F.length(digits) <= 7, digits).otherwise(F.lit("0"))
+        code = F.when(F.lower(F.substring(number, 2, 1)) == "x", F.conv(short, 16, 10)).otherwise(F.when(short == "", "0").otherwise(short)).cast("long")
         good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(code == 38, "&amp;").when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        return F.replace(done, ref, char)
-
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,8}|[0-9]{1,9});"), F.lit(0)))
-    out = F.aggregate(numbers, text, number)
-    for ref, char in REFERENCES.items():
-        out = F.replace(out, F.lit(ref), F.lit(char))
-    return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+        char = F.when(code.between(0x80, 0x9F), F.coalesce(_looked_up(_NUMBERS, code.cast("string")), F.char(code))).when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        name = F.regexp_extract(x, "^([a-zA-Z][a-zA-Z0-9]*);", 1)
+        bare = F.regexp_extract(x, "^([a-zA-Z][a-zA-Z0-9]*)(?![=;a-zA-Z0-9])", 1)
+        rest = lambda n: F.substring(x, n + 1, F.length(x))
+        named = F.when(name == "amp", "&").otherwise(_looked_up({n[:-1]: c for n, c in html5.items() if n.endswith(";")}, name))
+        return (
+            F.when(number != "", F.concat(char, rest(F.length(number))))
+            .when((name != "") & named.isNotNull(), F.concat(named, rest(F.length(name) + 1)))
+            .when((bare != "") & _looked_up(_LEGACY, bare).isNotNull(), F.concat(_looked_up(_LEGACY, bare), rest(F.length(bare))))
+            .otherwise(F.concat(F.lit("&"), x))
+        )
+
+    pieces = F.split(text, "&", -1)
+    out = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+    return F.when(text.contains("&"), out).otherwise(text)
 
 
 def hrefs(html: Column) -> Column:
-    """The href values of all anchors in page order, without quotes, with references decoded."""
-    found = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(ANCHOR), F.lit(1))
+    """The href values of all anchors in page order, without quotes, with references decoded; without a value they are empty."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)), lambda v: v != "")
+    value = lambda v: F.regexp_replace(v, rf"^(?i:href){_WS}*+=?{_WS}*+", "")
     bare = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    return F.transform(found, lambda v: decoded(bare(v)))
+    return F.transform(F.transform(found, value), lambda v: decoded(bare(v)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -56,12 +97,15 @@ class _Anchors(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "a":
-            self.found.append(dict(attrs).get("href"))
+            self.found.append(dict(reversed(attrs)).get("href"))  # the first of equal names counts
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # in a page that is all it is, however it goes on
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def parsed_hrefs(html: pd.Series) -> pd.Series:
-    """Like hrefs(), by an HTML parser: also anchors without href, as null."""
+    """Like hrefs(), by the standard library's parser, which is more lenient with broken markup: also anchors without href, as null."""
 
     def one(text: str | None) -> list[str | None] | None:
         if text is None:
