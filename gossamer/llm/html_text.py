@@ -1,29 +1,32 @@
 """Main text of web pages from the events of the standard library's HTML parser.
 
 Every block is a line with its characters and tags.  The text-to-tag ratio per line is smoothed with a
-Gaussian and split into two clusters at a threshold; the lines above it vote for the region that holds the
-content: an article or main element where one has their majority (one inside it only if that has MOST of
-it), else the innermost element that still has MOST of them.  All blocks of that region are the text, without
-those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
-
-Class and id names tell of such elements as follows.  A whole name of adverts or comments is certain.  Another
-whole name (sidebar, left-menu), and a form, is believed of an element that can hold blocks, unless that
+Gaussian and split into two clusters at a threshold; the lines above it tell the region that holds the content:
+where article or main elements hold the majority of their text, the innermost element of each outermost one that
+has all its dense lines, else the innermost element of the page that has them all.  All blocks of that region are
+the text, with a first heading that stands right above it, and without those inside menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments.
+
+Class and id names tell of such elements as follows.  A whole name of adverts, or a name with comments or replies
+as a word of it, is believed unless the element holds an article or a first heading, or the page has no text above
+the threshold elsewhere.  Another whole name (sidebar, left-menu), and a form, is believed of an element that can hold blocks, unless that
 element holds more than half of the page's text above the threshold and no article stands elsewhere.  A name
 with more words to it (share-price-report) is believed only where the ratio says the same: if less than half
 of the element's text is above the threshold.  Paragraphs, headings, items and cells are dropped for no name
-but a certain one.
+but one of the first sort.
 
 Defined results: a null, empty or textless page has the empty string; truncated pages end where they end,
 with their open elements closed; white space, also no-break spaces, becomes one space; repeated rows are
-handled row by row; an empty table has no rows; other columns are not looked at.  Work and memory follow the
-length of the page, however deep its elements are nested.
+handled row by row; an empty table has no rows; other columns are not looked at.  What is never closed (a tag, a
+quote, a comment, a declaration) ends the page, as in browsers.  Work and memory follow the length of the page,
+however deep its elements are nested and whatever is left open.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from html.parser import HTMLParser
+from html.parser import HTMLParser, locatestarttagend_tolerant
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -31,7 +34,6 @@ from pyspark.sql import DataFrame
 from gossamer.llm.common import arrow_map
 
 SIGMA = 1.5
-MOST = 0.8
 #: Elements that never hold article text.
 DROPPED = {"head", "title", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "button", "select", "textarea", "svg", "iframe", "object", "canvas", "menu", "dialog", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -48,10 +50,14 @@ _WHOLE = re.compile(rf"(?:(?:{_PLACE})[_-])*(?:{_KINDS})(?:[_-](?:{_PLACE}|bar|b
 _PART = re.compile(rf"(?:^|[\s_-])(?:{_KINDS})(?=$|[\s_-]|\d)", re.IGNORECASE)
 #: Names that tell of something else on the page, not of the element itself.
 _ABOUT = re.compile(r"(?:has|have|with|without|no|non|not|hide|hides|show|shows)[_-]|.*[_-](?:free|less)$", re.IGNORECASE)
-_CERTAIN = re.compile(r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|comments?|comment-list|disqus|replies)\d*", re.IGNORECASE)
+_CERTAIN = re.compile(r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|disqus)\d*", re.IGNORECASE)
+_COMMENTS = re.compile(r"(?:.*[_-])?(?:comments?|replies)(?:$|[_-]|\d).*", re.IGNORECASE)
+#: Names that tell whether there may be comments.
+_SWITCH = re.compile(r".*[_-](?:open|opened|closed|enabled|disabled|on|off|allowed|count|free|less)$", re.IGNORECASE)
 #: Elements that hold text themselves.
 TEXTUAL = {"p", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre", "blockquote", "figcaption", "caption"}
-_NONE, _MAYBE, _LIKELY = 0, 1, 2
+_COMMENT_END = re.compile("--!?>")
+_NONE, _MAYBE, _LIKELY, _SURE = 0, 1, 2, 3
 
 
 class _Element(NamedTuple):
@@ -67,6 +73,7 @@ class Line(NamedTuple):
     tags: int
     region: int
     named: int
+    first_heading: bool
 
 
 class Lines(HTMLParser):
@@ -80,6 +87,8 @@ class Lines(HTMLParser):
         self.kinds, self.above = ["page"], [0]
         #: Of each named element the one around it, how it is named and the region around it.
         self.over, self.level, self.place = [0], [_NONE], [0]
+        #: Named elements around articles and first headings.
+        self.holds: dict[int, int] = {}
         self.lines: list[Line] = []
         self.text: dict[int, list[str]] = {}
         self.tags = 0
@@ -92,7 +101,7 @@ class Lines(HTMLParser):
         if self.text:
             for named, parts in self.text.items():
                 if text := " ".join("".join(parts).split()):
-                    self.lines.append(Line(text, self.tags, self.open[-1].region, named))
+                    self.lines.append(Line(text, self.tags, self.open[-1].region, named, bool(self.places.get("h1"))))
                     self.tags = 0
             self.text = {}
 
@@ -122,17 +131,24 @@ class Lines(HTMLParser):
             self._pop({"p"}, {"div", "article", "section", "td", "li", "body"})
         over = self.open[-1]
         if tag in INLINE:
-            dropped, level = over.dropped or self._certain(attrs), self._named(attrs)
+            dropped, level = over.dropped or self._hidden(attrs), self._named(attrs)
             if dropped != over.dropped or level or tag == "label":
                 self._push(tag, over.region, self._name(over, level), dropped)
             return
         self._flush()
+        named = self._named(attrs)
         whole = tag in ("html", "body", "article", "main")
-        dropped = over.dropped or tag in DROPPED or (not whole or _is_comment(attrs)) and self._certain(attrs)
-        level = _NONE if whole or tag in TEXTUAL else _LIKELY if tag == "form" else self._named(attrs)
+        dropped = over.dropped or tag in DROPPED or not whole and self._hidden(attrs)
+        if whole:
+            level = _SURE if named == _SURE and tag in ("article", "main") and _is_comment(attrs) else _NONE
+        else:
+            level = named if named == _SURE else _NONE if tag in TEXTUAL else _LIKELY if tag == "form" else named
+        article = level != _SURE and (tag in ("article", "main") or ("role", "main") in attrs)
+        if article or tag == "h1":
+            self.holds[over.named] = 1
         region = over.region
         if tag not in TEXTUAL:
-            self.kinds.append("article" if tag in ("article", "main") or ("role", "main") in attrs else tag)
+            self.kinds.append("article" if article else tag)
             self.above.append(region)
             region = len(self.kinds) - 1
         self._push(tag, region, self._name(over, level), dropped)
@@ -148,19 +164,57 @@ class Lines(HTMLParser):
     @staticmethod
     def _named(attrs: list[tuple[str, str | None]]) -> int:
         names = [n for name, value in attrs if name in ("class", "id") and value for n in value.split()] if attrs else ()
-        return max((_LIKELY if _WHOLE.fullmatch(n) else _MAYBE if _PART.search(n) and not _ABOUT.match(n) else _NONE for n in names), default=_NONE)
+
+        def level(n: str) -> int:
+            if _CERTAIN.fullmatch(n) or _COMMENTS.fullmatch(n) and not _ABOUT.match(n) and not _SWITCH.match(n):
+                return _SURE
+            return _LIKELY if _WHOLE.fullmatch(n) else _MAYBE if _PART.search(n) and not _ABOUT.match(n) else _NONE
+
+        return max(map(level, names), default=_NONE)
 
     @staticmethod
-    def _certain(attrs: list[tuple[str, str | None]]) -> bool:
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
-            if name in ("class", "id") and value and any(map(_CERTAIN.fullmatch, value.split())):
-                return True
             if name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name == "style" and re.search(r"display\s*:\s*none", value or "", re.IGNORECASE):
                 return True
         return False
 
+    # What is never closed goes up to the end of the page
+
+    def parse_starttag(self, i: int) -> int:
+        k = super().parse_starttag(i)
+        if k >= 0:
+            return k
+        k = self.rawdata.find(">", i) if locatestarttagend_tolerant.match(self.rawdata, i).end() < len(self.rawdata) else -1
+        return k + 1 if k >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for short in (">", "->"):
+            if self.rawdata.startswith(short, i + 4):
+                return i + 4 + len(short)
+        found = _COMMENT_END.search(self.rawdata, i + 4)
+        return found.end() if found else len(self.rawdata)
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        return self.parse_bogus_comment(i)  # in a page it is no more than that
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        return self._closed(super().parse_bogus_comment(i, report))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._closed(super().parse_html_declaration(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._closed(super().parse_pi(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._closed(super().parse_endtag(i))
+
+    def _closed(self, k: int) -> int:
+        return k if k > 0 else len(self.rawdata)
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in INLINE:
@@ -210,7 +264,8 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """The middle between the means of two clusters (two-means in one dimension)."""
+    """The middle between the means of two clusters (two-means in one dimension); 0 if one is not twice the other: then
+    there are no two kinds of lines."""
     low, high = min(values), max(values)
     for _ in range(20):
         cut = (low + high) / 2
@@ -221,7 +276,7 @@ def threshold(values: list[float]) -> float:
         if now == (low, high):
             break
         low, high = now
-    return (low + high) / 2
+    return (low + high) / 2 if low * 2 < high else 0.0
 
 
 def _ratios(lines: list[Line]) -> tuple[list[float], float]:
@@ -246,9 +301,11 @@ def _without_noise(page: Lines) -> list[Line]:
     all_of, dense_of = _summed(page.over, _by(lines, "named")), _summed(page.over, _by(dense, "named"))
     inside = _spread(page.above, [kind == "article" for kind in page.kinds])
     elsewhere = any(inside[line.region] and not line.named for line in lines)
-    noise = [False] * len(page.over)
+    noise, holds = [False] * len(page.over), _summed(page.over, page.holds)
     for k in range(1, len(noise)):
-        if page.level[k] == _MAYBE:
+        if page.level[k] == _SURE:
+            noise[k] = not holds[k] and dense_of[k] < dense_of[0]
+        elif page.level[k] == _MAYBE:
             noise[k] = dense_of[k] * 2 < all_of[k]
         else:
             noise[k] = dense_of[k] * 2 <= dense_of[0] or elsewhere and not inside[page.place[k]]
@@ -272,26 +329,33 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     smooth, cut = _ratios(lines)
-    mass = _summed(page.above, _by([line for line, value in zip(lines, smooth, strict=True) if value >= cut], "region"))
-    total = mass[0]
-    articles = [r for r, kind in enumerate(page.kinds) if kind == "article" and mass[r]]
-    outer = {r for r in articles if mass[r] * 2 >= total}
-    if outer:
-        # of each outermost one with the majority the innermost that has MOST of it
-        top = [0] * len(page.above)
-        for r in range(1, len(top)):
-            top[r] = top[page.above[r]] or (r if r in outer else 0)
-        chosen = {t: t for t in outer if top[t] == t}
-        for r in sorted(outer):
-            if mass[r] >= MOST * mass[top[r]]:
-                chosen[top[r]] = r
-        chosen = set(chosen.values())
-    elif articles and sum(mass[r] for r in articles) * 2 >= total:
-        chosen = set(articles)
-    else:
-        chosen = {max(r for r in range(len(mass)) if mass[r] >= MOST * total)}
+    dense = _by([line for line, value in zip(lines, smooth, strict=True) if value >= cut], "region")
+    mass = _summed(page.above, dense)
+    # the outermost articles with dense lines, if they have the majority; else the page
+    inside = _spread(page.above, [kind == "article" for kind in page.kinds])
+    tops = [r for r, kind in enumerate(page.kinds) if kind == "article" and mass[r] and not inside[page.above[r]]]
+    if sum(mass[r] for r in tops) * 2 < mass[0] or not tops:
+        tops = [0]
+    chosen, inner = set(tops), {r: r for r in tops}
+    top = [-1] * len(mass)
+    for r in range(len(mass)):  # of each the innermost element that has all its dense lines
+        top[r] = r if r in inner else top[page.above[r]] if r else -1
+        if top[r] >= 0 and mass[r] == mass[top[r]]:
+            inner[top[r]] = r
+    chosen = set(inner.values())
     within = _spread(page.above, [r in chosen for r in range(len(mass))])
-    return "\n".join(line.text for line in lines if within[line.region])
+    keep = [within[line.region] for line in lines]
+    if not any(line.first_heading for line, kept in zip(lines, keep, strict=True) if kept):
+        # the first heading right above the region, outside it
+        around, first = set(), keep.index(True)
+        r = lines[first].region
+        while r:
+            r = page.above[r]
+            around.add(r)
+        above = [i for i in range(first) if lines[i].first_heading and lines[i].region in around]
+        if above:
+            keep[above[-1]] = True
+    return "\n".join(line.text for line, kept in zip(lines, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
