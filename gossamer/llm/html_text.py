@@ -8,8 +8,8 @@ the text, with a first heading that stands right above it, and without those ins
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Class and id names tell of such elements as follows.  A whole name of adverts, or a name with comments or replies
-as a word of it, is believed unless the element holds an article or a first heading, or the page has no text above
-the threshold elsewhere.  Another whole name (sidebar, left-menu), and a form, is believed of an element that can hold blocks, unless that
+as a word of it, is believed unless the element holds an article or a first heading, or has all text above the
+threshold while what no name tells of is less than a tenth of it.  Another whole name (sidebar, left-menu), and a form, is believed of an element that can hold blocks, unless that
 element holds more than half of the page's text above the threshold and no article stands elsewhere.  A name
 with more words to it (share-price-report) is believed only where the ratio says the same: if less than half
 of the element's text is above the threshold.  Paragraphs, headings, items and cells are dropped for no name
@@ -291,24 +291,15 @@ def _by(lines: list[Line], key: str) -> dict[int, int]:
     return out
 
 
-def _without_noise(page: Lines) -> list[Line]:
-    """The lines outside the elements whose names are believed."""
-    lines = page.lines
-    if not any(line.named for line in lines):
-        return lines
+def _named_text(page: Lines, lines: list[Line]) -> tuple[list[int], list[int]]:
+    """The letters in each named element, and those of them in lines above the threshold."""
     smooth, cut = _ratios(lines)
     dense = [line for line, value in zip(lines, smooth, strict=True) if value >= cut]
-    all_of, dense_of = _summed(page.over, _by(lines, "named")), _summed(page.over, _by(dense, "named"))
-    inside = _spread(page.above, [kind == "article" for kind in page.kinds])
-    elsewhere = any(inside[line.region] and not line.named for line in lines)
-    noise, holds = [False] * len(page.over), _summed(page.over, page.holds)
-    for k in range(1, len(noise)):
-        if page.level[k] == _SURE:
-            noise[k] = not holds[k] and dense_of[k] < dense_of[0]
-        elif page.level[k] == _MAYBE:
-            noise[k] = dense_of[k] * 2 < all_of[k]
-        else:
-            noise[k] = dense_of[k] * 2 <= dense_of[0] or elsewhere and not inside[page.place[k]]
+    return _summed(page.over, _by(lines, "named")), _summed(page.over, _by(dense, "named"))
+
+
+def _without(page: Lines, lines: list[Line], noise: list[bool]) -> list[Line]:
+    """The lines outside flagged elements; their tags count for the next line."""
     noise, out, more = _spread(page.over, noise), [], 0
     for line in lines:
         if noise[line.named]:
@@ -319,6 +310,35 @@ def _without_noise(page: Lines) -> list[Line]:
     return out
 
 
+def _without_noise(page: Lines) -> list[Line]:
+    """The lines outside the elements whose names are believed: first adverts and comments, then the others."""
+    lines = page.lines
+    if not any(line.named for line in lines):
+        return lines
+    every = range(1, len(page.over))
+    if _SURE in page.level:
+        all_of, dense_of = _named_text(page, lines)
+        holds, firm = _summed(page.over, page.holds), _spread(page.over, [level >= _LIKELY for level in page.level])
+        plain = sum(len(line.text) for line in lines if not firm[line.named])
+        sure = [k for k in every if page.level[k] == _SURE and not holds[k] and (dense_of[k] < dense_of[0] or plain * 10 >= all_of[k])]
+        lines = _without(page, lines, _flags(page.over, sure))
+        if not lines:
+            return lines
+    all_of, dense_of = _named_text(page, lines)
+    inside = _spread(page.above, [kind == "article" for kind in page.kinds])
+    elsewhere = any(inside[line.region] and not line.named for line in lines)
+    less = [k for k in every if page.level[k] == _MAYBE and dense_of[k] * 2 < all_of[k]]
+    less += [k for k in every if page.level[k] == _LIKELY and (dense_of[k] * 2 <= dense_of[0] or elsewhere and not inside[page.place[k]])]
+    return _without(page, lines, _flags(page.over, less))
+
+
+def _flags(over: list[int], places: list[int]) -> list[bool]:
+    out = [False] * len(over)
+    for k in places:
+        out[k] = True
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
