@@ -395,10 +395,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"doc_id", "ids", "decoded"} <= set(out.columns)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 30 not in ids and 31 in ids and not {75, 76, 77, 78, 79} & set(ids)
-    # a near copy whose lines are mostly repeated goes with them
-    lines_of = [" ".join(words_of(12, 7000 + k)) for k in range(10)]
-    near = spark.createDataFrame([(1, "\n".join(lines_of)), (2, "\n".join([*lines_of[:4], "one line is new", *lines_of[5:]])), (3, "\n".join([*lines_of[:5], *map(" ".join, (words_of(12, s) for s in range(8000, 8005)))]))], DOCS)
-    assert sorted(r.doc_id for r in corpus_pipeline.dedup_lines(spark, near, "").collect()) == [1, 3]
+    # text that is nowhere else stays, however much of its document is repeated
+    shared = [" ".join(words_of(12, 7000 + k)) for k in range(40)]
+    own = {i: " ".join(words_of(100, 8000 + i)) for i in range(1, 6)}
+    template = spark.createDataFrame([(i, "\n".join([*shared[:20], own[i], *shared[20:]])) for i in own] + [(9, "\n".join(shared))], DOCS)
+    left = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, template, "").collect()}
+    assert set(left) == set(own) and all(own[i] in left[i] for i in own) and sum(len(t) for t in left.values()) < 2 * len("\n".join(shared)) + 5 * 1200
 
 
 def test_pipeline_of_odd_tables(spark, tmp_path):
