@@ -19,10 +19,6 @@ from gossamer.llm import bpe, decontaminate, jaccard, lines, toxicity
 from gossamer.llm.common import settled, table
 
 
-#: The share of repeated text from which on a document is a near copy, as in the next stage.
-MOSTLY = jaccard.THRESHOLD
-
-
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id and text of `docs`, all other columns in one, so that no operator's columns meet theirs."""
     return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"))
@@ -46,14 +42,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go; a document that they are MOSTLY goes with them: what is left of it is no text.
-
-    Such a document is a near copy of earlier ones, and its remains would resemble nothing in the next stage.
-    """
+    """Repeated line chunks go; a document of which nothing is left goes with them, all other text stays."""
     left = lines.remove(_packed(docs))
-    rest = F.length(F.trim("text"))
-    kept = left.where((F.col("lines_removed") == 0) | (rest > 0) & (F.col("chars_removed") < MOSTLY * (F.col("chars_removed") + rest)))
-    return _measured(kept, docs)
+    return _measured(left.where((F.col("lines_removed") == 0) | (F.length(F.trim("text")) > 0)), docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
