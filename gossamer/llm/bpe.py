@@ -4,8 +4,8 @@ A byte pair that occurs inside no vocabulary token can never be joined by a merg
 cut there before encoding.  Every fragment between two cuts is encoded on its own, the results are
 concatenated, and equal fragments are encoded once per worker.
 
-Characters that Python's Unicode tables do not know are put into words by the tokenizers library, whose tables
-are newer; the words are then encoded like all others.
+Texts with characters that Python's Unicode tables do not know, or with combining marks that they order otherwise
+than those of the tokenizers library, are put into words by the library; the words are then encoded like all others.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; very long words are
 encoded with a heap in n log n steps; repeated rows are encoded alike; an empty table has no rows; columns of
@@ -39,13 +39,14 @@ _SPACE = regex.compile(r"\p{White_Space}+")
 
 
 @lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Finds a character without a category in Python's Unicode tables (other tables may have it as a letter)."""
-    category = unicodedata.category
-    none = [c for c in range(0x80, 0x110000) if category(chr(c)) == "Cn"]
-    begins = [c for c, before in zip(none, [-1, *none]) if c != before + 1]
-    ends = [c for c, after in zip(none, [*none[1:], -1]) if after != c + 1]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends, strict=True)) + "]")
+def reordered() -> frozenset[str]:
+    """Combining marks that Python's tables order otherwise than the library's, which are older: beside a mark of the
+    lowest and of a high class the two normalize them differently."""
+    from tokenizers.normalizers import NFC
+
+    library, marks = NFC(), [c for c in map(chr, range(0x300, 0x110000)) if unicodedata.combining(c)]
+    beside = [("a", "\u0334"), ("a\u0301", ""), ("a\u0345", ""), ("a\u0334", "")]
+    return frozenset(c for c in marks if any(library.normalize_str(a + c + b) != unicodedata.normalize("NFC", a + c + b) for a, b in beside))
 
 
 def default_tokenizer() -> str:
@@ -75,7 +76,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, self.library, self.unassigned = path, None, unassigned()
+        self.path, self.library, self.known = path, None, set()
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
@@ -170,9 +171,14 @@ class Bpe:
             out.append(self.fragments[parts[-1], True])
         return b"".join(out)
 
+    def _odd(self, text: str) -> bool:
+        """Whether Python's tables lack a character of `text`, or order it otherwise than the library's."""
+        self.known |= {c for c in set(text) - self.known if unicodedata.category(c) != "Cn" and c not in reordered()}
+        return not self.known.issuperset(text)
+
     def _encode_plain(self, text: str) -> bytes:
         plain = text.isascii() and text.isprintable()
-        if not plain and self.unassigned.search(text):
+        if not plain and not self.known.issuperset(text) and self._odd(text):
             return self._encode_words(self._library_words(text))
         text = text.lower() if plain else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         words, letters = self.words.findall(text), self.letters

@@ -328,3 +328,18 @@ def test_bpe_equals_the_library_for_every_character(tokenizer):
         assert not wrong, wrong[:10]
         coder.chunks.clear()
         coder.fragments.clear()
+
+
+def test_bpe_orders_combining_marks_like_the_library(tokenizer):
+    """Texts of many marks, among them those whose class the library's tables lack."""
+    import random
+    import unicodedata
+
+    rng, own = random.Random(5), bpe.load(bpe.default_tokenizer())
+    marks = [c for c in map(chr, range(0x300, 0x110000)) if unicodedata.combining(c)]
+    odd = sorted(bpe.reordered())
+    assert "࣓" in odd and "́" not in odd
+    texts = ["".join(rng.choice("aeouAEÅΣσ가क!1 ") + "".join(rng.choice(odd if rng.random() < 0.3 else marks) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 8))) for _ in range(30_000)]
+    texts += ["a" + x + y for x in odd for y in rng.sample(marks, 60)]
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == found.ids, [hex(ord(c)) for c in text]
