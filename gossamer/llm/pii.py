@@ -37,7 +37,8 @@ _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    # from the start of a run: shorter runs are never valid
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -84,32 +85,51 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
 
 
-def _located(text: Column, pattern: str, matches: Column) -> Column:
-    """The matches as structs (start, end, text); what stands between them comes from split()."""
-    pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+#: Matches whose places are added up in one go: appending to an array copies it, so a text's arrays stay short.
+RUN = 256
+
+
+def _cut(text: Column, pattern: str, matches: Column) -> Column:
+    """The matches, each with what stands before it (from split())."""
+    return F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
+
+
+def _runs(pieces: Column) -> Column:
+    last = F.floor((F.greatest(F.size(pieces), F.lit(1)) - 1) / RUN).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(pieces, k * RUN + 1, F.lit(RUN)))
+
+
+def _located(runs: Column) -> Column:
+    """The matches as structs (start, end, text)."""
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
 
-    found = F.aggregate(pieces, nothing, step, lambda a: a["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    def length(xs):
+        return F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"]))
+
+    begins = F.aggregate(runs, F.array(F.lit(0)), lambda at, xs: F.concat(at, F.array(F.element_at(at, -1) + length(xs))))
+    return F.flatten(F.zip_with(runs, F.slice(begins, F.lit(1), F.size(runs)), lambda xs, begin: F.aggregate(xs, F.struct(begin.alias("at"), none.alias("out")), step, lambda a: a["out"])))
 
 
 def located(docs: DataFrame) -> DataFrame:
     """`docs` (with columns text and _-names of its own only) and an array column of located matches per pattern."""
     text = F.coalesce("text", F.lit(""))
-    matches, found = {}, {}
+    matches, pieces, runs, found = {}, {}, {}, {}
     for form, patterns in (("base", BASE), ("loose", LOOSE)):
         for kind, pattern in patterns.items():
             hint = HINT[form][kind]
             every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
             worth = text.contains(hint) if hint == "@" else text.rlike(hint)
             matches[f"_m_{form}_{kind}"] = F.when(worth, every).otherwise(F.array().cast("array<string>"))
-            found[f"_{form}_{kind}"] = _located(text, pattern, F.col(f"_m_{form}_{kind}"))
-    return docs.withColumns(matches).withColumns(found).drop(*matches)
+            # each step is a column of its own: what a lambda refers to is computed again for every element
+            pieces[f"_p_{form}_{kind}"] = _cut(text, pattern, F.col(f"_m_{form}_{kind}"))
+            runs[f"_r_{form}_{kind}"] = _runs(F.col(f"_p_{form}_{kind}"))
+            found[f"_{form}_{kind}"] = _located(F.col(f"_r_{form}_{kind}"))
+    return docs.withColumns(matches).withColumns(pieces).withColumns(runs).withColumns(found).drop(*matches, *pieces, *runs)
 
 
 def base_spans() -> Column:
@@ -170,7 +190,7 @@ def _judged(kind: str, form: str, x: Column, text: Column) -> Column:
         _sign(~before.rlike(r"[\p{L}0-9]$") & ~after.rlike(r"^[\p{L}0-9]")),
     ]
     packed = sum(((v + 1) * 3**k for k, v in enumerate(votes)), F.lit(0))
-    return F.struct(x["start"].alias("start"), F.lit(ALL_KINDS.index(kind)).alias("place"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(int(form == "loose")).alias("loose"), packed.alias("votes"), F.least(F.length(hit) / 8, F.lit(3)).cast("int").alias("size"))
+    return F.struct(x["start"].alias("start"), F.lit(ALL_KINDS.index(kind)).alias("place"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(int(form == "loose")).alias("loose"), packed.alias("votes"), F.least(F.length(hit) / 8, F.lit(3)).cast("int").alias("size"), (_valid(kind, hit) if form == "base" else F.lit(False)).alias("is_base"))
 
 
 def candidates() -> Column:
@@ -180,7 +200,7 @@ def candidates() -> Column:
     def of(form: str, kind: str) -> Column:
         own = F.col(f"_{form}_{kind}")
         if form == "base" and kind == "card":
-            own = F.filter(own, lambda x: F.length(F.regexp_replace(x["text"], r"[\x20-]", "")).between(12, 19))
+            own = F.filter(own, lambda x: F.length(F.regexp_replace(x["text"], r"[\x20-]", "")) <= 19)
         return F.transform(own, lambda x: _judged(kind, form, x, text))
 
     return F.concat(*[of("base", k) for k in BASE], *[of("loose", k) for k in LOOSE])
@@ -254,7 +274,7 @@ def _judged_spans(rows: DataFrame) -> DataFrame:
     def likely(x: Column) -> Column:
         # a failed checksum needs words that name the kind
         sure = (_vote(x, 1) > 0) | (_vote(x, 3) > 0)
-        return (_probability(x, weights) >= THRESHOLD) & sure & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return (_probability(x, weights) >= THRESHOLD) & sure & ~x["is_base"] & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
 
     span = F.transform(F.filter("judged", likely), lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["end"].alias("end"), x["kind"].alias("kind")))
     apart = F.aggregate(

@@ -343,3 +343,16 @@ def test_bpe_orders_combining_marks_like_the_library(tokenizer):
     texts += ["a" + x + y for x in odd for y in rng.sample(marks, 60)]
     for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == found.ids, [hex(ord(c)) for c in text]
+
+
+def test_pii_of_a_text_of_many_numbers(spark):
+    """A megabyte of short numbers, more matches than one run holds, and long runs of digits."""
+    text = "7, " * 330_000 + "call 4111 1111 1111 1111 or 10.0.0.1"
+    ips = " ".join(f"10.0.{i // 256}.{i % 256}" for i in range(700))
+    rows = [(1, text), (2, ips), (3, "1 " * 6 + "x" + "12345678901" + " 4111111111111111-" + "1" * 30), (4, "4111111111111111  5500005555555559 -- 41-11-11-11-11-11-11-11")]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert time.time() - began < 90
+    assert (got[1].n_card, got[1].n_ip) == (1, 1) and f"card:{len(text) - 31}:{len(text) - 12}" in got[1].spans.split(",")
+    assert got[2].n_ip == 700 and [s.split(":")[1:] for s in got[2].spans.split(",") if s.startswith("ip")] == [[str(m.start()), str(m.end())] for m in re.finditer(r"\S+", ips)]
+    assert got[3].n_card == 0 and got[4].n_card == 3
