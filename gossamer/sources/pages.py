@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,16 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.functions.urls import authority
-
-RESPONSE = "url string, status int, content_type string, body string, error string"
-
+from gossamer.sources.live import RESPONSE, fetch_all
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def fetch_live(urls: DataFrame, parallelism: int = 8, timeout: float = 30.0, user_agent: str | None = None, cookie: str | None = None, delay: float = 0.0) -> DataFrame:
-    """Responses of live servers for `urls` (url, and delay where rows have their own): RESPONSE rows, errors as a column, no retry.
+def fetch_live(urls: DataFrame, parallelism: int = 8, timeout: float = 30.0, user_agent: str | None = None, cookie: str | None = None, delay: float = 0.0, retries: int = 0) -> DataFrame:
+    """Responses of live servers for `urls` (url, and delay where rows have their own): RESPONSE rows, errors as a column.
 
     One connection at a time per partition, `parallelism` partitions.  With a delay all URLs of a site come
     to one partition, and the seconds pass between any two requests to the site.
@@ -29,26 +28,13 @@ def fetch_live(urls: DataFrame, parallelism: int = 8, timeout: float = 30.0, use
     wanted = wanted.groupBy("url").agg(F.max("delay").alias("delay")).withColumn("site", site)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-        import urllib.error
-        import urllib.request
-
-        ready: dict[str, float] = {}
-        for frame in frames:
-            rows = []
-            for url, wait, site in zip(frame["url"], frame["delay"], frame["site"], strict=True):
-                if wait > 0:
-                    time.sleep(max(0.0, ready.get(site, 0.0) - time.monotonic()))
-                    ready[site] = time.monotonic() + wait
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
-                        charset = r.headers.get_content_charset() or "utf-8"
-                        rows.append((url, r.status, r.headers.get_content_type(), r.read().decode(charset, "replace"), None))
-                except urllib.error.HTTPError as e:
-                    rows.append((url, e.code, e.headers.get_content_type(), "", None))
-                except (OSError, ValueError) as e:
-                    rows.append((url, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "error"])
+        def rows():
+            for frame in frames:
+                yield from zip(frame["url"], frame["site"], frame["delay"], strict=True)
+
+        fetched = fetch_all(rows(), headers, timeout, retries)
+        while part := list(itertools.islice(fetched, 64)):
+            yield pd.DataFrame(part, columns=["url", "status", "content_type", "body", "error"])
 
     return wanted.repartition(parallelism, "site").mapInPandas(run, RESPONSE)
 
