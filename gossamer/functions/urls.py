@@ -45,15 +45,32 @@ def absolute(site: Column, href: Column) -> Column:
     return F.when(href.rlike(_SCHEME), href).when(href.startswith("//"), None).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, F.lit("/"), href))
 
 
-def normalized(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, no dot segments, at least `/` as path.
+#: Escapes that stay: of control characters and of ; = ? @ # $ % & + , / and the backslash.
+_STAYS = "^(?:[01].|7F|2[3456BCF]|3[BDF]|40|5C)"
+
+
+def unescaped(part: Column) -> Column:
+    """A part of a URL with its percent escapes decoded as UTF-8, but for those that tell something else than the letter.
 
-    Query and fragment stay; percent escapes are left as they are.
+    Escapes that stay are in upper case; what is no escape stays as it is, and so does a part whose bytes are no UTF-8.
     """
+    pieces = F.split(part, "%", -1)
+    is_escape = lambda x: x.rlike("^[0-9A-Fa-f]{2}")
+    upper = lambda x: F.when(is_escape(x), F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, F.lit(3), F.length(x)))).otherwise(x)
+    sign = lambda x: F.when(is_escape(x) & ~x.rlike(_STAYS), "%").otherwise("%25")
+    later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), upper)
+    joined = lambda how: F.concat(F.element_at(pieces, 1), F.array_join(F.transform(later, how), ""))
+    kept = joined(lambda x: F.concat(F.lit("%"), x))
+    opened = F.url_decode(F.replace(joined(lambda x: F.concat(sign(x), x)), F.lit("+"), F.lit("%2B")))
+    return F.when(~part.contains("%"), part).when(opened.contains("\ufffd"), kept).otherwise(opened)
+
+
+def normalized(url: Column) -> Column:
+    """Lower-case scheme and host, no default port, no dot segments, at least `/` as path, escapes as in unescaped()."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     net = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     net = F.when(scheme == "http", F.regexp_replace(net, ":80$", "")).when(scheme == "https", F.regexp_replace(net, ":443$", "")).otherwise(net)
-    segments = F.split(F.substring(path(url), 2, 1 << 30), "/", -1)
+    segments = F.split(F.substring(unescaped(path(url)), 2, 1 << 30), "/", -1)
     last = F.element_at(segments, -1)
 
     def step(done: Column, s: Column) -> Column:
@@ -61,7 +78,7 @@ def normalized(url: Column) -> Column:
 
     folded = F.aggregate(segments, F.array().cast("array<string>"), step)
     folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    rest = F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)?$", 1)
+    rest = unescaped(F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)?$", 1))
     return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), net, F.lit("/"), F.array_join(folded, "/"), rest))
 
 

@@ -43,8 +43,10 @@ class Hooks:
 
 
 def from_store(responses: DataFrame) -> Fetch:
-    """Responses that are already stored; URLs that are not there are fetched as nothing."""
-    return lambda wanted: wanted.select("url").join(responses.select("url", "status", "content_type", "body"), "url")
+    """Responses that are already stored, under any spelling of escapes; URLs that are not there are fetched as nothing."""
+    url = F.when(F.col("url").contains("%"), urls.normalized(F.col("url"))).otherwise(F.col("url"))
+    kept = responses.select(url.alias("url"), "status", "content_type", "body")
+    return lambda wanted: wanted.select("url").join(kept, "url")
 
 
 def robots_groups(site: DataFrame, fetch: Fetch, abort: bool = False) -> DataFrame:

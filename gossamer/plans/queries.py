@@ -159,6 +159,15 @@ def url_normalize(spark, d) -> DataFrame:
     return stored(spark, d).select("page_id", urls.normalized(odd).alias("normal"))
 
 
+@query(f"WITH {dv.L} SELECT page_id, pos, site || '/é' || href || '%2F%25?q=%3D ~+' AS target FROM l")
+def links_unescaped(spark, d) -> DataFrame:
+    """Links in two spellings of their escapes come out in the one form that they share."""
+    odd = lambda *parts: urls.canonical(F.col("site"), F.concat(*[F.lit(p) if p != "href" else F.replace("href", F.lit("e"), F.lit("%65")) for p in parts]))
+    found = dv.page_links(spark, d).withColumn("site", urls.authority(F.col("url")))
+    found = found.withColumns({"target": odd("/%C3%a9", "href", "%2f%25?q=%3d%20%7e+"), "other": odd("/é/%2e/x/%2E%2E", "href", "%2F%25?q=%3D ~+")})
+    return found.where(F.col("target") == F.col("other")).select("page_id", "pos", "target")
+
+
 @query(f"WITH {dv.D} SELECT page_id, coalesce(site || canonical, url) AS resolved FROM m")
 def resolved_url(spark, d) -> DataFrame:
     pages = dv.directive_pages(spark, d)

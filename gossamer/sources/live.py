@@ -27,12 +27,14 @@ def fetch_one(url: str, headers: dict[str, str], timeout: float = 30.0, retries:
     """A RESPONSE row.  Errors of the connection and AGAIN are tried again, `backoff` seconds later and twice as long
     each time, or as long as Retry-After says, up to a minute."""
     import urllib.error
+    import urllib.parse
     import urllib.request
 
+    address = urllib.parse.quote(url, safe="%/:?#[]@!$&'()*+,;=~")
     for turn in range(retries + 1):
         wait = min(60.0, backoff * 2**turn)
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
+            with urllib.request.urlopen(urllib.request.Request(address, headers=headers), timeout=timeout) as r:
                 charset = r.headers.get_content_charset() or "utf-8"
                 return url, r.status, r.headers.get_content_type(), r.read().decode(charset, "replace"), None
         except urllib.error.HTTPError as e:

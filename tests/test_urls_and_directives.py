@@ -76,3 +76,20 @@ def test_log_lines(spark):
     assert [(s["code"], s["text"]) for s in values(spark, logs.segments(F.col("a")), "a\x1b[31mb\x1b[39m")[0]] == [("", "a"), ("31", "b"), ("39", "")]
     with pytest.raises(Exception, match="unknown log level"):
         values(spark, logs.tag(F.col("a")), "Loud")
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("http://a/%7eb%20c", "http://a/~b c"),
+        ("http://a/caf%C3%A9?x=%c3%a9#%41", "http://a/café?x=é#A"),
+        ("http://a/%2e%2E/b/%2e/c", "http://a/b/c"),
+        ("http://a/b%2fc%3fd%25e%26%3d%2B+", "http://a/b%2Fc%3Fd%25e%26%3D%2B+"),
+        ("http://a/100%/%zz/%u00e9/%4", "http://a/100%/%zz/%u00e9/%4"),
+        ("http://a/%ff%41/x?%41", "http://a/%FF%41/x?A"),
+        ("http://a/%0a%7f%5c", "http://a/%0A%7F%5C"),
+    ],
+)
+def test_escapes_in_the_one_form_of_a_url(spark, url, want):
+    assert values(spark, urls.normalized(F.col("a")), url) == [want]
+    assert values(spark, urls.normalized(urls.normalized(F.col("a"))), url) == [want]
