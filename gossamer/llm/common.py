@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -38,20 +39,26 @@ def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    _STAGED.append(path)
+    _STAGED.folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Folders that this process has staged and not deleted.
-_STAGED: list[str] = []
+class _Staged(threading.local):
+    """Folders that a thread has staged and not deleted; queries in other threads have their own."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_STAGED = _Staged()
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """stage(make()); what was staged on the way is deleted, since nothing needs it any more."""
-    before = len(_STAGED)
+    before = len(_STAGED.folders)
     out = stage(make())
-    spark, gone = out.sparkSession, _STAGED[before:-1]
-    del _STAGED[before:]
+    spark, gone = out.sparkSession, _STAGED.folders[before:-1]
+    del _STAGED.folders[before:]
     for folder in gone:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -175,14 +175,14 @@ def test_line_dedup_leaves_small_chunks():
 def test_settled_deletes_what_was_staged_on_the_way(spark):
     from gossamer.llm import common
 
-    before, seen = len(common._STAGED), []
+    before, seen = len(common._STAGED.folders), []
 
     def make():
         frame = common.stage(spark.range(5))
         seen.extend(frame.inputFiles())
         return frame.where("id > 1")
 
-    assert common.settled(make).count() == 3 and len(common._STAGED) == before
+    assert common.settled(make).count() == 3 and len(common._STAGED.folders) == before
     assert seen and not any(os.path.exists(f.removeprefix("file://")) for f in seen)
 
 
