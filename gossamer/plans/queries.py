@@ -11,6 +11,7 @@ from gossamer.functions import directives, logs, patterns, urls
 from gossamer.operators import crawl, lineage, links, robots, site
 from gossamer.plans import derived as dv
 from gossamer.sources import sitemaps
+from gossamer.sources.sitemap_records import records
 from gossamer.sources.pages import json_links, read_urls, stored, write_urls
 
 QUERIES: dict[str, Callable] = {}
@@ -377,6 +378,28 @@ def sitemap_limits(spark, d) -> DataFrame:
     return sitemaps.text(texts, max_lines=5).groupBy("site", "error").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {dv.S} SELECT site, 'urlset' AS kind, i AS item, loc, NULL::VARCHAR AS fault FROM (SELECT site, i, root || h AS loc FROM u)
+ UNION ALL SELECT url, 'sitemapindex', unnest([0, 1, 2]), url || unnest(['!urls.xml', '!urls.txt', '!index.xml']), NULL FROM pages
+ UNION ALL SELECT site, 'text', 2 * i, root || h || '?t', NULL FROM u""")
+def sitemap_records(spark, d) -> DataFrame:
+    return records(dv.sitemap_files(spark, d)).select("site", "kind", "item", "loc", "fault")
+
+
+@query(f"""WITH {dv.S}, n AS (SELECT url AS site, greatest(len(hs) - 1, 0) AS last FROM a)
+ SELECT u.site, i AS item, root || h AS loc, NULL::VARCHAR AS fault FROM u JOIN n ON n.site = u.site WHERE i < n.last
+ UNION ALL SELECT site, last, NULL, 'invalid sitemap' FROM n""")
+def sitemap_records_broken(spark, d) -> DataFrame:
+    """Url sets that end inside of their last item: what comes before it is listed, then the fault."""
+    broken = dv.sitemap_files(spark, d).where(F.col("body").contains("<urlset")).withColumn("body", F.expr("left(body, length(body) - length('</url></urlset>'))"))
+    return records(broken).select("site", "item", "loc", "fault")
+
+
+@query(f"WITH {dv.S} SELECT site, 2 * i AS item, CASE WHEN i < 5 THEN root || h || '?t' END AS loc, CASE WHEN i >= 5 THEN 'sitemap is too large' END AS fault FROM u WHERE i <= 5")
+def sitemap_records_limit(spark, d) -> DataFrame:
+    """Text sitemaps under a limit of five lines: the first five are listed, then the fault."""
+    return records(dv.sitemap_files(spark, d).where("content_type = 'text/plain'"), max_lines=5).select("site", "item", "loc", "fault")
+
+
 @query(f"WITH {dv.S} SELECT site, loc FROM items UNION SELECT site, root || h || '?t' FROM u")
 def sitemap_expand(spark, d) -> DataFrame:
     from gossamer.operators.lineage import cut

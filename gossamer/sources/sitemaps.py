@@ -39,7 +39,12 @@ def frequency(text: Column) -> Column:
 def urlset(sitemaps: DataFrame, since: Column | None = None) -> DataFrame:
     """(site, loc, lastmod, changefreq, priority, error) of `sitemaps` (site, xml); dates filter before other fields."""
     rows = sitemaps.where(kind(F.col("xml")) == "urlset").select("site", F.explode(_items(F.col("xml"), "url", ("loc", "lastmod", "changefreq", "priority"))).alias("u"))
-    rows = rows.select("site", F.trim("u.loc").alias("loc"), F.col("u.lastmod").alias("_l"), F.try_to_timestamp("u.lastmod").alias("lastmod"), F.col("u.changefreq").alias("_c"), F.col("u.priority").alias("_p"))
+    return urls_of(rows.select("site", "u.*"), since)
+
+
+def urls_of(items: DataFrame, since: Column | None = None) -> DataFrame:
+    """urlset() of `items` (site, loc, lastmod, changefreq, priority), all texts."""
+    rows = items.select("site", F.trim("loc").alias("loc"), F.col("lastmod").alias("_l"), F.try_to_timestamp("lastmod").alias("lastmod"), F.col("changefreq").alias("_c"), F.col("priority").alias("_p"))
     rows = rows.where(modified_since(F.col("lastmod"), since))
     freq, priority = frequency(F.col("_c")), F.expr("try_cast(_p AS decimal(38,18))")
     error = F.when(F.col("_l").isNotNull() & F.col("lastmod").isNull(), "invalid lastmod").when(F.col("_c").isNotNull() & freq.isNull(), "invalid changefreq").when(F.col("_p").isNotNull() & priority.isNull(), "invalid priority")
@@ -49,7 +54,12 @@ def urlset(sitemaps: DataFrame, since: Column | None = None) -> DataFrame:
 def index(sitemaps: DataFrame, since: Column | None = None) -> DataFrame:
     """(site, loc, lastmod, error) of the entries of sitemap indexes; locations must be absolute."""
     rows = sitemaps.where(kind(F.col("xml")) == "sitemapindex").select("site", F.explode(_items(F.col("xml"), "sitemap", ("loc", "lastmod"))).alias("s"))
-    rows = rows.select("site", F.trim("s.loc").alias("loc"), F.try_to_timestamp("s.lastmod").alias("lastmod"), F.col("s.lastmod").alias("_l")).where(modified_since(F.col("lastmod"), since))
+    return indexes_of(rows.select("site", "s.*"), since)
+
+
+def indexes_of(items: DataFrame, since: Column | None = None) -> DataFrame:
+    """index() of `items` (site, loc, lastmod), all texts."""
+    rows = items.select("site", F.trim("loc").alias("loc"), F.try_to_timestamp("lastmod").alias("lastmod"), F.col("lastmod").alias("_l")).where(modified_since(F.col("lastmod"), since))
     error = F.when(~F.col("loc").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), "invalid location").when(F.col("_l").isNotNull() & F.col("lastmod").isNull(), "invalid lastmod")
     return rows.select("site", "loc", "lastmod", error.alias("error"))
 
@@ -82,17 +92,22 @@ def expand(start: DataFrame, files: DataFrame | Callable[[DataFrame], DataFrame]
     `files` is a table, or a function that gives the rows of the locations it is asked for.
 
     Indexes are followed level by level, however deep; a location is opened once for a site, so cycles end.
+    Files are read record by record: of one that is broken or too large the items before that count.
     `cut` bounds the lineage of a level (for example a checkpoint).  With `abort` the first faulty item or
     file ends the expansion with a SitemapError.
     """
+    from gossamer.sources.sitemap_records import records
+
     todo, seen, found = start.select("site", "loc").distinct(), None, None
     while True:
-        opened = cut(todo.join(files(todo) if callable(files) else files, "loc")).select("site", "content_type", F.col("body").alias("xml"), F.col("body").alias("txt"))
-        xml = opened.where("content_type <> 'text/plain'").select("site", "xml")
-        plain, listed, deeper = text(opened.where("content_type = 'text/plain'").select("site", "txt")), urlset(xml, since), index(xml, since)
+        rows = cut(records(todo.join(files(todo) if callable(files) else files, "loc").select("site", "content_type", "body")))
+        good, wrong = rows.where("fault IS NULL"), F.when(F.col("loc").isNull(), "invalid location")
+        plain = good.where("kind = 'text'").select("site", "loc", F.when(~F.col("loc").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "invalid url").alias("error"))
+        listed, deeper = urls_of(good.where("kind = 'urlset'"), since), indexes_of(good.where("kind = 'sitemapindex'"), since)
         if abort:
-            _abort([t.where("error IS NOT NULL").select("site", "loc", "error") for t in (plain, listed, deeper)])
-        items = plain.where("error IS NULL").select("site", "loc").unionByName(listed.select("site", "loc"))
+            faults = rows.select("site", "loc", F.coalesce("fault", wrong).alias("error"))
+            _abort([t.where("error IS NOT NULL").select("site", "loc", "error") for t in (faults, plain, listed, deeper)])
+        items = plain.where("error IS NULL").unionByName(listed.where("loc IS NOT NULL").select("site", "loc", F.lit(None).cast("string").alias("error"))).select("site", "loc")
         found = items if found is None else found.unionByName(items)
         seen = todo if seen is None else seen.unionByName(todo)
         todo = cut(deeper.where("error IS NULL").select("site", "loc").distinct().join(seen, ["site", "loc"], "left_anti"))
