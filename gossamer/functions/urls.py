@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ PAGE_EXTENSIONS = (".html", ".htm")
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value written and worked out once, however often `f` names it; keeps plans small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def authority(url: Column) -> Column:
     """scheme://host[:port]; empty where the text has no scheme and host."""
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
@@ -54,32 +61,42 @@ def unescaped(part: Column) -> Column:
 
     Escapes that stay are in upper case; what is no escape stays as it is, and so does a part whose bytes are no UTF-8.
     """
-    pieces = F.split(part, "%", -1)
     is_escape = lambda x: x.rlike("^[0-9A-Fa-f]{2}")
     upper = lambda x: F.when(is_escape(x), F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, F.lit(3), F.length(x)))).otherwise(x)
     sign = lambda x: F.when(is_escape(x) & ~x.rlike(_STAYS), "%").otherwise("%25")
-    later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), upper)
-    joined = lambda how: F.concat(F.element_at(pieces, 1), F.array_join(F.transform(later, how), ""))
-    kept = joined(lambda x: F.concat(F.lit("%"), x))
-    opened = F.url_decode(F.replace(joined(lambda x: F.concat(sign(x), x)), F.lit("+"), F.lit("%2B")))
-    return F.when(~part.contains("%"), part).when(opened.contains("\ufffd"), kept).otherwise(opened)
 
+    def joined(pieces: Column) -> Column:
+        first, later = F.element_at(pieces, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), upper)
+        kept = F.concat(first, F.array_join(F.transform(later, lambda x: F.concat(F.lit("%"), x)), ""))
+        opened = F.concat(first, F.array_join(F.transform(later, lambda x: F.concat(sign(x), x)), ""))
+        opened = F.url_decode(F.replace(opened, F.lit("+"), F.lit("%2B")))
+        return bound(opened, lambda x: F.when(x.contains("\ufffd"), kept).otherwise(x))
 
-def normalized(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, no dot segments, at least `/` as path, escapes as in unescaped()."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    net = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    net = F.when(scheme == "http", F.regexp_replace(net, ":80$", "")).when(scheme == "https", F.regexp_replace(net, ":443$", "")).otherwise(net)
-    segments = F.split(F.substring(unescaped(path(url)), 2, 1 << 30), "/", -1)
-    last = F.element_at(segments, -1)
+    return F.when(~part.contains("%"), part).otherwise(bound(F.split(part, "%", -1), joined))
+
+
+def _folded(segments: Column) -> Column:
+    """The segments of a path without `.` and `..`."""
 
     def step(done: Column, s: Column) -> Column:
         return F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
 
-    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
-    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    rest = unescaped(F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)?$", 1))
-    return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), net, F.lit("/"), F.array_join(folded, "/"), rest))
+    none = F.array().cast("array<string>")
+    return F.concat(F.aggregate(segments, none, step), F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+
+
+def normalized(url: Column) -> Column:
+    """Lower-case scheme and host, no default port, no dot segments, at least `/` as path, escapes as in unescaped()."""
+
+    def whole(url: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+        net = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+        net = F.when(scheme == "http", F.regexp_replace(net, ":80$", "")).when(scheme == "https", F.regexp_replace(net, ":443$", "")).otherwise(net)
+        segments = F.split(F.substring(bound(path(url), unescaped), 2, 1 << 30), "/", -1)
+        rest = bound(F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)?$", 1), unescaped)
+        return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), net, F.lit("/"), F.array_join(bound(segments, _folded), "/"), rest))
+
+    return bound(url, whole)
 
 
 def canonical(site: Column, href: Column) -> Column:

@@ -53,28 +53,31 @@ def _looked_up(table: dict, key: Column) -> Column:
 def decoded(text: Column) -> Column:
     """An attribute's text with its character references decoded: all numbers and all named ones of HTML."""
 
+    def char(code: Column) -> Column:
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(code.between(0x80, 0x9F), F.coalesce(_looked_up(_NUMBERS, code.cast("string")), F.char(code))).when(good, own).otherwise("\ufffd")
+
+    def numbered(number: Column) -> Column:
+        digits = F.regexp_extract(number, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        is_hex = F.lower(F.substring(number, 2, 1)) == "x"
+        code = lambda d: F.when(is_hex, F.conv(d, 16, 10)).otherwise(F.when(d == "", "0").otherwise(d)).cast("long")
+        return urls.bound(urls.bound(F.when(F.length(digits) <= 7, digits).otherwise(F.lit("0")), code), char)
+
     def piece(x: Column) -> Column:
         """What stood behind an ampersand."""
-        number = F.regexp_extract(x, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
-        digits = F.regexp_extract(number, "^#[xX]?0*([0-9a-fA-F]*)", 1)
-        short = F.when(F.length(digits) <= 7, digits).otherwise(F.lit("0"))
-        code = F.when(F.lower(F.substring(number, 2, 1)) == "x", F.conv(short, 16, 10)).otherwise(F.when(short == "", "0").otherwise(short)).cast("long")
-        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(code.between(0x80, 0x9F), F.coalesce(_looked_up(_NUMBERS, code.cast("string")), F.char(code))).when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        rest = lambda n: F.substring(x, n + 1, F.length(x))
         name = F.regexp_extract(x, "^([a-zA-Z][a-zA-Z0-9]*);", 1)
         bare = F.regexp_extract(x, "^([a-zA-Z][a-zA-Z0-9]*)(?![=;a-zA-Z0-9])", 1)
-        rest = lambda n: F.substring(x, n + 1, F.length(x))
-        named = F.when(name == "amp", "&").otherwise(_looked_up({n[:-1]: c for n, c in html5.items() if n.endswith(";")}, name))
-        return (
-            F.when(number != "", F.concat(char, rest(F.length(number))))
-            .when((name != "") & named.isNotNull(), F.concat(named, rest(F.length(name) + 1)))
-            .when((bare != "") & _looked_up(_LEGACY, bare).isNotNull(), F.concat(_looked_up(_LEGACY, bare), rest(F.length(bare))))
-            .otherwise(F.concat(F.lit("&"), x))
-        )
+        named = F.when(name == "amp", "&").when(name != "", _looked_up({n[:-1]: c for n, c in html5.items() if n.endswith(";")}, name)).when(bare != "", _looked_up(_LEGACY, bare))
+        after = F.when(name != "", rest(F.length(name) + 1)).otherwise(rest(F.length(bare)))
+        other = urls.bound(named, lambda c: F.when(c.isNotNull(), F.concat(c, after)).otherwise(F.concat(F.lit("&"), x)))
+        return urls.bound(F.regexp_extract(x, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0), lambda n: F.when(n != "", F.concat(numbered(n), rest(F.length(n)))).otherwise(other))
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
 
-    pieces = F.split(text, "&", -1)
-    out = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
-    return F.when(text.contains("&"), out).otherwise(text)
+    return F.when(text.contains("&"), urls.bound(F.split(text, "&", -1), joined)).otherwise(text)
 
 
 def hrefs(html: Column) -> Column:
@@ -82,7 +85,7 @@ def hrefs(html: Column) -> Column:
     found = F.filter(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)), lambda v: v != "")
     value = lambda v: F.regexp_replace(v, rf"^(?i:href){_WS}*+=?{_WS}*+", "")
     bare = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    return F.transform(F.transform(found, value), lambda v: decoded(bare(v)))
+    return F.transform(F.transform(found, value), lambda v: urls.bound(bare(v), decoded))
 
 
 def extract(pages: DataFrame) -> DataFrame:
