@@ -36,17 +36,18 @@ def grouped(line_table: DataFrame) -> DataFrame:
     """Directive lines with the agents of the group they stand in (array, empty before the first group).
 
     Neighbouring User-agent lines form one group; an invalid token neither joins it nor ends it; any other
-    line, blank ones included, ends the run of agents but not the group.
+    line, blank ones included, ends the run of agents but not the group.  Where a site has several texts, lines with
+    the same number stand in the same group, in the order of their letters.
     """
     rows = directives(line_table)
     is_agent = F.col("directive") == "user-agent"
     good = is_agent & patterns.product_token_valid(F.col("value"))
-    order = Window.partitionBy("site").orderBy("line_no")
+    order, places = Window.partitionBy("site").orderBy("line_no", "line"), Window.partitionBy("site").orderBy("line_no")
     flag = F.when(is_agent & ~good, F.lit(None).cast("boolean")).otherwise(good)
     running = F.coalesce(F.last(flag, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = rows.withColumns({"is_agent": is_agent, "good": good}).withColumn("running", running)
     starts = F.col("is_agent") & ~F.col("running")
-    rows = rows.withColumn("block", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("block", F.sum(starts.cast("int")).over(places.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     agents = F.collect_set(F.when(F.col("good"), F.lower("value"))).over(Window.partitionBy("site", "block"))
     return rows.withColumn("agents", F.array_sort(agents)).select("site", "line_no", "block", "directive", "value", "agents")
 
