@@ -37,6 +37,6 @@ def test_crawls_keep_pages_apart(spark, tmp_path, name):
 COPIES = {229: 19, 47: 26}
 
 
-@pytest.mark.parametrize("name", ["robots_lines", "robots_directives", "robots_groups"])
+@pytest.mark.parametrize("name", ["robots_lines", "robots_directives", "robots_groups", "robots_allowed"])
 def test_robots_texts_of_a_url_share_their_lines(spark, tmp_path, name):
     compared(spark, tmp_path, [name], COPIES)
