@@ -43,8 +43,8 @@ def fetched(loader: str, status: Column) -> Column:
 
 
 def fetch(frontier: DataFrame, pages: DataFrame, loader: str = "static") -> DataFrame:
-    """Frontier URLs joined with the page store; failed responses drop out and are not tried again."""
-    return frontier.join(pages, "url").where(fetched(loader, F.col("status")))
+    """Frontier URLs, each once, joined with the page store; failed responses drop out and are not tried again."""
+    return frontier.dropDuplicates(["url"]).join(pages, "url").where(fetched(loader, F.col("status")))
 
 
 def gates(pages: DataFrame, ignore_meta: bool = True) -> DataFrame:

@@ -40,3 +40,8 @@ COPIES = {229: 19, 47: 26}
 @pytest.mark.parametrize("name", ["robots_lines", "robots_directives", "robots_groups", "robots_allowed"])
 def test_robots_texts_of_a_url_share_their_lines(spark, tmp_path, name):
     compared(spark, tmp_path, [name], COPIES)
+
+
+@pytest.mark.parametrize("name", ["crawl_fetch_lenient"])
+def test_fetch_gives_each_stored_page_once(spark, tmp_path, name):
+    compared(spark, tmp_path, [name], {24: 0, 6: 1, 7: 1})
