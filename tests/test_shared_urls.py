@@ -11,14 +11,14 @@ PAGES = "/root/testdata/sf0.001/pages.parquet"
 DEEP = {20: 1, 23: 2, 33: 10}
 
 
-def compared(spark, folder, names, shared):
-    """Runs queries and their SQL on the smallest pages and some (numbers) that have the URL and text of another."""
+def compared(spark, folder, names, shared, own_text=False):
+    """Runs queries and their SQL on the smallest pages and some (numbers) that have the URL of another, and its text or their own."""
     duckdb = pytest.importorskip("duckdb")
     if not os.path.isfile(PAGES):
         pytest.skip("no test tables here")
     db, path = duckdb.connect(), f"{folder}/pages.parquet"
     copies = ", ".join(f"({a}, {b})" for a, b in shared.items())
-    rest, own = f"SELECT page_id, url, html FROM '{PAGES}' WHERE page_id NOT IN (SELECT a FROM c)", f"SELECT a, url, html FROM c JOIN '{PAGES}' ON page_id = b"
+    rest, own = f"SELECT page_id, url, html FROM '{PAGES}' WHERE page_id NOT IN (SELECT a FROM c)", f"SELECT a, u.url, t.html FROM c JOIN '{PAGES}' u ON u.page_id = b JOIN '{PAGES}' t ON t.page_id = {'a' if own_text else 'b'}"
     db.execute(f"COPY (WITH c(a, b) AS (VALUES {copies}) SELECT * FROM ({rest} UNION ALL {own}) ORDER BY page_id) TO '{path}'")
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}'")
     for name in names:
@@ -45,3 +45,8 @@ def test_robots_texts_of_a_url_share_their_lines(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ["crawl_fetch_lenient"])
 def test_fetch_gives_each_stored_page_once(spark, tmp_path, name):
     compared(spark, tmp_path, [name], {24: 0, 6: 1, 7: 1})
+
+
+def test_rules_hold_for_the_links_of_all_pages_of_a_url(spark, tmp_path):
+    """No ties: whichever line of the two pages comes first, the result is the same."""
+    compared(spark, tmp_path, ["links_robots_filtered"], {0: 9}, own_text=True)
