@@ -65,10 +65,10 @@ def rules(group_table: DataFrame) -> DataFrame:
 
 
 def crawl_delays(group_table: DataFrame) -> DataFrame:
-    """(site, agent, delay): the first whole number given for each agent."""
+    """(site, agent, delay): the first whole number given for each agent (of several texts, the least in the first line)."""
     kept = group_table.where((F.col("directive") == "crawl-delay") & (F.size("agents") > 0) & F.col("value").rlike(r"^[+-]?[0-9]{1,10}$"))
     rows = kept.select("site", F.explode("agents").alias("agent"), "line_no", F.expr("try_cast(value AS int)").alias("delay")).where("delay IS NOT NULL")
-    return rows.groupBy("site", "agent").agg(F.min_by("delay", "line_no").alias("delay"))
+    return rows.groupBy("site", "agent").agg(F.min_by("delay", F.struct("line_no", "delay")).alias("delay"))
 
 
 def agents(group_table: DataFrame) -> DataFrame:

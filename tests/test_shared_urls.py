@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from gossamer.operators import robots
 from gossamer.plans.catalog import ORACLE, QUERIES
 
 PAGES = "/root/testdata/sf0.001/pages.parquet"
@@ -37,7 +38,7 @@ def test_crawls_keep_pages_apart(spark, tmp_path, name):
 COPIES = {229: 19, 47: 26}
 
 
-@pytest.mark.parametrize("name", ["robots_lines", "robots_directives", "robots_groups", "robots_allowed"])
+@pytest.mark.parametrize("name", ["robots_lines", "robots_directives", "robots_groups", "robots_allowed", "robots_crawl_delay"])
 def test_robots_texts_of_a_url_share_their_lines(spark, tmp_path, name):
     compared(spark, tmp_path, [name], COPIES)
 
@@ -50,3 +51,13 @@ def test_fetch_gives_each_stored_page_once(spark, tmp_path, name):
 def test_rules_hold_for_the_links_of_all_pages_of_a_url(spark, tmp_path):
     """No ties: whichever line of the two pages comes first, the result is the same."""
     compared(spark, tmp_path, ["links_robots_filtered"], {0: 9}, own_text=True)
+
+
+def stated(spark, *lines):
+    """Directive lines of a site, in one partition and in this order."""
+    return spark.createDataFrame([("s", 0, 1, *line) for line in lines], "site string, line_no int, block long, directive string, value string, agents array<string>").coalesce(1)
+
+
+def test_delays_in_the_same_line_do_not_depend_on_order(spark):
+    for values in (("9", "5"), ("5", "9")):
+        assert [r.delay for r in robots.crawl_delays(stated(spark, *[("crawl-delay", v, ["a"]) for v in values])).collect()] == [5]
