@@ -77,12 +77,12 @@ def agents(group_table: DataFrame) -> DataFrame:
 
 
 def hosts(group_table: DataFrame) -> DataFrame:
-    """(site, host): the first valid host named before any group; of an absolute URL its host."""
+    """(site, host): the first valid host named before any group (of several texts, the least in the first line); of an absolute URL its host."""
     kept = group_table.where((F.col("directive") == "host") & (F.size("agents") == 0))
     named = F.when(F.col("value").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.regexp_extract("value", r"^[A-Za-z][A-Za-z0-9+.-]*://(\[[^\]]*\]|[^/?#:]*)", 1)).otherwise(F.col("value"))
     address = F.col("host").rlike(r"^\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]$|^[0-9A-Fa-f.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$")
     rows = kept.withColumn("host", named).where(address | F.col("host").rlike(r"^(?:[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?)(?:\.[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?)*\.?$"))
-    return rows.groupBy("site").agg(F.min_by("host", "line_no").alias("host"))
+    return rows.groupBy("site").agg(F.min_by("host", F.struct("line_no", "host")).alias("host"))
 
 
 def sitemaps(group_table: DataFrame) -> DataFrame:

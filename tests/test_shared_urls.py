@@ -61,3 +61,8 @@ def stated(spark, *lines):
 def test_delays_in_the_same_line_do_not_depend_on_order(spark):
     for values in (("9", "5"), ("5", "9")):
         assert [r.delay for r in robots.crawl_delays(stated(spark, *[("crawl-delay", v, ["a"]) for v in values])).collect()] == [5]
+
+
+def test_hosts_in_the_same_line_do_not_depend_on_order(spark):
+    for values in (("b.org", "a.org"), ("a.org", "b.org")):
+        assert [r.host for r in robots.hosts(stated(spark, *[("host", v, []) for v in values])).collect()] == ["a.org"]
