@@ -43,7 +43,7 @@ def test_robots_texts_of_a_url_share_their_lines(spark, tmp_path, name):
     compared(spark, tmp_path, [name], COPIES)
 
 
-@pytest.mark.parametrize("name", ["crawl_fetch_lenient", "crawl_fetch_rendered"])
+@pytest.mark.parametrize("name", ["crawl_fetch_lenient", "crawl_fetch_rendered", "crawl_fetch_status"])
 def test_fetch_gives_each_stored_page_once(spark, tmp_path, name):
     compared(spark, tmp_path, [name], {24: 0, 6: 1, 7: 1})
 
