@@ -43,8 +43,13 @@ def fetched(loader: str, status: Column) -> Column:
 
 
 def fetch(frontier: DataFrame, pages: DataFrame, loader: str = "static") -> DataFrame:
-    """Frontier URLs, each once, joined with the page store; failed responses drop out and are not tried again."""
-    return frontier.dropDuplicates(["url"]).join(pages, "url").where(fetched(loader, F.col("status")))
+    """Frontier URLs, each once, joined with the page store; failed responses drop out and are not tried again.
+
+    Pages stored without a URL belong to a frontier row without one.
+    """
+    asked = frontier.dropDuplicates(["url"]).withColumnRenamed("url", "_asked")
+    stored = asked.join(pages, F.col("_asked").eqNullSafe(F.col("url"))).drop("_asked")
+    return stored.where(fetched(loader, F.col("status")))
 
 
 def gates(pages: DataFrame, ignore_meta: bool = True) -> DataFrame:

@@ -22,3 +22,7 @@ def compared(spark, folder, name, *rows):
 
 def test_links_of_pages_without_url_are_not_asked(spark, tmp_path):
     compared(spark, tmp_path, "links_robots_filtered", (0, None, LINKS), (1, None, LINKS), (3, "http://a.example/x", LINKS))
+
+
+def test_pages_without_url_are_fetched(spark, tmp_path):
+    compared(spark, tmp_path, "crawl_fetch_lenient", (0, "http://a.example/x", ""), (6, None, ""), (7, None, ""), (8, "http://a.example/x", ""))
