@@ -12,12 +12,12 @@ DIRECTIVES = ("User-agent", "Crawl-delay", "Host", "Sitemap", "Allow", "Disallow
 MAX_BYTES = 500 * 1024
 
 
-def lines(texts: DataFrame) -> DataFrame:
+def lines(texts: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """(site, line_no, line) of `texts` (site, txt) without comment lines.
 
     A text above the size limit gives no lines; see errors().
     """
-    small = texts.where(F.octet_length("txt") <= MAX_BYTES)
+    small = texts if max_bytes is None else texts.where(F.octet_length("txt") <= max_bytes)
     return small.select("site", F.posexplode(F.split("txt", "\r\n|\n|\r", -1)).alias("line_no", "line")).where(~F.col("line").startswith("#"))
 
 

@@ -24,3 +24,12 @@ def test_broken_sitemaps_of_odd_pages(spark, tmp_path):
 def test_patterns_of_both_kinds_of_rules_come_twice(spark, tmp_path):
     """Values end at a blank, so that both rules of the page are for /x."""
     odd.compared(spark, tmp_path, "robots_pattern_compile", (7, "http://a.example/x", '<a href="/x y">a</a><a href="/x z">b</a>'))
+
+
+def test_lines_of_pages_without_url(spark, tmp_path):
+    odd.compared(spark, tmp_path, "robots_lines", (0, None, odd.LINKS), (1, None, odd.LINKS), (6, None, None), (3, "http://a.example/x", odd.LINKS), (4, "http://a.example/y", None))
+
+
+def test_lines_of_large_texts(spark, tmp_path):
+    """A text of more than 500 KiB."""
+    odd.compared(spark, tmp_path, "robots_lines", (1, "http://a.example/x", "".join(f'<a href="/{n:0>100}">a</a>' for n in range(9000))))
