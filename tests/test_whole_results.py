@@ -33,3 +33,7 @@ def test_lines_of_pages_without_url(spark, tmp_path):
 def test_lines_of_large_texts(spark, tmp_path):
     """A text of more than 500 KiB."""
     odd.compared(spark, tmp_path, "robots_lines", (1, "http://a.example/x", "".join(f'<a href="/{n:0>100}">a</a>' for n in range(9000))))
+
+
+def test_directives_of_pages_without_url(spark, tmp_path):
+    odd.compared(spark, tmp_path, "robots_directives", (0, None, odd.LINKS), (1, None, odd.LINKS), (3, "http://a.example/x", odd.LINKS))
